@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloam.llm import bpe, packing
+from gridloam.llm import bpe, packing, repair, tiff, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +18,58 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.with_decoded(bpe.encode(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
     n = (F.octet_length("ids") / 4).cast("long")
     return done.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_repair": op2_repair,
+    "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
+    "op7_tiff": op7_tiff,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BASE32 = " || ".join(f"substr('{warc.ALPHABET}', 1 + ((('0x' || substr(sha, {5 * i + 1}, 5))::INTEGER >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
+        SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+    """,
+    "op9_warc": f"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS sha FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS first FROM h)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM m
+    """,
+}

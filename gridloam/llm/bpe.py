@@ -27,7 +27,7 @@ NONE = 1 << 60
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks and words that a worker's caches hold before they start afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def byte_names() -> list[str]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloam.llm import bpe, packing, repair, tiff, topk, warc
+from gridloam.llm import bpe, langid, packing, quality, repair, tiff, topk, warc
+from gridloam.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    done = quality.classify(docs, labels, fold("doc_id", 4) != 2)
+    return done.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = langid.identify(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
+    return done.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair": op2_repair,
     "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op7_tiff": op7_tiff,
+    "op8_langid": op8_langid,
     "op9_warc": op9_warc,
 }
 

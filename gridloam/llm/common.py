@@ -65,10 +65,12 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, kind: str = "table") -> DataFrame:
+    """Cut lineage: the rows as a table in the shared folder, so that a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    where = fresh_dir(spark, kind)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def texts_of(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, checkpointed, texts_of, vocabulary
+from gridloam.llm.common import bounded_batches, stored, texts_of, vocabulary
 from gridloam.llm.words import library_words
 
 CAPACITY = 4096
@@ -171,7 +171,7 @@ def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, group_windows: i
 
 def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
     """(key, start, length, doc_tokens, ids, sequence_id, offset): the pieces with their ids and their windows."""
-    return assign_windows(checkpointed(cut_pieces(df, key, text, capacity, end_id, path)), capacity)
+    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path)), capacity)
 
 
 def pack_digests(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
@@ -179,4 +179,4 @@ def pack_digests(df: DataFrame, key: str, text: str = "text", capacity: int = CA
     pieces = cut_pieces(df, key, text, capacity, end_id, path)
     held = F.when(F.col("length") >= capacity, F.lit(0)).otherwise(F.least(F.octet_length("ids"), F.lit(4 * MOVABLE)))
     pieces = pieces.withColumn("head_crc32", F.crc32(F.substring(F.col("ids"), F.lit(1), F.octet_length("ids") - held)))
-    return assign_windows(checkpointed(pieces.withColumn("ids", F.substring(F.col("ids"), F.octet_length("ids") - held + 1, held))), capacity)
+    return assign_windows(stored(pieces.withColumn("ids", F.substring(F.col("ids"), F.octet_length("ids") - held + 1, held))), capacity)

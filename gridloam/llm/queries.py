@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloam.llm import bpe, langid, packing, quality, repair, tiff, topk, warc
+from gridloam.llm import bpe, katz, langid, packing, quality, repair, tiff, topk, warc
 from gridloam.llm.common import fold
 
 
@@ -39,6 +39,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return done.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op6_katz": op6_katz,
     "op7_tiff": op7_tiff,
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,

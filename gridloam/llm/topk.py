@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, checkpointed
+from gridloam.llm.common import bounded_batches, stored
 
 BLOCK = 4096
 QUERY_BLOCK = 2048
@@ -122,7 +122,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
 
     kind = "level int, salt int, longest double, c_ids binary, c binary"
     bounded_batches(spark, 2000)
-    candidates = checkpointed(sized.select("level", "salt", "len2", "id", "x").groupBy("level", "salt").applyInPandas(blocks, kind))
+    candidates = stored(sized.select("level", "salt", "len2", "id", "x").groupBy("level", "salt").applyInPandas(blocks, kind))
     queries = vectors.where(is_query(F.col("id"))).groupBy("id").agg(F.min("x").alias("x"))
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("q_block")
@@ -131,7 +131,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
         ids, raw = pack_block(pdf["id"].to_numpy(), np.stack(pdf["x"].to_numpy()))
         return pd.DataFrame({"q_block": [pdf["q_block"].iloc[0]], "q_ids": [ids], "q": [raw]})
 
-    asked = checkpointed(queries.applyInPandas(query_blocks, "q_block int, q_ids binary, q binary"))
+    asked = stored(queries.applyInPandas(query_blocks, "q_block int, q_ids binary, q binary"))
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,7 +147,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
     bounded_batches(spark, 8)
     top = (F.col("level") == min(share)) & (F.col("salt") == 0)
     first = asked.withColumn("level", F.lit(min(share))).withColumn("salt", F.lit(0)).join(candidates.where(top), ["level", "salt"])
-    seed = checkpointed(first.withColumn("floor", F.lit(None).cast("binary")).select(*PAIR).repartition(spread).mapInPandas(pairs, hit))
+    seed = stored(first.withColumn("floor", F.lit(None).cast("binary")).select(*PAIR).repartition(spread).mapInPandas(pairs, hit))
 
     # the k-th best score so far of each query, beside its block
     def floors(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +162,7 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
         need = np.where(floor > 0, floor / np.maximum(length, 1e-300), 0.0)
         return pd.DataFrame({"q_block": left["q_block"], "q_ids": left["q_ids"], "q": left["q"], "floor": [floor.astype("<f8").tobytes()], "reach": [float(need.min(initial=0.0) if not len(need) else need.min())]})
 
-    bound = checkpointed(asked.groupBy("q_block").cogroup(seed.groupBy("q_block")).applyInPandas(floors, "q_block int, q_ids binary, q binary, floor binary, reach double"))
+    bound = stored(asked.groupBy("q_block").cogroup(seed.groupBy("q_block")).applyInPandas(floors, "q_block int, q_ids binary, q binary, floor binary, reach double"))
     # of a query block and a candidate block only numbers are paired; the vectors follow where a pair is left
     todo = bound.select("q_block", "reach", F.explode(F.lit(sorted(share))).alias("level"))
     todo = todo.join(candidates.where(~top).select("level", "salt", "longest"), "level").where(F.col("longest") * (1 + 1e-9) >= F.col("reach")).select("q_block", "level", "salt")

@@ -8,8 +8,8 @@ import numpy as np
 
 #: Marks that end a word: they and letters are never one pre-token.
 TAIL = ".,;:!?"
-#: Words that a worker's cache holds before it starts afresh.
-CACHE_WORDS = 1_200_000
+#: Words that a worker's cache holds before it keeps only those that come again.
+CACHE_WORDS = 300_000
 
 
 class LibraryWords:
@@ -31,6 +31,7 @@ class LibraryWords:
         if self.ids("a \n b ") != a + b:
             raise ValueError("this tokenizer keeps white space; use it on whole texts")
         self.seen: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
         self.last = None
@@ -81,15 +82,24 @@ class LibraryWords:
             seen[w] = cores[core] + seen[tail] if tail else cores[core]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen, self.cores = {"": b""}, {}
+        """Ids of each text; a few hundred texts at a time, for memory."""
+        return [ids for a in range(0, len(texts), 500) for ids in self._encode(texts[a : a + 500])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.seen) > CACHE_WORDS:  # words that come again are taken over
+            self.old, self.seen, self.cores = self.seen, {"": b""}, {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen, new = self.seen, {}
+        seen, old, new = self.seen, self.old, {}
         out: list = []
         for words in split:
             got = list(map(seen.get, words))
             if None in got:
-                new.update((w, None) for w, g in zip(words, got, strict=True) if g is None)
+                for w, g in zip(words, got, strict=True):
+                    if g is None and w not in seen:
+                        if w in old:
+                            seen[w] = old[w]
+                        else:
+                            new[w] = None
                 out.append(None)
             else:
                 out.append(b"".join(got))

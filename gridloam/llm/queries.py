@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloam.llm import bpe, katz, langid, packing, quality, repair, tiff, topk, warc
+from gridloam.llm import bpe, katz, langid, neardup, packing, quality, repair, tiff, topk, warc
 from gridloam.llm.common import fold
 
 
@@ -57,6 +57,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_repair": op2_repair,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tiff": op7_tiff,
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
+    "op10_neardup": op10_neardup,
 }
 
 _BASE32 = " || ".join(f"substr('{warc.ALPHABET}', 1 + ((('0x' || substr(sha, {5 * i + 1}, 5))::INTEGER >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0))

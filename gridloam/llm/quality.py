@@ -4,7 +4,7 @@ A text's features are indicators of hashed n-grams of two views: its bytes (n fr
 words' shapes (n from 1 to 3; a shape is the word's case, length, last mark and whether it repeats the word before).
 Indicators are scaled by the log ratio of their smoothed counts in the two classes; a linear hinge-loss model is
 fitted to them by dual coordinate descent, and its weights are drawn towards the mean weight as the method has it.
-A sigmoid that maps margins to probabilities is fitted to a part of the sample that the model hasn't seen.
+The sigmoid that maps margins to probabilities is fitted to margins of rows by models that haven't seen them.
 
 The sample is bounded (`SAMPLE` labelled rows, chosen by a hash of the key); every whole text is scored. Labels,
 language, source and key are no inputs. Null and empty texts have no feature and get the score of the bias alone.
@@ -27,6 +27,8 @@ SAMPLE = 6000
 VIEW = 1 << 15
 WIDTH = 2 * VIEW
 EPOCHS = 12
+#: Parts of the sample; the sigmoid is fitted to margins of each from a model of the others.
+PARTS = 3
 COST = 1.0
 SMOOTH = 1.0
 BLEND = 0.25
@@ -136,16 +138,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         w = (1 - BLEND) * np.abs(w).mean() + BLEND * w
         return w * scale / size, BLEND * b
 
-    held = np.zeros(len(y), bool)
-    for s in (1, -1):
-        mine = np.flatnonzero(y == s)
-        held[mine[:: 4 if len(mine) > 3 else len(mine) + 1]] = True
-    if not (held & (y > 0)).any() or not (held & (y < 0)).any():
-        w, b = weights(np.ones(len(y), bool))
-        return Model(w, b, *platt(np.array([w[r].sum() + b for r in rows]), y))
-    w, b = weights(~held)
-    slope, shift = platt(np.array([w[rows[i]].sum() + b for i in np.flatnonzero(held)]), y[held])
-    return Model(w, b, slope, shift)
+    part = np.zeros(len(y), np.int64)
+    for s in (1, -1):  # each class is dealt evenly to the parts
+        part[y == s] = np.arange((y == s).sum()) % PARTS
+    margin = np.zeros(len(y))
+    for k in range(PARTS):
+        rest, mine = part != k, np.flatnonzero(part == k)
+        if (y[rest] > 0).all() or (y[rest] < 0).all():
+            rest = np.ones(len(y), bool)
+        w, b = weights(rest)
+        margin[mine] = [w[rows[i]].sum() + b for i in mine]
+    return Model(*weights(np.ones(len(y), bool)), *platt(margin, y))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:

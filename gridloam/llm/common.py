@@ -9,6 +9,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _lean() -> None:
+    """Have glibc map large arrays by themselves, so that a worker gives their memory back when they go."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which is then no longer raised
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+_lean()
+
 #: Records in an Arrow batch; bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 2000
 
@@ -78,6 +92,28 @@ def texts_of(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     return df.select(*[F.col(k) for k in keys], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def tidy(run):
+    """A batch function that gives unused memory back when its task ends; Python workers live on."""
+
+    def tidied(batches):
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def fold(key, of: int):
     """crc32 of the key as text, modulo `of`; null keys give -1."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of, F.lit(-1))

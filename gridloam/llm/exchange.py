@@ -61,8 +61,8 @@ def unpack_counts(raw: bytes) -> np.ndarray:
 
 
 def buckets_for(total_bytes: int) -> int:
-    """Buckets for texts of so many bytes: about 16 MB of text to a bucket, 64 at least."""
-    return max(64, total_bytes >> 24)
+    """Buckets for texts of so many bytes: about 8 MB of text to a bucket, 64 at least."""
+    return max(64, total_bytes >> 23)
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, fresh_dir, mix64, read_bytes, stored, texts_of, word_hashes, write_bytes
+from gridloam.llm.common import bounded_batches, fresh_dir, mix64, read_bytes, stored, texts_of, tidy, word_hashes, write_bytes
 from gridloam.llm.exchange import BITS, buckets_for, cuts, grouped, loosen, pack_counts, pack_keys, squeeze, unpack_counts, unpack_keys
 
 GOOD_TURING = 5
-CHUNK_BYTES = 16 << 20
-CHUNK_ROWS = 4000
+CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 2000
 END = np.uint64(0x656E642E6F66) << np.uint64(8)
 BEGIN = np.uint64(0x626567696E) << np.uint64(8)
 _SHIFT = np.uint64(64 - BITS)
@@ -200,7 +200,7 @@ def score(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
                 columns = list(zip(*asks(chunk, number, buckets), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "level", "keys", "counts"])
 
-    asked = rows.mapInArrow(read_chunks, "bucket int, chunk long, level int, keys binary, counts binary")
+    asked = rows.mapInArrow(tidy(read_chunks), "bucket int, chunk long, level int, keys binary, counts binary")
     answers = stored(asked.groupBy("bucket").applyInPandas(answer, ANSWER), "katz-counts")
     few = {r["level"]: r for r in answers.where("kind = 'table'").groupBy("level").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), *[F.sum(F.col("few")[i]).alias(f"n{i + 1}") for i in range(GOOD_TURING + 1)]).collect()}
     if not few:

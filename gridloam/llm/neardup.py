@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, fresh_dir, mix64, read_bytes, stored, texts_of, word_hashes, write_bytes
+from gridloam.llm.common import bounded_batches, fresh_dir, mix64, read_bytes, stored, texts_of, tidy, trim, word_hashes, write_bytes
 from gridloam.llm.components import components
 from gridloam.llm.exchange import BITS, buckets_for, cuts, grouped, loosen, pack_counts, pack_keys, squeeze, unpack_counts, unpack_keys
 
@@ -37,8 +37,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 12
 ROWS = 2
-CHUNK_BYTES = 12 << 20
-CHUNK_ROWS = 4000
+CHUNK_BYTES = 6 << 20
+CHUNK_ROWS = 2000
 #: Texts, and shingles, of a group that one task takes.
 GROUP_TEXTS = 4096
 GROUP_SHINGLES = 4_000_000
@@ -158,6 +158,7 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
             here = slice(at, at + len(k))
             out.append((bucket, int(level), int(chunk), pack_counts(reply[here]), squeeze(np.packbits(owned[here])) if level == 2 else None, int(n[here].sum())))
             at += len(k)
+    trim()
     return pd.DataFrame(out, columns=["bucket", "level", "chunk", "counts", "owned", "total"])
 
 
@@ -224,7 +225,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
                     out += [(b, number, level, pack_keys(keys[at[b] : at[b + 1]]), pack_counts(n[at[b] : at[b + 1]])) for b in range(buckets) if at[b] < at[b + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "level", "keys", "counts"])
 
-    asked = rows.mapInArrow(read_chunks, "bucket int, chunk long, level int, keys binary, counts binary")
+    asked = rows.mapInArrow(tidy(read_chunks), "bucket int, chunk long, level int, keys binary, counts binary")
     answers = stored(asked.groupBy("bucket").applyInPandas(answer, "bucket int, level int, chunk long, counts binary, owned binary, total long"), "neardup-df")
     n_docs = answers.where("level = 2").agg(F.sum("total")).first()[0] or 0
 
@@ -279,5 +280,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     bounded_batches(spark, 2000)
     linked = components(dealt.groupBy("root", "a", "b").applyInPandas(joined, "u long, v long"))
     named = members.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
-    least_id = named.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
+    # stored, so that the join has an exchange on either side and a large class is split
+    least_id = stored(named.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id")), "classes")
     return named.join(least_id, "root", "left").select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, stored, texts_of, vocabulary
+from gridloam.llm.common import bounded_batches, stored, texts_of, tidy, vocabulary
 from gridloam.llm.words import library_words
 
 CAPACITY = 4096
@@ -119,7 +119,7 @@ def cut_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPA
 
     bounded_batches(df.sparkSession)
     df = texts_of(df, text, key)
-    return df.mapInArrow(run, f"`{key}` {df.schema[0].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
+    return df.mapInArrow(tidy(run), f"`{key}` {df.schema[0].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
 
 
 def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:

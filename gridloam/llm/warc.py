@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from gridloam.llm.common import bounded_batches, fresh_dir, open_fs, write_bytes
+from gridloam.llm.common import bounded_batches, fresh_dir, open_fs, stored, write_bytes
 
 #: The alphabet of RFC 4648 and the profile of the standard.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -86,6 +86,7 @@ def write(df: DataFrame, where: str, key: str = "page_id", payload: str = "html"
     rows = df.select(F.col(key).alias("id"), F.col(uri).cast("string").alias("uri"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     many = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("same"), "first")
+    many = stored(many, "warc-firsts")  # so that the join has an exchange on either side and a hot payload is split
     rows = rows.join(many, (rows.sha == many.same) & (F.octet_length("payload") >= min_bytes), "left")
     rows = rows.select("id", "uri", "payload", "sha", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 

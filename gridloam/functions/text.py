@@ -32,7 +32,7 @@ def base_name(path: Column) -> Column:
 
 def named_files(text: Column) -> Column:
     """Base names of the files that a text mentions, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([\w\-./\\]+\.(?:pdf|docx|txt|md))"), F.lit(1)), base_name))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([\w\-./\\]+\.(?:pdf|docx|txt|md))"), F.lit(1)), lambda p: base_name(p)))
 
 
 def table_text(rows: Column) -> Column:
@@ -71,7 +71,7 @@ def sanitised(query: Column) -> Column:
 
 def questions_of(text: Column) -> Column:
     """The parts of a text between question marks that have five characters or more."""
-    return F.filter(F.transform(F.split(text, r"\?"), F.trim), lambda p: F.length(p) >= 5)
+    return F.filter(F.transform(F.split(text, r"\?"), lambda p: F.trim(p)), lambda p: F.length(p) >= 5)
 
 
 def file_uri(path: Column) -> Column:

@@ -13,9 +13,10 @@ def valid(v: Column) -> Column:
     return F.when((v > 0) & (v <= 1000), v)
 
 
-def band_series(obs: DataFrame, *bands: str) -> DataFrame:
+def band_series(obs: DataFrame, *bands: str, places: int | None = 6) -> DataFrame:
     """Each day's mean of each band, to six places, in order; one band or several."""
-    return obs.groupBy("obs_date").agg(*[F.round(F.avg(b), 6).alias(b) for b in bands]).where(F.coalesce(*[F.col(b) for b in bands]).isNotNull()).orderBy("obs_date")
+    mean = lambda b: F.avg(b) if places is None else F.round(F.avg(b), places)
+    return obs.groupBy("obs_date").agg(*[mean(b).alias(b) for b in bands]).where(F.coalesce(*[F.col(b) for b in bands]).isNotNull()).orderBy("obs_date")
 
 
 def period_grid(obs: DataFrame, band: str) -> DataFrame:

@@ -222,14 +222,16 @@ def missing_report(spark, sf):
     return gaps.report(spark, regional(spark, sf, REGION, *YEAR), *YEAR)
 
 
-@query("sensor_series", f"WITH {SENSOR} SELECT obs_date, round(avg(am), 6) AS am FROM sensor WHERE x BETWEEN 2 AND 7 AND y BETWEEN 1 AND 9 GROUP BY obs_date HAVING count(am) > 0")
+@query("sensor_series", f"WITH {SENSOR} SELECT obs_date, round(avg(am) + 1e-9, 6) AS am FROM sensor WHERE x BETWEEN 2 AND 7 AND y BETWEEN 1 AND 9 GROUP BY obs_date HAVING count(am) > 0")
 def sensor_series(spark, sf):
-    return sensors.band_series(grid.in_box(tables.sensor(spark, sf), 2, 1, 7, 9), "am")
+    days = sensors.band_series(grid.in_box(tables.sensor(spark, sf), 2, 1, 7, 9), "am", places=None)
+    return days.withColumn("am", F.round(F.col("am") + 1e-9, 6))  # the offset keeps ties alike in both engines
 
 
-@query("sensor_multiband", f"WITH {SENSOR} SELECT obs_date, round(avg(am), 6) AS am, round(avg(pm), 6) AS pm FROM sensor GROUP BY obs_date HAVING count(am) > 0 OR count(pm) > 0")
+@query("sensor_multiband", f"WITH {SENSOR} SELECT obs_date, round(avg(am) + 1e-9, 6) AS am, round(avg(pm) + 1e-9, 6) AS pm FROM sensor GROUP BY obs_date HAVING count(am) > 0 OR count(pm) > 0")
 def sensor_multiband(spark, sf):
-    return sensors.band_series(tables.sensor(spark, sf), "am", "pm")
+    days = sensors.band_series(tables.sensor(spark, sf), "am", "pm", places=None)
+    return days.select("obs_date", *[F.round(F.col(b) + 1e-9, 6).alias(b) for b in ("am", "pm")])
 
 
 _GRID = "g_{b} AS (SELECT x, y, CASE WHEN avg({b}) > 0 AND avg({b}) <= 1000 THEN avg({b}) END AS value FROM sensor WHERE obs_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY x, y)"
@@ -253,9 +255,9 @@ def sensor_grid_summary(spark, sf):
     return sensors.grid_summary(obs, "am").select(*[F.round(c, 6).alias(c) for c in ("mean", "min", "max")], "n_cells", "n_images")
 
 
-@query("bias_grid", f"WITH {_GRIDS}, {_PAIRS} SELECT x, y, round(a - b, 5) AS value FROM pairs")
+@query("bias_grid", f"WITH {_GRIDS}, {_PAIRS} SELECT x, y, round(a - b, 8) AS value FROM pairs")
 def bias_grid(spark, sf):
-    return sensors.bias_grid(*_grids(spark, sf)).withColumn("value", F.round("value", 5))
+    return sensors.bias_grid(*_grids(spark, sf)).withColumn("value", F.round("value", 8))
 
 
 @query("sensor_metrics", f"WITH {_GRIDS}, {_PAIRS}, d AS (SELECT a, b, a - b AS d FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL) SELECT count(*) AS n, round(avg(d), 6) AS bias, round(sqrt(avg(d * d)), 6) AS rmse, round(sqrt(var_pop(d)), 6) AS ubrmse, round(avg(abs(d)), 6) AS mae, round(max(abs(d)), 6) AS max_abs, round(corr(a, b), 4) AS r, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(corr(a, b) ** 2, 4) AS r2 FROM d")
@@ -349,11 +351,6 @@ def source_type_counts(spark, sf):
     return assets.counts(made, docs)
 
 
-@query("html_tables")
-def html_tables(spark, sf):
-    return assets.html_tables(tables.table(spark, sf, "pages")).select("page_id", "idx", F.size("text_rows").alias("n_rows"), "text")
-
-
 @query("asset_keywords", "SELECT item_id AS query_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in assets.STOP_WORDS) + "], w)))), ' ') AS words FROM benchmark")
 def asset_keywords(spark, sf):
     return tables.questions(spark, sf).select("query_id", F.array_join(F.array_sort(assets.keywords(F.col("text"))), " ").alias("words"))

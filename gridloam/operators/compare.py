@@ -15,6 +15,11 @@ def periods(spark: SparkSession, spans: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "period_idx int, a string, b string").select("period_idx", F.to_date("a").alias("period_start"), F.to_date("b").alias("period_end"))
 
 
+def hull(spans: list[tuple[str, str]]) -> tuple[str, str]:
+    """The least span that holds all: slicing by it first lets the scan leave out the rest."""
+    return min(a for a, _ in spans), max(b for _, b in spans)
+
+
 def by_period(obs: DataFrame, spans: DataFrame) -> DataFrame:
     """Observations with the periods that they fall in; the periods are a query's own few rows."""
     return obs.join(F.broadcast(spans), F.col("obs_date").between(F.col("period_start"), F.col("period_end")))

@@ -32,10 +32,13 @@ def with_tables(text_chunks: DataFrame, assets: DataFrame) -> DataFrame:
     return text_chunks.unionByName(made, allowMissingColumns=True)
 
 
-def term_frequencies(pieces: DataFrame, *key: str) -> DataFrame:
-    """(key, term, tf): a term's share of a chunk's tokens."""
+def term_frequencies(pieces: DataFrame, *key: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf): a term's share of a chunk's tokens; of the terms in `only`, if given."""
     t = pieces.select(*key, tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    return t.select(*key, "n", F.explode("t").alias("term")).groupBy(*key, "n", "term").agg(F.count("*").alias("c")).select(*key, "term", (F.col("c") / F.col("n")).alias("tf"))
+    t = t.select(*key, "n", F.explode("t").alias("term"))
+    if only is not None:
+        t = t.join(only, "term", "left_semi")
+    return t.groupBy(*key, "n", "term").agg(F.count("*").alias("c")).select(*key, "term", (F.col("c") / F.col("n")).alias("tf"))
 
 
 def idf(tf: DataFrame, n_chunks: DataFrame) -> DataFrame:
@@ -47,9 +50,10 @@ def idf(tf: DataFrame, n_chunks: DataFrame) -> DataFrame:
 def search(pieces: DataFrame, queries: DataFrame, k: int, *key: str, source: str | None = None) -> DataFrame:
     """(query_id, rank, key, score): the k best chunks with a score over 0, ties in chunk order; of one source if asked."""
     n = pieces.agg(F.count("*").alias("n_chunks"))
-    tf = term_frequencies(pieces, "source", *key)
-    weights = idf(tf, n)
     asked = term_frequencies(queries, "query_id").withColumnRenamed("tf", "qf")
+    # other terms go before they are counted
+    tf = term_frequencies(pieces, "source", *key, only=asked.select("term").distinct())
+    weights = idf(tf, n)
     asked = asked.join(weights, "term").select("query_id", "term", (F.col("qf") * F.col("idf") * F.col("idf")).alias("w"))
     if source is not None:
         tf = tf.where(F.col("source") == source)

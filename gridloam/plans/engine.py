@@ -62,6 +62,7 @@ class Engine:
         if len(plan.spans) > 1:
             metric = plan.metric if plan.operation == "comparison" else {"minimum": "min", "maximum": "max"}.get(plan.operation, plan.operation)
             spans = compare.periods(self.spark, list(plan.spans))
+            mine = grid.between(mine, *compare.hull(list(plan.spans)))
             within = compare.by_period(mine, spans)
             scalars = compare.compare_periods(mine, spans, metric) if plan.operation == "comparison" else compare.metric_of(within, metric, "period_idx")
             cells = trend.cell_trend(within, "period_idx") if metric == "slope" else grid.cell_map(within, metric, "period_idx")

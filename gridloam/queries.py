@@ -135,7 +135,7 @@ for _metric in grid.METRICS:
         f"WITH {OBS}, {_PERIODS}, {_PHITS}, {_got} SELECT period_idx, period_start, period_end, round(value, 8) AS value, coalesce(n, 0) AS n, value IS NOT NULL AND row_number() OVER (ORDER BY {_RANK[_metric]} DESC NULLS LAST, period_idx) = 1 AS winner FROM periods LEFT JOIN got USING (period_idx)",
     )
     def _periods(spark, sf, metric=_metric):
-        obs = grid.in_region(tables.observations(spark, sf), tables.cell_region(spark, sf), REGION)
+        obs = regional(spark, sf, REGION, *compare.hull(SPANS))
         return compare.compare_periods(obs, compare.periods(spark, SPANS), metric).withColumn("value", F.round("value", 8))
 
 
@@ -147,7 +147,7 @@ def compare_regions(spark, sf):
 
 @query("multi_range_mean", f"WITH {OBS}, {_PERIODS}, {_PHITS} SELECT period_idx, round(avg(value), 6) AS value, count(value) AS n FROM hits GROUP BY period_idx")
 def multi_range_mean(spark, sf):
-    obs = grid.in_region(tables.observations(spark, sf), tables.cell_region(spark, sf), REGION)
+    obs = regional(spark, sf, REGION, *compare.hull(SPANS))
     return compare.metric_of(compare.by_period(obs, compare.periods(spark, SPANS)), "mean", "period_idx").withColumn("value", F.round("value", 6))
 
 

@@ -259,6 +259,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     members, vectors = sampled.where("bands is null").select("id", "fp"), sampled.where("bands is not null").select("fp", "bands", "vector", "n")
     met = vectors.select("fp", F.explode("bands").alias("band"))
     centre = met.groupBy("band").agg(F.min("fp").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "centre")
+    centre = stored(centre, "centres")  # so that the join has an exchange on either side and a large bucket is split
     stars = met.join(centre, "band").where("fp <> centre").select(F.col("fp").alias("u"), F.col("centre").alias("v"))
     groups = components(stars)
     weight = groups.join(vectors.select(F.col("fp").alias("u"), "n"), "u").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))

@@ -79,13 +79,13 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
     """(weights of the scaled features, bias) of the L1-hinge support vector machine with a constant feature."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(scale)), 0.0
-    values = [scale[r] for r in rows]
-    q = np.array([float(v @ v) + 1.0 for v in values])
+    q = np.array([float(scale[r] @ scale[r]) + 1.0 for r in rows])
     alpha = np.zeros(len(rows))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r]
             grad = y[i] * (float(w[r] @ v) + b) - 1
             new = min(max(alpha[i] - grad / q[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
@@ -125,7 +125,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         return Model(np.zeros(WIDTH), 0.0, 1.0, 500.0 if sure else -500.0)
 
     def ratio(keep: np.ndarray) -> np.ndarray:
-        count = [SMOOTH + np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(keep & (y == s))] or [np.zeros(0, np.int64)]), minlength=WIDTH) for s in (1, -1)]
+        count = [np.full(WIDTH, SMOOTH), np.full(WIDTH, SMOOTH)]
+        for i in np.flatnonzero(keep):
+            count[0 if y[i] > 0 else 1][rows[i]] += 1
         out = np.log((count[0] / count[0].sum()) / (count[1] / count[1].sum()))
         out[(count[0] <= SMOOTH) & (count[1] <= SMOOTH)] = 0
         return out
@@ -164,12 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "do
 
     def run(batches):
         for b in batches:
-            found = [np.flatnonzero(present(t)).astype("<u4").tobytes() for t in b.column(2).to_pylist()]
+            found = [np.flatnonzero(present(t)).astype("<u2").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(found, pa.binary())], ["k", "y", "found"])
 
     bounded_batches(spark)
     got = sorted(rows.withColumn("k", F.xxhash64("k")).mapInArrow(run, "k long, y int, found binary").collect(), key=lambda r: (r["k"], r["found"]))
-    return fit([np.frombuffer(r["found"], "<u4").astype(np.int64) for r in got], np.array([r["y"] for r in got]))
+    return fit([np.frombuffer(r["found"], "<u2").astype(np.int32) for r in got], np.array([r["y"] for r in got]))
 
 
 def scorer(spark, model: Model):

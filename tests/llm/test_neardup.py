@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+
 
 from gridloam.llm import neardup, queries
 from gridloam.llm.components import components

@@ -164,7 +164,7 @@ def all_region_stats(spark, sf):
     return grid.all_regions(tables.observations(spark, sf), tables.cell_region(spark, sf))
 
 
-@query("yearly_national_argmax", f"WITH {OBS} SELECT year(obs_date) AS year, round(avg(value), 6) AS mean FROM obs GROUP BY 1 ORDER BY avg(value) DESC, 1 LIMIT 1")
+@query("yearly_national_argmax", f"WITH {OBS} SELECT CAST(year(obs_date) AS INTEGER) AS year, round(avg(value), 6) AS mean FROM obs GROUP BY 1 ORDER BY avg(value) DESC, 1 LIMIT 1")
 def yearly_national_argmax(spark, sf):
     return grid.best_year(tables.observations(spark, sf)).withColumn("mean", F.round("mean", 6))
 

@@ -15,8 +15,8 @@ def _lean() -> None:
 
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which is then no longer raised
-        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, which is then no longer raised
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         pass
 

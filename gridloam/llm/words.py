@@ -9,7 +9,7 @@ import numpy as np
 
 _RUN = re.compile(r"[^\w ][,.] ")
 #: Words that a worker's cache holds before it keeps only those that come again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class LibraryWords:

@@ -361,6 +361,13 @@ def text_functions(spark, sf):
     return tables.documents(spark, sf).select("doc_id", T.sanitised(F.left("text", F.lit(200))).alias("clean"), F.size(T.questions_of(F.col("text"))).cast("long").alias("parts"))
 
 
+@query("text_sanitised", "SELECT doc_id, md5(clean) AS digest, length(clean) AS n_chars FROM (SELECT doc_id, trim(translate(coalesce(text, ''), '\"''`', '')) AS clean FROM documents)")
+def text_sanitised(spark, sf):
+    """Whole texts cleaned, where `text_functions` shows the cleaning of their first 200 characters."""
+    clean = T.sanitised(F.col("text"))
+    return tables.documents(spark, sf).select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n_chars"))
+
+
 _EVAL = f"""WITH {OBS}, truth AS (SELECT region, month(obs_date) AS op, avg(value) AS b FROM obs JOIN bridge USING (cell_id) GROUP BY ALL),
 m AS (SELECT region, CAST(op AS INTEGER) AS op, CASE WHEN op <= 4 THEN 0.0 WHEN op <= 8 THEN 0.001 ELSE 1.0 END AS bias FROM truth),
 v AS (SELECT *, CASE WHEN bias < 1e-5 THEN 'PASS' ELSE 'FAIL' END AS result FROM m)

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import math
 import zipfile
@@ -163,6 +164,15 @@ def test_text_functions(spark):
     assert spark.range(1).select(T.fixed(F.lit(1.5), 3, True), T.file_uri(F.lit("/a")), T.table_text(F.array(F.array(F.lit("a"), F.lit(" b ")), F.array(F.lit("c"))))).first() == ("+1.500", "file:///a", "a | b\nc")
 
 
+def test_whole_texts_are_sanitised(spark, tmp_path):
+    from gridloam import queries
+
+    texts = [None, " 'a` ", "x" * 300 + "'\"`" + " tail "]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["digest"], r["n_chars"]) for r in queries.QUERIES["text_sanitised"](spark, str(tmp_path)).collect()}
+    assert got == {i: (hashlib.md5(c.encode()).hexdigest(), len(c)) for i, c in enumerate(["", "a", "x" * 300 + " tail"])}
+
+
 def test_sources(spark):
     docs = spark.createDataFrame([("soil_moisture-trends.pdf",), ("soil_carbon.pdf",), ("soil_water.pdf",)], "source string")
     asked = spark.createDataFrame([(0, "in soil_carbon.pdf, what"), (1, "what do the trends say"), (2, "soil"), (3, "carbon and water")], "query_id int, text string")

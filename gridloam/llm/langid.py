@@ -5,7 +5,8 @@ training documents. A symbol's probability comes from the longest context: its s
 probability (method C: distinct symbols over distinct symbols plus occurrences) times its probability in the next
 shorter context with the symbols of the longer one excluded, down to a uniform distribution. The statistics are
 frozen, so every context's code lengths are worked out once; a text's code length is a sum of table look-ups over
-all its bytes. The language with the shortest code wins.
+all its bytes. The language with the shortest code wins. Every language met in training is learned; models are held in
+blocks of languages, and a batch of texts takes the best of each block, then the minimum, as one model would give.
 
 Bytes are A-Z folded; the 63 most frequent have a symbol each, the rest share one and are told apart uniformly.
 Null texts and texts without a letter are `und` with score 0. With no training document every text is `und`.
@@ -14,19 +15,24 @@ Extra columns are left out (`identify`) or kept (`annotate`); repeated rows are
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches
+from gridloam.llm.common import bounded_batches, fresh_dir, read_bytes, stored, write_bytes
+from gridloam.llm.exchange import loosen, squeeze
 
 SYMBOLS = 64
 #: Documents of a language that are counted, at most, chosen by a hash of the key.
 DOCUMENTS_A_LANGUAGE = 800
-#: Languages with the most documents that are learned.
-LANGUAGES = 64
+#: Languages, and bytes, of a model that is held at a time; all languages are learned, in as many blocks as they need.
+BLOCK_LANGUAGES = 16
+BLOCK_BYTES = 128 << 20
 #: Bytes that count in full towards the score; a longer text's code length is scaled down to as many.
 SURE_BYTES = 100
 UNKNOWN = "und"
@@ -37,18 +43,25 @@ _PAD = b"   "
 
 def four_grams(docs: DataFrame, text: str, lang: str) -> pd.DataFrame:
     """(lang, code, n) of all folded four-byte sequences; texts begin with three spaces."""
+    return gram_counts(docs, text, lang).toPandas()
+
+
+def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for name in set(b.column(0).to_pylist()):
-                raw = b"".join(_PAD + t.encode() for t, x in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True) if x == name)
+            texts: dict[str, list[bytes]] = {}
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                texts.setdefault(name, []).append(_PAD + t.encode())
+            for name, raw in texts.items():
+                raw = b"".join(raw)
                 s = _FOLD[np.frombuffer(raw, np.uint8)].astype(np.uint32)
                 code, n = np.unique(s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "lang string, code long, n long")
-    return rows.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -75,17 +88,43 @@ class Model:
             out[a:b] = sums[end] - sums[end - size]
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if self.languages:
-            known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
-            raw = [texts[i].encode() for i in known]
-            bits = self.code_lengths(raw)
-            for i, t, row in zip(known, raw, bits, strict=True):
-                share = np.exp2((row.min() - row) * min(1.0, SURE_BYTES / len(t)))
-                best = int(row.argmin())
-                lang[i], score[i] = self.languages[best], float(share[best] / share.sum())
-        return lang, score
+
+class Blocks:
+    """Models of all languages as files in the shared folder, a block of languages each, in order of their names."""
+
+    def __init__(self, files: list[str]):
+        self.files = files
+
+    def __iter__(self):
+        for f in self.files:
+            if _held.get("file") != f:
+                _held.clear()  # the block before goes first, so that one is held at a time
+                _held.update(file=f, model=pickle.loads(loosen(read_bytes(f), np.uint8)))
+            yield _held["model"]
+
+
+#: The block that a worker has loaded last.
+_held: dict = {}
+
+
+def predict(blocks: Iterable[Model], texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Best language and score of each text: the best of each block, then of all; ties go to the earlier name."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
+    raw = [texts[i].encode() for i in known]
+    scale = np.array([min(1.0, SURE_BYTES / len(t)) for t in raw])
+    least, total = np.full(len(raw), np.inf), np.zeros(len(raw))
+    for model in blocks if known else ():
+        bits = model.code_lengths(raw)
+        best = bits.argmin(1)
+        lower = np.minimum(least, bits.min(1))
+        for j in np.flatnonzero(lower < least).tolist():
+            lang[known[j]] = model.languages[best[j]]
+        total = total * np.exp2((lower - least) * scale) + np.exp2((lower[:, None] - bits) * scale[:, None]).sum(1)
+        least = lower
+    for i, n in zip(known, total.tolist(), strict=True):
+        score[i] = 1 / n if n else 0.0
+    return lang, score
 
 
 def slices(sizes: list[int], most: int):
@@ -100,19 +139,27 @@ def slices(sizes: list[int], most: int):
         yield a, len(sizes)
 
 
-def build(grams: pd.DataFrame) -> Model:
-    """Frozen trees from the counts of `four_grams`; ties between languages go to the earlier name."""
+def symbols_of(often: np.ndarray) -> np.ndarray:
+    """The symbol of each byte, from the number of times each folded byte is met."""
+    symbol = np.full(256, SYMBOLS - 1, np.uint8)
+    order = np.lexsort((np.arange(256), -often))
+    order = order[often[order] > 0][: SYMBOLS - 1]
+    symbol[order] = np.arange(len(order))
+    return symbol[_FOLD]
+
+
+def build(grams: pd.DataFrame, symbol: np.ndarray | None = None) -> Model:
+    """Frozen trees from the counts of `four_grams`; ties between languages go to the earlier name.
+
+    Blocks of languages have the symbols of all, so that their code lengths compare.
+    """
     languages = sorted(grams["lang"].unique())
     if not languages:
         return Model([], np.zeros(256, np.uint8), np.zeros(SYMBOLS**3, np.int32), np.zeros((0, SYMBOLS, 0), np.float32))
     code, n = grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
     which = np.searchsorted(np.array(languages), grams["lang"].to_numpy(str))
-    often = np.bincount(code & 255, n, 256)
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    order = np.lexsort((np.arange(256), -often))
-    order = order[often[order] > 0][: SYMBOLS - 1]
-    symbol[order] = np.arange(len(order))
-    symbol = symbol[_FOLD]
+    if symbol is None:
+        symbol = symbols_of(np.bincount(code & 255, n, 256))
     part = [symbol[code >> s & 255].astype(np.int64) for s in (24, 16, 8, 0)]
     contexts = [np.zeros(len(code), np.int64)]
     for k in (1, 2, 3):  # of the last k symbols
@@ -142,27 +189,47 @@ def build(grams: pd.DataFrame) -> Model:
     return Model(languages, symbol, row_of.astype(np.int32), np.stack(bits, axis=-1))
 
 
-def train(docs: DataFrame, key: str, text: str, lang: str, documents: int = DOCUMENTS_A_LANGUAGE) -> Model:
-    """A model of the rows with a text and a language; a hash of the key chooses a language's sample."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
-    if not counts:
-        return build(pd.DataFrame({"lang": pd.Series([], dtype=str), "code": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")}))
-    most = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1 << 30, int((1 << 30) * documents / n)))])
-    return build(four_grams(rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < most[F.col("l")]), "t", "l"))
+def cut(contexts: list[tuple[str, int]]) -> list[list[str]]:
+    """Blocks of languages, from (name, three-byte contexts at most) in order of the names."""
+    blocks: list[list[str]] = []
+    rows = 0
+    for name, n in contexts:
+        n = min(n, SYMBOLS**3)
+        if not blocks or len(blocks[-1]) == BLOCK_LANGUAGES or (min(rows + n, SYMBOLS**3) + SYMBOLS**2) * SYMBOLS * 4 * (len(blocks[-1]) + 1) > BLOCK_BYTES:
+            blocks.append([])
+            rows = 0
+        blocks[-1].append(name)
+        rows += n
+    return blocks
 
 
-def predictor(spark, model: Model):
+def train(docs: DataFrame, key: str, text: str, lang: str, documents: int = DOCUMENTS_A_LANGUAGE) -> Blocks:
+    """Models of all languages of the rows with a text and a language; a hash of the key chooses a language's sample."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
+    # stored, so that the planner knows the size and sends a small table rather than the texts
+    most = stored(rows.groupBy("l").agg(F.least(F.lit(1 << 30), F.floor(F.lit((1 << 30) * documents) / F.count("*"))).cast("long").alias("most")), "langid-shares")
+    grams = stored(gram_counts(rows.join(most, "l").where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("most")), "t", "l"), "langid-grams")
+    often = np.zeros(256)
+    for r in grams.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
+        often[r["byte"]] = r["n"]
+    contexts = grams.groupBy("lang").agg(F.countDistinct(F.shiftright("code", 8)).alias("n")).collect()
+    symbol, where, files = symbols_of(often), fresh_dir(docs.sparkSession, "langid-models"), []
+    for names in cut(sorted((r["lang"], r["n"]) for r in contexts)):
+        files.append(f"{where}/{len(files)}.block")
+        write_bytes(files[-1], squeeze(pickle.dumps(build(grams.where(F.col("lang").isin(names)).toPandas(), symbol), 5)))
+    return Blocks(files)
+
+
+def predictor(spark, blocks: Blocks):
     """A function from a text column to struct<lang_pred, score>."""
-    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        lang, score = held.value.predict([None if t is None or t is pd.NA or t != t else t for t in texts])
+    def found(texts: pd.Series) -> pd.DataFrame:
+        lang, score = predict(blocks, [None if t is None or t is pd.NA or t != t else t for t in texts])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     bounded_batches(spark)
-    return predict
+    return found
 
 
 def identify(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

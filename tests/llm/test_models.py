@@ -103,3 +103,24 @@ def test_langid_code_lengths(spark):
         want = slow_ppm(texts, model.symbol, t)
         assert model.code_lengths([b"x", t, b"", t])[[1, 3], 0] == pytest.approx([want, want], rel=1e-4)
     assert np.allclose(np.exp2(-model.bits[:, :63, 0].astype(float)).sum(1) + np.exp2(-model.bits[:, 63, 0].astype(float)) * (256 - 26 - 63), 1, atol=1e-3)
+
+
+def test_langid_learns_every_language(spark, monkeypatch):
+    """More languages than a block takes, the last with the fewest documents."""
+    rng = np.random.default_rng(1)
+    names = [f"l{k:02d}" for k in range(70)]
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for n in names}
+    line = lambda n: " ".join(rng.choice(words[n], 20))
+    rows = [(k, line(n), n) for k, n in enumerate(n for i, n in enumerate(names) for _ in range(4 if i < 66 else 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    assert len(model.files) > 1 and [x for m in model for x in m.languages] == names
+    got = langid.predict(model, [line(n) for n in names])
+    assert got[0] == names and min(got[1]) > 0.99
+    # blocks give what one model gives
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 100)
+    monkeypatch.setattr(langid, "BLOCK_BYTES", 1 << 40)
+    whole = langid.train(docs, "doc_id", "text", "lang")
+    mixed = [line(names[3])[:9] + line(names[68])[:9], "zz", None, "12"]
+    a, b = langid.predict(model, mixed), langid.predict(whole, mixed)
+    assert len(whole.files) == 1 and a[0] == b[0] and np.allclose(a[1], b[1])

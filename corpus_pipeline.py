@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, language, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns the columns of documents; the
-last returns the packed pieces. Documents without an id are kept by the first three stages if they pass; a repeated
-row counts as a copy of itself, so one stays. Empty and null texts are rejected as of no language.
+last returns the packed pieces. Documents without an id are treated like any other; a repeated row counts as a copy of
+itself, so one stays. Empty and null texts are rejected as of no language.
 """
 
 from __future__ import annotations
@@ -37,11 +37,16 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id."""
-    classes = stored(neardup.classes(docs, "doc_id").where("doc_id is not null"), "classes")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(_few(gone), "doc_id", "left_anti")
-    twice = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of each class of near-duplicates the row with the smallest id; rows without an id come after the others."""
+    # stored, so that a row keeps its key; an id may be missing or have two texts
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = stored(neardup.classes(rows, "_row"), "classes").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    best = stored(classes.groupBy("class_id").agg(first["_row"].alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first"), "firsts")
+    gone = stored(classes.join(best, "class_id").where("_row <> first").select("_row"), "gone")
+    rows = rows.join(_few(gone), "_row", "left_anti")
+    kept = rows.drop("_row")
+    twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
     few = _few(twice)

@@ -51,3 +51,12 @@ def test_query(spark):
     import __spark_entry__ as e
 
     assert e.queries()["pipeline"](spark, SF).where(F.col("length") > 4096).count() == 0
+
+
+def test_dedup_goes_by_rows(spark):
+    """Ids that are missing or have two texts: one row of each class stays, and no unique text is lost."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, a), (None, c), (None, c), (9, d), (9, d), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = cp.dedup(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=repr) == sorted([(1, a), (5, b), (None, c), (9, d), (4, "")], key=repr)

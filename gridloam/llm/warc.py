@@ -4,7 +4,7 @@ Written: one gzip member per record, whose header carries a `sl` extra field wit
 unpacked lengths, so that a reader can pass over it unread. Records whose payload (by SHA-1) equals another's are
 `revisit` records that name the `response` record with the largest id; payloads under `min_bytes` are never revisits.
 
-Read: `spark.read.format("warc")` plans one partition per archive, or per range of a large plain one's records,
+Read: `spark.read.format("warc")` plans partitions of whole archives (a large one is read by one task),
 parses the headers first, and leaves out records that pushed-down predicates on `record_type`, `target_uri`,
 `record_id`, `refers_to`, `date` or `payload_digest` exclude, without unpacking their payloads. With option
 `payload` set to `false` no payload is unpacked at all. Archives without `sl`, and plain ones, are read too.

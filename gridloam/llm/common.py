@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -35,12 +36,18 @@ def vocabulary(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset."""
+    """Folder that driver and executors share: `spark.checkpoint.dir`.
+
+    Where that is unset, a local session (one machine) gets a folder of our own; a cluster is an error, as a folder of
+    one machine would be missed by the others.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -74,9 +81,17 @@ def read_bytes(uri: str) -> bytes:
         return f.read()
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for long texts, for the plans built from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for long texts, for the plans built from now on; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Partitions for rows that are about to be dealt out: by their planned size, but not under the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1_000_000))
 
 
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:

@@ -1,9 +1,12 @@
 """Token files compressed by Re-Pair: frequent id pairs become nonterminals, shard by shard.
 
 Documents are sorted by id into shards; a shard is written in blocks of about `BLOCK_TOKENS` ids, each a file that
-can be decoded alone. In a block the pairs of adjacent symbols are counted, the most frequent are each given a new
-symbol and replaced all at once from left to right, and so on until no pair is frequent or the symbols reach 2**16
-(or a round saves little). No pair reaches over the end of a document, so a document can be decoded by itself.
+can be decoded alone. In a block the pairs of adjacent symbols are counted exactly; every pair that comes `LEAST`
+times or more, without overlaps, is frequent. Where occurrences of two frequent pairs share a symbol the more frequent
+pair has it. Pairs that are still frequent then get a nonterminal each and are replaced all at once; this goes on until
+no pair is frequent. Symbols are a linked list in typed arrays: after the first round only the positions beside a
+replacement, and those of frequent pairs that had to yield, are looked at again, as no other pair can gain. No pair
+reaches over the end of a document, so a document can be decoded by itself.
 
 File format (little-endian): magic b"RPR1"; uint32 first nonterminal, rules, documents, symbols; uint8 bytes a
 symbol; then rules x (uint32 left, uint32 right), rules x uint32 expansion length, documents x int64 id (and one
@@ -22,76 +25,114 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, fresh_dir, read_bytes, texts_of, vocabulary, write_bytes
+from gridloam.llm.common import bounded_batches, fresh_dir, partitions_for, read_bytes, stored, texts_of, trim, vocabulary, write_bytes
 from gridloam.llm.words import library_words
 
 MAGIC = b"RPR1"
 BLOCK_TOKENS = 1_500_000
-ROUNDS = 3
-PAIRS_A_ROUND = 4096
 LEAST = 16
-_BITS = 16
+FILES = "part long, block long, file string, n_docs long, n_tokens long"
+_BITS = 18
+_PHI = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(32)
 
 
-def compress(tokens: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, last-of-a-document flags, rules) of ids of which `ends` flags each document's last.
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, key of each number): equal keys share a number; some numbers are of no key.
 
-    Pairs are counted in a table of hashed pairs; of each of its fullest cells one pair is then counted exactly.
+    A key's number is its cell in a hash table; keys whose cell another one holds are sorted and numbered beyond it.
     """
-    seq, last, rules = tokens.astype(np.uint32), ends.copy(), []
-    for _ in range(rounds):
-        n = len(rules)
-        room = min(PAIRS_A_ROUND, (1 << 16) - first - n) if first < 1 << 16 else PAIRS_A_ROUND
-        if room <= 0 or len(seq) < 2:
+    bits = min(_BITS, max(8, len(key).bit_length()))
+    number = ((key * _PHI) >> np.uint64(64 - bits)).astype(np.intp)
+    kinds = np.zeros(1 << bits, np.uint64)
+    kinds[number] = key
+    odd = np.flatnonzero(kinds[number] != key)
+    if len(odd):
+        more, at = np.unique(key[odd], return_inverse=True)
+        number[odd] = (1 << bits) + at
+        kinds = np.concatenate([kinds, more])
+    return number, kinds
+
+
+def every_other(at: np.ndarray, after: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Indices into `at` of the pairs of two equal symbols that overlap the one before: every other of a run."""
+    i = np.flatnonzero(same)
+    follow = np.zeros(len(i), bool)
+    follow[1:] = (i[1:] == i[:-1] + 1) & (after[i[:-1]] == at[i[1:]])
+    if not follow.any():
+        return i[:0]
+    place = np.arange(len(i))
+    begin = np.maximum.accumulate(np.where(follow, 0, place))
+    return i[((place - begin) & 1) == 1]
+
+
+def compress(tokens: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, last-of-a-document flags, rules) of ids of which `ends` flags each document's last."""
+    n, made, rules = len(tokens), 0, []
+    seq = tokens.astype(np.uint32)
+    if n < 2:
+        return seq, ends.copy(), np.zeros((0, 2), np.uint32)
+    # a pair can only be frequent where the cell of its hash is
+    cell = ((seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS)).astype(np.intp)
+    full = (np.bincount(cell, minlength=1 << _BITS) >= least)[cell]
+    at = np.flatnonzero(full & ~ends[:-1])
+    del cell, full
+    nxt = np.arange(1, n + 1)
+    nxt[ends] = -1
+    prv = np.arange(-1, n - 1)
+    prv[1:][ends[:-1]] = -1
+    live, again = np.ones(n, bool), np.zeros(n, bool)
+    while len(at):
+        after = nxt[at]
+        left, right = seq[at], seq[after]
+        put_off = every_other(at, after, left == right)
+        if len(put_off):
+            keep = np.ones(len(at), bool)
+            keep[put_off] = False
+            put_off = at[put_off]
+            at, after, left, right = at[keep], after[keep], left[keep], right[keep]
+        which, kinds = numbered(left.astype(np.uint64) << _HALF | right)
+        times = np.bincount(which, minlength=len(kinds))
+        often = np.flatnonzero(times >= least)
+        if not len(often):
             break
-        cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS)
-        cell[last[:-1]] = 0
-        count = np.bincount(cell, minlength=1 << _BITS)
-        count[0] = 0
-        full = np.flatnonzero(count >= least)
-        if len(full) > room:
-            full = full[np.argsort(-count[full], kind="stable")[:room]]
-        if not len(full):
-            break
-        cell_rule = np.full(1 << _BITS, -1, np.int32)
-        cell_rule[full] = np.arange(len(full), dtype=np.int32)
-        rule = cell_rule[cell]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        left, right = seq[at], seq[at + 1]
-        of = np.zeros(len(full), np.int64)
-        of[rule] = np.arange(len(at))  # a cell stands for one of its pairs, mostly a frequent one
-        kind_left, kind_right = left[of], right[of]
-        same = (left == kind_left[rule]) & (right == kind_right[rule])
-        at, rule = at[same], rule[same]
-        times = np.bincount(rule, minlength=len(full))
-        good = np.flatnonzero(times >= least)
-        good = good[np.argsort(-times[good], kind="stable")]
-        if not len(good):
-            break
-        number = np.full(len(full), -1, np.int32)
-        number[good] = np.arange(len(good))
-        rule = number[rule]
-        keep = rule >= 0
-        at, rule = at[keep], rule[keep]
-        # of matches that overlap, every other one from the left
-        run = np.concatenate(([True], np.diff(at) != 1))
-        begin = np.flatnonzero(run)
-        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
-        at, rule = at[odd], rule[odd]
-        before = len(seq)
-        seq[at] = first + n + rule
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-        rules.extend(zip(kind_left[good].tolist(), kind_right[good].tolist(), strict=True))
-        if before - len(seq) < before * 0.03:
-            break
-    return seq, last, np.array(rules, np.uint32).reshape(-1, 2)
+        # ties by a hash, so that a passage that repeats is halved each round rather than folded up from one end
+        often = often[np.lexsort((kinds[often] * np.uint64(0xBF58476D1CE4E5B9), -times[often]))]
+        rank = np.full(len(kinds), len(often), np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        rank = rank[which]
+        keep = np.flatnonzero(rank < len(often))
+        at, after, rank = at[keep], after[keep], rank[keep]
+        touch = np.flatnonzero(after[:-1] == at[1:])
+        earlier = rank[touch] < rank[touch + 1]
+        win = np.ones(len(at), bool)
+        win[touch[~earlier]] = False
+        win[touch[earlier] + 1] = False
+        good = np.flatnonzero(np.bincount(rank[win], minlength=len(often)) >= least)
+        number = np.full(len(often), -1, np.int32)
+        number[good] = np.arange(len(good), dtype=np.int32)
+        number = number[rank]
+        win = np.flatnonzero(win & (number >= 0))  # of the first in rank all, so every round replaces something
+        pos, gone = at[win], after[win]
+        follow = nxt[gone]
+        has = follow >= 0
+        seq[pos] = number[win] + (first + made)
+        nxt[pos], live[gone] = follow, False
+        prv[follow[has]] = pos[has]
+        made += len(good)
+        rules.append(kinds[often[good]])
+        again[at] = again[put_off] = True
+        again[pos] = has
+        before = prv[pos]
+        again[before[before >= 0]] = True
+        again[gone] = False
+        at = np.flatnonzero(again)
+        again[at] = False
+    kinds = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    return seq[live], (nxt < 0)[live], np.stack([kinds >> _HALF, kinds & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +231,8 @@ class Block:
         return expand(self.seq[i:j], self.table, self.begin, self.first)[skip : skip + b - a]
 
 
-def write(df: DataFrame, key: str, where: str, text: str = "text", end_id: int | None = 1, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> list:
-    """Encode whole texts, sort by key and write them; a row (file, n_docs, n_tokens) for each file, in order.
+def write(df: DataFrame, key: str, where: str, text: str = "text", end_id: int | None = 1, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Encode whole texts, sort by key and write them; a table of the files (`FILES`), also under `where`.
 
     The texts are dealt by ranges of the key once; ids are made, compressed and written in the tasks that get them.
     Files are numbered by partition and block, so a task that runs again writes the same names.
@@ -209,9 +250,10 @@ def write(df: DataFrame, key: str, where: str, text: str = "text", end_id: int |
             nonlocal made, ids, docs, held
             name = f"{where}/{part:06d}-{made:06d}.rpr"
             write_bytes(name, encode_block(ids, docs, first))
-            row = pa.RecordBatch.from_pydict({"part": [part], "block": [made], "file": [name], "n_docs": [len(docs)], "n_tokens": [held]})
+            row = {"part": [part], "block": [made], "file": [name], "n_docs": [len(docs)], "n_tokens": [held]}
             made, ids, docs, held = made + 1, [], [], 0
-            return row
+            trim()
+            return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
             for i, got in zip(b.column(0).to_pylist(), words.encode_many(b.column(1).to_pylist()), strict=True):
@@ -223,37 +265,39 @@ def write(df: DataFrame, key: str, where: str, text: str = "text", end_id: int |
             yield block()
 
     spark = df.sparkSession
-    bounded_batches(spark, 1000)
-    df = texts_of(df, text, key).withColumn(key, F.col(key).cast("long"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, key, "_tie").sortWithinPartitions(key, "_tie").drop("_tie")
-    return sorted(ordered.mapInArrow(run, "part long, block long, file string, n_docs long, n_tokens long").collect(), key=lambda r: (r["part"], r["block"]))
+    parts = partitions_for(df)
+    df = texts_of(df, text, key).withColumn(key, F.col(key).cast("long")).withColumn("_tie", F.xxhash64("text"))
+    ordered = df.repartitionByRange(parts, key, "_tie").sortWithinPartitions(key, "_tie").drop("_tie")
+    bounded_batches(spark)
+    return stored(ordered.mapInArrow(run, FILES), "repair-files")
 
 
-def read(spark, files: list, key: str = "doc_id") -> DataFrame:
+def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, ids) of every document in the files of `write`; start counts the ids of all documents before it."""
-    start, rows = 0, []
-    for r in files:
-        rows.append((r["file"], start))
-        start += r["n_tokens"]
-    kind = f"`{key}` long, start long, ids binary"
-    if not rows:
-        return spark.createDataFrame([], kind)
+    # a running sum over the partitions' totals, then one within each partition
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part")
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")
+    placed = files.withColumn("_within", within).join(parts.select("part", before.alias("_before")), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for name, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = Block(read_bytes(name))
-                docs = [d.astype("<u4").tobytes() for d in block.documents()]
-                for k in range(0, len(docs), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[k : k + 1000], pa.int64()), pa.array(block.token[k : k + 1000][: len(docs[k : k + 1000])] + at), pa.array(docs[k : k + 1000], pa.binary())], [key, "start", "ids"])
+                every = np.ascontiguousarray(expand(block.seq, block.table, block.begin, block.first), "<u4")
+                for i in range(0, len(block.ids), 1000):
+                    j = min(i + 1000, len(block.ids))
+                    at = block.token[i : j + 1]
+                    sizes, body = ((at - at[0]) * 4).astype(np.int32), every[at[0] : at[-1]]
+                    ids = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(sizes), pa.py_buffer(body)])
+                    columns = [pa.array(block.ids[i:j], pa.int64()), pa.array(at[:-1] + start), ids]
+                    yield pa.RecordBatch.from_arrays(columns, [key, "start", "ids"])
 
-    listed = spark.createDataFrame(rows, "file string, start long").repartition(min(len(rows), 10_000))
-    return listed.mapInArrow(run, kind)
+    dealt = placed.select("file", (F.col("_before") + F.col("_within")).alias("start")).repartition(partitions_for(files))
+    return dealt.mapInArrow(run, f"`{key}` long, start long, ids binary")
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, n_tokens, ids_crc32): all documents written to the shared folder and read back."""
-    spark = df.sparkSession
-    back = read(spark, write(df, key, fresh_dir(spark, "repair"), text), key)
+    back = read(write(df, key, fresh_dir(df.sparkSession, "repair"), text), key)
     return back.select(key, "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

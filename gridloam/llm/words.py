@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_RUN = re.compile(r"[^\w ][,.] ")
+#: A comma or full stop that ends a run of marks, and so is no pre-token of its own.
+_RUN = re.compile(r"[,.](?<=[^\w ].) ")
+#: Marks that never begin a contraction or a special token's string where they end a word.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^`{}~"
 #: Words that a worker's cache holds before it keeps only those that come again.
 CACHE_WORDS = 600_000
+#: Characters of text that are encoded at a time.
+SLICE = 8 << 20
 
 
 class LibraryWords:
@@ -38,15 +46,37 @@ class LibraryWords:
             self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)
             self.last[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
 
-        # whether marks stand apart and case makes no difference, as `split` takes it
-        self.folds = self.last is not None and all(self.ids(x) == [i for w in y for i in self.ids(w)] for x, y in (("Ab, cD. é1. 2, x", ("ab", ",", "cd", ".", "é1", ".", "2", ",", "x")), ("ÀÞß. µÑ,", ("àþß", ".", "µñ", ","))))
+        # whether marks stand apart and case makes no difference, as `prepared` takes it
+        self.folds = self.last is not None and all(
+            self.ids(x) == [i for w in y for i in self.ids(w)]
+            for x, y in (
+                ("Ab, cD. é1. 2, x", ("ab", ",", "cd", ".", "é1", ".", "2", ",", "x")),
+                ("ÀÞß. µÑ,", ("àþß", ".", "µñ", ",")),
+            )
+        )
+        self.plain = self._plain_model(path) if self.folds else None
+
+    def _plain_model(self, path: str):
+        """The same model for words of lower-case Latin-1 letters, which need no normalizer and are one pre-token each."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None}
+        step = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, step]}
+        tok = Tokenizer.from_str(json.dumps(spec))
+        sample = "the quick élan über ñandú x ß çaèé internationalization zzzzqqq"
+        return tok if tok.encode(sample, add_special_tokens=False).ids == self.ids(sample) else None
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def _letters(self, new: list[str]) -> None:
         """Ids of words of lower-case Latin-1 letters: each is one pre-token, so its last id has the suffix."""
-        ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        parts = [" ".join(new[a : a + 256]) for a in range(0, len(new), 256)]
+        got = (self.plain or self.tok).encode_batch_fast(parts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(new):
             return self._offsets(new)
@@ -67,14 +97,36 @@ class LibraryWords:
             self.seen[w] = raw[a:b]
 
     def _learn(self, new: list[str]) -> None:
-        letters = [w for w in new if self.last is not None and w.isalpha() and w.islower() and max(w) < "\u0100"]
+        """Ids of new words. Marks after a word of letters are a pre-token of their own, so they are looked up apart."""
+        letters, marked, odd = {}, [], []
+        for w in new:
+            if self.last is not None and w.isalpha() and w.islower() and max(w) < "\u0100":
+                letters[w] = None
+                continue
+            stem = w.rstrip(MARKS) if self.folds else ""
+            if stem and stem != w and stem.isalpha() and stem.islower() and max(stem) < "\u0100":
+                marked.append((w, stem, w[len(stem) :]))
+            else:
+                odd.append(w)
+        seen, old = self.seen, self.old
+        for _, stem, tail in marked:
+            for part, into in ((stem, letters), (tail, None)):
+                if part not in seen:
+                    if part in old:
+                        seen[part] = old[part]
+                    elif into is not None:
+                        into[part] = None
+                    else:
+                        seen[part] = np.array(self.ids(part), np.uint32).tobytes()
         if letters:
-            self._letters(letters)
-        if len(letters) < len(new):
-            self._offsets([w for w in new if w not in self.seen])
+            self._letters(list(letters))
+        if odd:
+            self._offsets(odd)
+        for w, stem, tail in marked:
+            seen[w] = seen[stem] + seen[tail]
 
-    def split(self, text: str) -> list[str]:
-        """Words whose ids make up the text's.
+    def prepared(self, text: str) -> str:
+        """The text with a space between all words whose ids make up its own.
 
         A Latin-1 text is lower-cased here, as the file's normalizer would, and a comma or full stop after a letter
         or digit is a word of its own, as it is a pre-token of its own: fewer different words are met.
@@ -84,39 +136,61 @@ class LibraryWords:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return text.split(" ")
+                return text
             text = text.lower()
             if "_" not in text and not _RUN.search(text):
                 text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+        return text
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; a few hundred texts at a time, for memory."""
-        return [ids for a in range(0, len(texts), 500) for ids in self._encode(texts[a : a + 500])]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; some MB of texts at a time, for memory."""
+        out, a, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= SLICE or i + 1 == len(texts):
+                ids, ends = self.encode_flat(texts[a : i + 1])
+                raw = ids.tobytes()
+                cut = (4 * ends).tolist()
+                out += [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                a, held = i + 1, 0
+        return out
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text begins, and the end).
+
+        Arrow splits the texts and numbers their different words; only those are looked up one by one.
+        """
+        words = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.large_string()), " ")
+        coded = pc.dictionary_encode(words.values)
+        which, got = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
+        n = size[which]
+        end = np.cumsum(n, dtype=np.int64)
+        total = int(end[-1]) if len(end) else 0
+        small = np.int32 if total < 1 << 31 else np.int64
+        start = (np.cumsum(size, dtype=np.int64) - size).astype(small)
+        at = np.repeat(start[which] - (end - n).astype(small), n)
+        at += np.arange(total, dtype=small)
+        ids = np.frombuffer(b"".join(got), np.uint32)[at]
+        return ids, np.concatenate(([0], end))[words.offsets.to_numpy()]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
         if len(self.seen) > CACHE_WORDS:  # words that come again are taken over
             self.old, self.seen = self.seen, {"": b""}
-        seen, old, new = self.seen, self.old, {}
-        out, late = [], []
-        for text in texts:
-            words = self.split(text)
-            got = list(map(seen.get, words))
-            if None in got:
-                for i in [i for i, g in enumerate(got) if g is None]:
-                    w = words[i]
-                    g = seen.get(w) or old.get(w)
-                    if g is None:
-                        new[w] = None
-                        late.append((len(out), i, w))
-                    else:
-                        seen[w] = got[i] = g
-            out.append(got)
-        if new:
-            self._learn(list(new))
-            for k, i, w in late:
-                out[k][i] = seen[w]
-        return list(map(b"".join, out))
+        seen, old, new = self.seen, self.old, []
+        got = list(map(seen.get, words))
+        if None in got:
+            for i in [i for i, g in enumerate(got) if g is None]:
+                g = old.get(words[i])
+                if g is None:
+                    new.append(i)
+                else:
+                    seen[words[i]] = got[i] = g
+            if new:
+                self._learn([words[i] for i in new])
+                for i in new:
+                    got[i] = seen[words[i]]
+        return got
 
 
 _loaded: dict[str, LibraryWords] = {}

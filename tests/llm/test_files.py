@@ -30,12 +30,46 @@ def test_repair_round_trip_and_random_access():
     assert (block.length == np.diff(repair.expansions(block.rules, block.first)[1])).all()
 
 
+def most_frequent(seq, last):
+    """How often the most frequent pair comes, without overlaps, counted plainly from left to right."""
+    count, end = {}, {}
+    for i in range(len(seq) - 1):
+        pair = (int(seq[i]), int(seq[i + 1]))
+        if not last[i] and end.get(pair, -1) < i:
+            count[pair], end[pair] = count.get(pair, 0) + 1, i + 1
+    return max(count.values(), default=0)
+
+
+@pytest.mark.parametrize("kind", ["text", "runs", "copies", "few"])
+def test_repair_goes_on_until_no_pair_is_frequent(kind):
+    rng = np.random.default_rng(5)
+    if kind == "text":
+        parts = [rng.choice(500, rng.integers(1, 300), p=np.arange(500, 0, -1) / 125250) for _ in range(300)]
+    elif kind == "runs":
+        parts = [np.repeat(rng.integers(0, 3, 40), rng.integers(1, 30, 40)) for _ in range(60)]
+    elif kind == "copies":
+        parts = [rng.integers(0, 40000, 700)] * 40 + [rng.integers(0, 40000, 5) for _ in range(100)]
+    else:
+        parts = [np.array([1, 2]), np.array([0]), np.array([3, 3, 3])]
+    tokens = np.concatenate(parts).astype("<u4")
+    ends = np.zeros(len(tokens), bool)
+    ends[np.cumsum([len(p) for p in parts]) - 1] = True
+    seq, last, rules = repair.compress(tokens, ends, 49408)
+    assert most_frequent(seq, last) < repair.LEAST
+    table, begin = repair.expansions(rules, 49408)
+    assert (repair.expand(seq, table, begin, 49408) == tokens).all() and last.sum() == len(parts)
+    if kind == "copies":  # a passage of 700 ids is one symbol a copy
+        assert len(seq) <= 40 + 500
+    if kind == "few":
+        assert not len(rules)
+
+
 @pytest.mark.parametrize("tokens", [repair.BLOCK_TOKENS, 500])
 def test_repair_files(spark, tokens):
     df = documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 100), allowMissingColumns=True)
     tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     files = repair.write(df, "doc_id", fresh_dir(spark, "repair"), block_tokens=tokens)
-    got = sorted(repair.read(spark, files).collect(), key=lambda r: r["start"])
+    got = sorted(repair.read(files).collect(), key=lambda r: r["start"])
     rows = [(r["doc_id"], np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in df.collect()]
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(((r["doc_id"], bytes(r["ids"])) for r in got), key=key) == sorted(rows, key=key)
@@ -43,7 +77,7 @@ def test_repair_files(spark, tokens):
     for r in got:
         assert r["start"] == at and (-1 if r["doc_id"] is None else r["doc_id"]) >= last
         at, last = at + len(r["ids"]) // 4, -1 if r["doc_id"] is None else r["doc_id"]
-    assert sum(f["n_tokens"] for f in files) == at
+    assert sum(f["n_tokens"] for f in files.collect()) == at
 
 
 def test_repair_query(spark):

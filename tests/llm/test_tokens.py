@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,6 +10,7 @@ from tokenizers import Tokenizer
 
 from gridloam.llm import bpe, packing, queries
 from gridloam.llm.common import vocabulary
+from gridloam.llm.words import library_words
 
 from .cases import documents
 
@@ -65,6 +67,17 @@ def test_bpe_query(spark):
     assert not got
 
 
+def test_words_equal_the_library():
+    """Texts of letters, marks, digits and odd white space, by the library and by words."""
+    tok, mine = library("word_bpe_49k.json"), library_words(vocabulary("word_bpe_49k.json"))
+    rng = random.Random(11)
+    bits = ["a", "The", "été", "l'eau", "don't", "x's", "'s", "'", "...", ",", ".", ", ", ". ", "!?", "###", "%%%", " ", "  ", "\n", "\t", "\xa0", "12", "3", "_", "<|endoftext|>", "<|", "|>", "日本", "ﬁ", "İ", "ß", "e\u0301", "$5,000", "\x85", "word", "(", ")", "¿", "µ", "ªº"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(20_000)]
+    got = mine.encode_many(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def check_packed(rows, docs, tok, capacity):
     """Every id in exactly one piece, windows gapless and within the capacity."""
     want = defaultdict(list)

@@ -1,20 +1,24 @@
 """Packing of token sequences into windows of a fixed capacity, by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into pieces of at most a window, and the last, shorter piece of each document is packed
-with those of others. Pieces are dealt at random (by hash) to groups of about `GROUP_WINDOWS` windows. In a group
+A document's ids are cut into pieces of at most a window; pieces that fill one are windows themselves. The last,
+shorter pieces are packed together. So that differencing has small pieces to even things out with, one short piece in
+every `FILL_WINDOWS` windows' worth of ids gives up part of its end: a quarter window, an eighth, and so on.
+
+The pieces are dealt at random (by a hash of the row number) to groups of about `GROUP_WINDOWS` windows. In a group
 each piece starts as a partial partition of k parts of which one is filled; the two partitions with the largest
-differences are merged, the fullest parts of one with the emptiest of the other, until one is left. Its parts
-are the windows. One that is a little over the capacity sheds the excess, cut from the last ids of its pieces,
-into those with room; where that doesn't do, k rises by one and the group is packed again.
+differences are merged, the fullest parts of one with the emptiest of the other, until one is left. Its parts are
+the windows. k is first the least number that can hold the total; whenever a window exceeds the capacity, k rises by
+one and the group is packed again.
 
-Pieces that fill a window are windows themselves. Null texts count as empty and give the end id alone; repeated rows are packed as often as they come;
-an empty table gives no rows.
+Null texts count as empty and give the end id alone; without an end id an empty text has no ids and so no piece.
+Repeated rows are packed as often as they come; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,156 +31,143 @@ from gridloam.llm.common import bounded_batches, stored, texts_of, tidy, vocabul
 from gridloam.llm.words import library_words
 
 CAPACITY = 4096
-GROUP_WINDOWS = 128
-#: Of each piece, the last ids that may go to another window.
-MOVABLE = 256
+GROUP_WINDOWS = 256
+#: One short piece in this many windows' worth of ids is cut into smaller ones.
+FILL_WINDOWS = 2
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     """k lists of indices into sizes with near-equal sums: multiway Karmarkar-Karp, largest difference first.
 
-    Only the parts that hold something are stored, in falling order of their sums; the others are empty.
+    Only the parts that hold something are stored, fullest first, as (minus the sum, number, tree of indices);
+    the others are empty.
     """
     if k <= 0 or not len(sizes):
         return [[] for _ in range(max(k, 0))]
-    heap = [(-int(s), i, [(int(s), [i])]) for i, s in enumerate(sizes)]
+    heap = [(-s, i, [(-s, i, i)]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     n = len(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        # the parts of b, smallest last, go to the emptiest parts of a, of which there may be wholly empty ones
-        free = k - len(a)
-        new = a[:]
-        if free >= len(b):
-            new += b
-        else:
-            new += b[len(b) - free :] if free else []
-            for j, (s, items) in enumerate(b[: len(b) - free]):
-                t, have = new[len(a) - 1 - j]
-                new[len(a) - 1 - j] = (t + s, have + items)
-        new.sort(key=lambda x: -x[0])
-        least = new[-1][0] if len(new) == k else 0
+        a, b = heapq.heappop(heap)[2], heap[0][2]
+        if len(b) > len(a):
+            a, b = b, a
         n += 1
-        heapq.heappush(heap, (least - new[0][0], n, new))
-    parts = [items for _, items in heap[0][2]]
+        if len(b) == 1 and len(a) == k:
+            s, _, x = a.pop()
+            t, _, y = b[0]
+            insort(a, (s + t, n, (x, y)))
+        else:
+            # the fullest parts of b take the empty parts of a, the next ones its emptiest that hold something
+            free, held = k - len(a), len(a)
+            for j, (t, _, y) in enumerate(b[free:]):
+                s, u, x = a[held - 1 - j]
+                a[held - 1 - j] = (s + t, u, (x, y))
+            a += b[:free]
+            a.sort()
+        least = a[-1][0] if len(a) == k else 0
+        heapq.heapreplace(heap, (a[0][0] - least, n, a))
+    parts = []
+    for _, _, tree in heap[0][2]:
+        stack, items = [tree], []
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
+                stack += x
+            else:
+                items.append(x)
+        parts.append(sorted(items))
     return parts + [[] for _ in range(k - len(parts))]
 
 
-def windows_of(sizes: np.ndarray, capacity: int, movable: int = 0) -> list[list[tuple[int, int, int]]]:
-    """Windows of (index, from, to) ranges of the pieces, with sums of at most the capacity.
-
-    The least window count that can hold the total is tried first. A window that differencing leaves a little
-    over the capacity sheds the excess from the last `movable` ids of its pieces into windows with room; where
-    that doesn't do, the window count rises by one and differencing starts again.
-    """
+def windows_of(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Windows of pieces (indices into sizes) with sums of at most the capacity; the count rises until all fit."""
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         parts = differencing(sizes, k)
-        windows, shed = [], []
-        for items in parts:
-            over = max(0, int(sizes[items].sum()) - capacity)
-            out = []
-            for i in sorted(items, key=lambda i: -sizes[i]):
-                n = int(sizes[i])
-                c = min(over, movable, n - 1)
-                out.append((i, 0, n - c))
-                if c:
-                    shed.append((i, n - c, n))
-                over -= c
-            if over:
-                break
-            windows.append(sorted(out))
-        else:
-            room = [(-(capacity - sum(b - a for _, a, b in w)), j) for j, w in enumerate(windows)]
-            heapq.heapify(room)
-            for i, a, b in shed:
-                while a < b:
-                    free, j = heapq.heappop(room)
-                    c = min(b - a, -free)
-                    windows[j].append((i, a, a + c))
-                    a += c
-                    heapq.heappush(room, (free + c, j))
-            return [w for w in windows if w]
+        if all(sizes[p].sum() <= capacity for p in parts):
+            return [p for p in parts if p]
         k += 1
 
 
+def cuts_of(length: int, capacity: int, filler: bool) -> list[int]:
+    """Lengths of the pieces of a document; with `filler` the last short one gives up part of its end."""
+    out = [capacity] * (length // capacity)
+    rest = length % capacity
+    tail = []
+    if filler:
+        part = min(capacity // 4, rest // 2)
+        while part >= max(1, capacity // 256):
+            tail.append(part)
+            rest -= part
+            part //= 2
+    return out + [x for x in (rest, *tail) if x]
+
+
 def cut_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
-    """(key, start, length, doc_tokens, ids): every text's ids with the end id, in pieces of at most the capacity."""
+    """(key, start, length, doc_tokens, ids, ids_crc32): every text's ids with the end id, in pieces of at most the capacity."""
     path = path or vocabulary("word_bpe_49k.json")
     end = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
-    step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0  # ids in short pieces so far
         for b in batches:
             row, start, length, total, ids = [], [], [], [], []
             for i, got in enumerate(library_words(path).encode_many(b.column(1).to_pylist())):
                 got += end
-                for at in range(0, len(got), step):
-                    piece = got[at : at + step]
-                    row.append(i), start.append(at // 4), length.append(len(piece) // 4), total.append(len(got) // 4), ids.append(piece)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], [key, "start", "length", "doc_tokens", "ids"])
+                n, at, before = len(got) // 4, 0, held
+                held += n % capacity
+                filler = held // (FILL_WINDOWS * capacity) > before // (FILL_WINDOWS * capacity)
+                for size in cuts_of(n, capacity, filler):
+                    row.append(i), start.append(at), length.append(size), total.append(n)
+                    ids.append(got[4 * at : 4 * (at + size)])
+                    at += size
+            columns = [b.column(0).take(pa.array(row, pa.int64()))]
+            columns += [pa.array(c, pa.int64()) for c in (start, length, total)]
+            columns += [pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "start", "length", "doc_tokens", "ids", "ids_crc32"])
 
     bounded_batches(df.sparkSession)
     df = texts_of(df, text, key)
-    return df.mapInArrow(tidy(run), f"`{key}` {df.schema[0].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
+    kind = df.schema[0].dataType.simpleString()
+    return df.mapInArrow(tidy(run), f"`{key}` {kind}, start long, length long, doc_tokens long, ids binary, ids_crc32 long")
 
 
 def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
-    """Windows of pieces: (all columns of the pieces, sequence_id, offset), a row for each piece or part of a piece.
+    """Windows of pieces: (all columns of the pieces, sequence_id, offset).
 
-    `ids` holds a piece's ids or its last ones only; the rows before those are then summed up in `head_crc32`, and
-    the result has `ids_crc32` in place of both. The rows are read twice (for their total, then to pack), so give
-    a table or a checkpoint.
+    The rows are read twice (for their total, then to pack) and dealt by their numbers, so give a stored table. Equal
+    rows have different numbers, so they are spread like any others.
     """
     part = (F.col("length") < capacity) & (F.col("length") > 0)
     total = pieces.agg(F.sum(F.when(part, F.col("length"))).alias("n")).first()["n"] or 0
     groups = max(1, round(total / (capacity * group_windows)))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)).cast("long"))
-    digest = "head_crc32" in pieces.columns
-    order = [c for c in pieces.columns if c != "ids"]
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
         size = pdf["length"].to_numpy(np.int64)
-        whole = np.flatnonzero((size >= capacity) | (size == 0))
-        rest = np.flatnonzero((size < capacity) & (size > 0))
-        rows = [(i, 0, int(size[i]), w, 0) for w, i in enumerate(whole.tolist())]
-        kept = pdf["ids"].map(len).to_numpy(np.int64) // 4
-        if len(rest):
-            for w, items in enumerate(windows_of(size[rest], capacity, MOVABLE)):
-                at = 0
-                for i, a, b in items:
-                    rows.append((int(rest[i]), a, b, len(whole) + w, at))
-                    at += b - a
-        src, a, b, seq, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        out = pdf.iloc[src].reset_index(drop=True)
-        ids = out.pop("ids")
-        lead = (size - kept)[src]  # ids that are not held
-        cut = [x[4 * max(0, p - m) : 4 * (q - m)] for x, p, q, m in zip(ids, a.tolist(), b.tolist(), lead.tolist(), strict=True)]
-        if digest:
-            head = out.pop("head_crc32").to_numpy(np.int64)
-            out["ids_crc32"] = [zlib.crc32(x, h if p == 0 else 0) for x, h, p in zip(cut, head.tolist(), a.tolist(), strict=True)]
-        else:
-            out["ids"] = cut
-        out["start"] = out["start"].to_numpy(np.int64) + a
-        out["length"] = b - a
-        out["sequence_id"] = out.pop("_group").to_numpy(np.int64) * (1 << 32) + seq
+        short = np.flatnonzero((size < capacity) & (size > 0))
+        seq, offset, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0
+        for n, items in enumerate(windows_of(size[short], capacity) if len(short) else [], 1):
+            at = short[items]
+            seq[at] = n - 1
+            offset[at] = np.cumsum(size[at]) - size[at]
+        whole = np.ones(len(size), bool)
+        whole[short] = False
+        seq[whole] = n + np.arange(whole.sum())
+        out = pdf.drop(columns="_group")
+        out["sequence_id"] = pdf["_group"].to_numpy(np.int64) * (1 << 32) + seq
         out["offset"] = offset
         return out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("ids", "head_crc32"))
-    return dealt.groupBy("_group").applyInPandas(run, fields + (", ids_crc32 long" if digest else ", ids binary") + ", sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return dealt.groupBy("_group").applyInPandas(run, fields + ", sequence_id long, offset long")
 
 
 def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
     """(key, start, length, doc_tokens, ids, sequence_id, offset): the pieces with their ids and their windows."""
-    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path)), capacity)
+    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path).drop("ids_crc32"), "pieces"), capacity)
 
 
 def pack_digests(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
-    """`pack` with the crc32 of each piece's ids in their place: of a piece only its last ids, which may move, are moved."""
-    pieces = cut_pieces(df, key, text, capacity, end_id, path)
-    held = F.when(F.col("length") >= capacity, F.lit(0)).otherwise(F.least(F.octet_length("ids"), F.lit(4 * MOVABLE)))
-    pieces = pieces.withColumn("head_crc32", F.crc32(F.substring(F.col("ids"), F.lit(1), F.octet_length("ids") - held)))
-    return assign_windows(stored(pieces.withColumn("ids", F.substring(F.col("ids"), F.octet_length("ids") - held + 1, held))), capacity)
+    """`pack` with the crc32 of each piece's ids in their place; no ids are moved."""
+    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path).drop("ids"), "pieces"), capacity)

@@ -111,20 +111,47 @@ class ByteBPE:
             got = self.cache[word] = np.array(self.merge(word.encode()), np.uint32).tobytes()
         return got
 
+    def _run(self, text: str) -> bytes:
+        return b"".join(map(self._word, self.words.findall(text)))
+
     def _plain(self, text: str) -> bytes:
-        if "  " in text:
-            return b"".join(map(self._word, self.words.findall(text)))
-        # No pre-token reaches over a single space but by starting with it, so the text falls apart there.
+        # A space between two characters that are no white space starts a pre-token, and none reaches over it; so the
+        # text falls apart there. Runs of white space, which pre-tokens divide otherwise, stay within their part.
         head, *rest = text.split(" ")
-        out = [b"".join(map(self._word, self.words.findall(head)))]
+        if not rest:
+            return self._run(head)
         got = list(map(self.chunks.get, rest))
         if None in got:
             if len(self.chunks) > CACHE_WORDS:
                 self.chunks.clear()
             for i, g in enumerate(got):
                 if g is None:
-                    got[i] = self.chunks[rest[i]] = b"".join(map(self._word, self.words.findall(" " + rest[i])))
-        return b"".join(out + got)
+                    x = rest[i]
+                    if not x or x[0].isspace() or x[-1].isspace():
+                        return self._mixed([head, *rest])
+                    got[i] = self.chunks[x] = self._run(" " + x)
+        if not head or head[-1].isspace():
+            return self._mixed([head, *rest])
+        return b"".join([self._run(head), *got])
+
+    def _mixed(self, parts: list[str]) -> bytes:
+        """Ids of parts with a space between each two, of which some are empty or have other white space at an end."""
+        out, a, n = [], 0, len(parts)
+        for i in range(1, n + 1):
+            if i < n and (not parts[i - 1] or parts[i - 1][-1].isspace() or not parts[i] or parts[i][0].isspace()):
+                continue
+            if i - a > 1 or not a:
+                out.append(self._run((" " if a else "") + " ".join(parts[a:i])))
+            else:
+                x = parts[a]
+                got = self.chunks.get(x)
+                if got is None:
+                    got = self._run(" " + x)
+                    if x and not x[0].isspace() and not x[-1].isspace():
+                        self.chunks[x] = got
+                out.append(got)
+            a = i
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

@@ -93,14 +93,15 @@ def test_repair_query(spark):
 
 
 def brute(rows, k=5):
-    """Each query's k best, in plain Python."""
+    """Each query row's k best, in plain Python; scores are held within 64 bits."""
     ok = [(i, [int(np.floor(256 * float(c))) for c in v]) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
-    out = []
-    for q in sorted({i for i, _ in ok if i % 50 == 0}):
-        x = min(v for i, v in ok if i == q)
-        best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in ok if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    return out
+    most, out = 2**63 - 1, []
+    for q, x in ok:
+        if q % 50 == 0:
+            held = lambda v: max(-most, min(most, v))
+            best = sorted((-held(sum(a * b for a, b in zip(x, v, strict=True))), i) for i, v in ok if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block", [4096, 40])
@@ -115,6 +116,24 @@ def test_topk(spark, monkeypatch, block):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
 
 
+def test_topk_huge_components(spark):
+    """Finite components of any size count; what no 64 bits hold is held at their ends."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [(150, [3e9] * 4), (151, [-3e9] * 4), (152, [3e9, 1.0, 0.0, 0.0]), (153, [1e300] * 4), (154, [2.0**30, 0.0, 0.0, 5.0]), (200, [2.0**21, 3.0, 1.0, 0.5]), (155, [1e308] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, lambda i: i % 50 == 0).collect()
+    want = brute([r for r in rows if r[0] != 155])  # not finite once scaled
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
+def test_topk_leaves_the_session_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    topk.search(df, lambda i: i % 50 == 0).collect()
+    assert int(spark.conf.get(name)) >= 2000
+
+
 def test_topk_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.25])], "vec_id long, embedding array<float>")
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, lambda i: i % 50 == 0).collect()) == brute([tuple(r) for r in df.collect()])

@@ -48,6 +48,17 @@ def test_bpe_every_character(spark):
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, hex(a)
 
 
+def test_bpe_mixed_white_space():
+    """Runs of white space that hold spaces and others, anywhere in a text."""
+    tok, mine = library("byte_bpe_50k.json"), bpe.ByteBPE(vocabulary("byte_bpe_50k.json"))
+    assert np.frombuffer(mine.encode("a \xa0 \xa0 b"), "<u4").tolist() == [64, 11504, 275]
+    rng = random.Random(7)
+    bits = [" ", " ", " ", "\xa0", "\t", "\n", "\r\n", "\u3000", "\x85", "\x1c", "\u200b", "a", "b", "word", "don't", "12", "...", "é", "<|endoftext|>", "'s"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(100_000)]
+    for t, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == want.ids, repr(t)
+
+
 def test_bpe_long_words_and_any_ids():
     tok, mine = library("byte_bpe_50k.json"), bpe.load(vocabulary("byte_bpe_50k.json"))
     for t in ("ab" * 2000, "abcdefghijklmnop" * 100, "é" * 999):
@@ -117,10 +128,37 @@ def test_packing(spark, capacity):
 def test_packing_with_ids_and_empty(spark):
     rows = all_docs(spark)
     got = packing.pack(documents(spark), "doc_id", capacity=100)
-    assert [c for c in got.columns if c != "doc_id"] == ["start", "length", "doc_tokens", "ids", "sequence_id", "offset"] or "ids" in got.columns
+    assert got.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
     for r in got.collect():
         assert len(r["ids"]) == 4 * r["length"]
     assert packing.pack(frame(spark, rows).where("false"), "doc_id").count() == 0
+    bare = packing.pack(documents(spark), "doc_id", end_id=None).select("doc_id").distinct().collect()
+    assert 0 not in {r["doc_id"] for r in bare} and 2 in {r["doc_id"] for r in bare}
+
+
+def test_window_count_rises_until_all_fit():
+    assert sorted(map(len, packing.windows_of(np.array([3, 3, 3]), 4))) == [1, 1, 1]  # nine of four would be three windows
+    assert len(packing.windows_of(np.array([3, 3, 2]), 4)) == 3  # eight of four would be two
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 60, 500):
+        sizes = rng.integers(1, 100, n)
+        windows = packing.windows_of(sizes, 100)
+        assert sorted(i for w in windows for i in w) == list(range(n)) and max(sizes[w].sum() for w in windows) <= 100
+        assert len(windows) <= 1.35 * sizes.sum() / 100 + 1
+
+
+def test_cuts_cover_a_document():
+    for n in (0, 1, 15, 16, 4095, 4096, 4097, 9000):
+        for filler in (False, True):
+            got = packing.cuts_of(n, 4096, filler)
+            assert sum(got) == n and all(0 < x <= 4096 for x in got)
+    assert packing.cuts_of(5000, 4096, True) == [4096, *packing.cuts_of(904, 4096, True)] and len(packing.cuts_of(904, 4096, True)) > 4
+
+
+def test_padding_is_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_digests(docs, "doc_id").agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("w")).first()
+    assert got["n"] > 0.985 * 4096 * got["w"]
 
 
 def test_differencing_is_a_partition():

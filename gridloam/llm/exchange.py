@@ -24,27 +24,39 @@ def loosen(raw: bytes, kind) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of as many bytes as the largest needs."""
+    """Sorted keys as differences of as many bytes as the largest needs; the upper bytes, mostly small, are squeezed."""
     if not len(keys):
         return b""
     step = np.diff(keys, prepend=keys[:1])
     width = max(1, -(-int(step.max()).bit_length() // 8))
-    body = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + body.tobytes()
+    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)
+    head = bytes([width]) + int(keys[0]).to_bytes(8, "little") + len(keys).to_bytes(4, "little")
+    body = head + planes[:, : min(width, 4)].tobytes()
+    return body + squeeze(np.ascontiguousarray(planes[:, 4:width].T)) if width > 4 else body
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.uint64)
-    width = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    step = np.zeros((len(body), 8), np.uint8)
-    step[:, :width] = body
-    step = step.reshape(-1).view("<u8").astype(np.uint64)
+    width, n = raw[0], int.from_bytes(raw[9:13], "little")
+    low = min(width, 4)
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :low] = np.frombuffer(raw, np.uint8, n * low, 13).reshape(-1, low)
+    if width > 4:
+        planes[:, 4:width] = loosen(raw[13 + n * low :], np.uint8).reshape(width - 4, n).T
+    step = planes.reshape(-1).view("<u8").astype(np.uint64)
     step[0] = int.from_bytes(raw[1:9], "little")
     return np.cumsum(step, dtype=np.uint64)
 
 
+def pack_flags(flags: np.ndarray) -> bytes:
+    return squeeze(np.packbits(flags))
+
+
+def unpack_flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(loosen(raw, np.uint8), count=n).astype(bool)
+
+
 def pack_counts(n: np.ndarray) -> bytes:
     """Counts, of which nearly all are small."""
     small = np.minimum(n, 255).astype(np.uint8)

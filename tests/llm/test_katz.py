@@ -18,46 +18,55 @@ def words(text):
     return [*re.findall("[^\\x20\\x09-\\x0D]+", folded), None]
 
 
-def brute(rows):
+def brute(rows, order=3):
     """The model in plain dictionaries: (id, learn, text) to what `score` gives."""
-    one, two = Counter(), defaultdict(Counter)
+    one, after = Counter(), [defaultdict(Counter) for _ in range(order + 1)]
     for _, learn, text in rows:
         if learn:
             w = words(text)
             one.update(w)
-            for h, x in zip(["<s>", *w[:-1]], w, strict=True):
-                two[h][x] += 1
-    d1 = katz.discounts(Counter(one.values()))
-    d2 = katz.discounts(Counter(n for c in two.values() for n in c.values()))
+            full = ["<s>", *w]
+            for i in range(1, len(full)):
+                for k in range(2, order + 1):
+                    if i >= k - 1:
+                        after[k][tuple(full[i - k + 1 : i])][full[i]] += 1
+    d = {1: katz.discounts(Counter(one.values()))}
+    for k in range(2, order + 1):
+        d[k] = katz.discounts(Counter(n for c in after[k].values() for n in c.values()))
     total, types = sum(one.values()), len(one)
-    cut = lambda n, d: n * (d[n] if n < len(d) else 1.0)
-    mass = sum(cut(n, d1) for n in one.values())
+    cut = lambda n, k: n * (d[k][n] if n < len(d[k]) else 1.0)
+    mass = sum(cut(n, 1) for n in one.values())
     scale = 1.0 if total and total - mass > 1e-12 * total else total / (total + 1)
     unknown = 1 - scale * mass / total if total else 1.0
-    p1 = lambda w: scale * cut(one[w], d1) / total if w in one else unknown
     cache = {}
 
     def history(h):
         if h not in cache:
-            c, n = two[h], sum(two[h].values())
-            seen = sum(cut(x, d2) for x in c.values()) / n
-            g = 1.0 if seen <= 1 - 1e-9 else n / (n + 1)
-            cache[h] = (g, n, (1 - g * seen) / (1 - sum(p1(w) for w in c)))
+            k = len(h) + 1
+            c, n = after[k][h], sum(after[k][h].values())
+            seen = sum(cut(x, k) for x in c.values()) / n
+            g = 1.0 if any(cut(x, k) < x for x in c.values()) else n / (n + 1)
+            cache[h] = (g, n, (1 - g * seen) / (1 - sum(p(h[1:], w) for w in c)))
         return cache[h]
 
-    def p2(h, w):
-        if h not in two:
-            return p1(w)
+    def p(h, w):
+        if not h:
+            return scale * cut(one[w], 1) / total if w in one else unknown
+        k = len(h) + 1
+        if h not in after[k]:
+            return p(h[1:], w)
         g, n, alpha = history(h)
-        return g * cut(two[h][w], d2) / n if w in two[h] else alpha * p1(w)
+        return g * cut(after[k][h][w], k) / n if w in after[k][h] else alpha * p(h[1:], w)
 
-    for h in list(two)[:50]:  # exactly normalised: all known words and the unknown one
-        assert sum(p2(h, w) for w in one) + p2(h, "never seen") == pytest.approx(1, abs=1e-9)
+    for k in range(2, order + 1):
+        for h in list(after[k])[:30]:  # exactly normalised: all known words and the unknown one
+            assert sum(p(h, w) for w in one) + p(h, "never seen") == pytest.approx(1, abs=1e-9)
     out = []
     for i, learn, text in rows:
         w = words(text)
+        full = ["<s>", *w]
         base = sum(log10((one[x] + 1) / (total + types + 1)) for x in w)
-        score = sum(log10(p2(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True))
+        score = sum(log10(p(tuple(full[max(0, j - order + 1) : j]), full[j])) for j in range(1, len(full)))
         out.append((i, learn, len(w), sum(x in one for x in w), total, base, score))
     return out
 
@@ -70,22 +79,36 @@ def same(got, want):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
-def test_hard_cases_against_brute_force(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_hard_cases_against_brute_force(spark, order):
     df = documents(spark)
-    more = spark.createDataFrame([(50 + i, t) for i, t in enumerate(["a b a b a b c", "a b", "a B c d", "x y", "x y", "x y", "Y x", "hello world x y"] * 2)], "doc_id long, text string")
-    df = df.unionByName(more, allowMissingColumns=True)
+    lines = ["a b a b a b c", "a b", "a B c d", "x y", "x y", "x y", "Y x", "hello world x y", "q r s", "q r s", "q r s", "q r s t", "b a b z"]
+    more = spark.createDataFrame([(50 + i, t) for i, t in enumerate(lines * 2)], "doc_id long, text string")
+    df = df.unionByName(more, allowMissingColumns=True).repartition(5)
     for learn in (F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)), F.lit(True), F.lit(False)):
         rows = [(r[0], r[1], r[2]) for r in df.select("doc_id", learn, "text").collect()]
-        same(katz.score(df, learn).collect(), brute(rows))
-    assert katz.score(df.where("false"), F.lit(True)).count() == 0
+        same(katz.score(df, learn, order=order, chunk_bytes=40).collect(), brute(rows, order))
+    if order == 3:
+        assert katz.score(df.where("false"), F.lit(True)).count() == 0
 
 
-def test_query_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(katz, "CHUNK_ROWS", 30)
+def test_histories_that_free_nothing(spark):
+    """A history whose followers all come often is scaled, so that others after it have a probability."""
+    rows = [(i, f"the same line is here {i % 3}") for i in range(60)] + [(101, "the same thing is here 9"), (102, "is here 1 more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    learn = F.col("doc_id") < 100
+    for order in (2, 3):
+        got = katz.score(df, learn, order=order, chunk_bytes=200).collect()
+        same(got, brute([(r[0], r[0] < 100, r[1]) for r in rows], order))
+
+
+def test_query_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", ~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2), "text").collect()]
     got = queries.op6_katz(spark, SF).withColumn("held_out", ~F.col("held_out"))
-    same(got.collect(), brute(rows))
+    want = brute(rows)
+    same(got.collect(), want)
+    same(katz.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, chunk_bytes=50_000).collect(), want)
 
 
 def test_blocks():

@@ -77,6 +77,14 @@ def buckets_for(total_bytes: int) -> int:
     return max(64, total_bytes >> 23)
 
 
+def tasks_for(spark, total_bytes: int) -> int:
+    """Tasks for steps that take a chunk at a time: about 32 MB of text each, but not under the session's number.
+
+    Their rows are small beside the work that they stand for, so adaptive execution would put too many into a task.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(total_bytes >> 25, 1_000_000))
+
+
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's keys begin, and the end."""
     edge = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)

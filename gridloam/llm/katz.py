@@ -47,6 +47,7 @@ from gridloam.llm.exchange import (
     pack_flags,
     pack_keys,
     squeeze,
+    tasks_for,
     unpack_counts,
     unpack_flags,
     unpack_keys,
@@ -425,7 +426,8 @@ def score(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
     where = fresh_dir(spark, "katz")
     rows = texts_of(df.withColumn("_learn", F.coalesce(learn_from, F.lit(False))), text, key, "_learn")
     rows = rows.select(F.col(key).cast("long").alias("id"), F.encode("text", "UTF-8").alias("text"), "_learn")
-    buckets = buckets_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, spread = buckets_for(size), tasks_for(spark, size)
     bounded_batches(spark)
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
 
@@ -474,7 +476,7 @@ def score(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
             if total is None:
                 return spark.createDataFrame([], f"`{key}` long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         if k < order:
-            asked = answers[k].where("chunk >= 0").groupBy("chunk").applyInPandas(next_asks(k), ASK)
+            asked = answers[k].where("chunk >= 0").repartition(spread, "chunk").groupBy("chunk").applyInPandas(next_asks(k), ASK)
     world = World(total, types, rows.where("_learn").count(), few)
 
     def histories(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -493,7 +495,7 @@ def score(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
         trim()
         return pd.DataFrame(out, columns=columns_of(SUMS))
 
-    summed = answers[order].where("chunk >= 0").groupBy("chunk").applyInPandas(histories, SUMS)
+    summed = answers[order].where("chunk >= 0").repartition(spread, "chunk").groupBy("chunk").applyInPandas(histories, SUMS)
     weights = stored(summed.groupBy("level", "bucket").applyInPandas(sums_of, "bucket int, chunk long, level int, freed binary, lower binary"), "katz-weights")
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -505,4 +507,4 @@ def score(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
         ids = pd.array(p.ids, "Int64")
         return pd.DataFrame({key: ids, "learned": p.learn, "n_tokens": p.sizes, "n_known": p.known, "train_tokens": world.total, "base_score": p.base, "score": finish(p, replies, order)})
 
-    return weights.groupBy("chunk").applyInPandas(last, f"`{key}` long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return weights.repartition(spread, "chunk").groupBy("chunk").applyInPandas(last, f"`{key}` long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

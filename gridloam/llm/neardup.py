@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from gridloam.llm.common import bounded_batches, fresh_dir, mix64, read_bytes, stored, texts_of, tidy, trim, word_hashes, write_bytes
 from gridloam.llm.components import components
-from gridloam.llm.exchange import BITS, buckets_for, cuts, grouped, loosen, pack_counts, pack_keys, squeeze, unpack_counts, unpack_keys
+from gridloam.llm.exchange import BITS, buckets_for, cuts, grouped, loosen, pack_counts, pack_keys, squeeze, tasks_for, unpack_counts, unpack_keys
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 12
-ROWS = 2
+#: Texts at the similarity miss each other in all bands once in a million; at 0.5 four in five meet, at 0.3 one in five.
+BANDS = 26
+ROWS = 4
 CHUNK_BYTES = 6 << 20
 #: Texts, and shingles, of a group that one task takes.
 GROUP_TEXTS = 4096
@@ -195,12 +196,13 @@ def links(keys: list[np.ndarray], weights: list[np.ndarray], least: float, other
             return
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(key, class_id) of every row."""
     spark = df.sparkSession
     where = fresh_dir(spark, "neardup")
     rows = texts_of(df, text, key).select(F.col(key).cast("long").alias("id"), F.encode("text", "UTF-8").alias("text"))
-    buckets = buckets_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, spread = buckets_for(size), tasks_for(spark, size)
     bounded_batches(spark)
 
     def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
             a, held = 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
-                if held < CHUNK_BYTES and i + 1 < len(texts):
+                if held < chunk_bytes and i + 1 < len(texts):
                     continue
                 number = part << 32 | made
                 made += 1
@@ -254,7 +256,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
                     out.append((None, int(chunk.fps[chunk.known[p]]), b.tolist(), pack_keys(chunk.keys[chunk.at[s]]) + w[s].astype("<f8").tobytes(), s.stop - s.start))
         return pd.DataFrame({"id": pd.array([r[0] for r in out], "Int64"), "fp": pd.array([r[1] for r in out], "Int64"), "bands": [r[2] for r in out], "vector": [r[3] for r in out], "n": [r[4] for r in out]})
 
-    sampled = stored(answers.groupBy("chunk").applyInPandas(sample, "id long, fp long, bands array<long>, vector binary, n long"), "neardup-samples")
+    sampled = stored(answers.repartition(spread, "chunk").groupBy("chunk").applyInPandas(sample, "id long, fp long, bands array<long>, vector binary, n long"), "neardup-samples")
     members, vectors = sampled.where("bands is null").select("id", "fp"), sampled.where("bands is not null").select("fp", "bands", "vector", "n")
     met = vectors.select("fp", F.explode("bands").alias("band"))
     centre = met.groupBy("band").agg(F.min("fp").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "centre")
@@ -264,7 +266,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     weight = groups.join(vectors.select(F.col("fp").alias("u"), "n"), "u").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("texts") / GROUP_TEXTS), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("int")
     # of a group that is too large for one task: twice as many blocks, so that a pair of them has as much as a task takes
-    weight = weight.select("root", F.when(parts > 1, 2 * parts).otherwise(1).alias("blocks"))
+    # stored, so that the join has an exchange on either side and a large group is split
+    weight = stored(weight.select("root", F.when(parts > 1, 2 * parts).otherwise(1).alias("blocks")), "groups")
     placed = groups.join(weight, "root").select(F.col("u").alias("fp"), "root", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = placed.select("fp", "root", "block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(others, lambda x: x != F.col("block")))).alias("with"))

@@ -87,9 +87,8 @@ def planted(n_groups=12, seed=4):
 @pytest.mark.parametrize("texts", [4096, 6])
 def test_classes_against_brute_force(spark, monkeypatch, texts):
     monkeypatch.setattr(neardup, "GROUP_TEXTS", texts)
-    monkeypatch.setattr(neardup, "CHUNK_ROWS", 50)
     rows = planted()
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", chunk_bytes=20_000).collect()}
     assert got == brute(rows)
 
 

@@ -23,13 +23,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.7; the model learns from three quarters of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = quality_model.scorer(spark, quality_model.train(docs, labels, fold("doc_id", 4) != 2))
-    return docs.withColumn("_score", score(F.col("text"))).where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    name = _spare(docs, "score")
+    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that three quarters of the documents' tags teach."""
     found = langid.predictor(spark, langid.train(docs.where(fold("doc_id", 4) != 2), "doc_id", "text", "lang"))
-    return docs.withColumn("_found", found(F.col("text").cast("string"))).where(F.col("_found.lang_pred") != langid.UNKNOWN).drop("_found")
+    name = _spare(docs, "found")
+    return docs.withColumn(name, found(F.col("text").cast("string"))).where(F.col(name)["lang_pred"] != langid.UNKNOWN).drop(name)
+
+
+def _spare(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -39,13 +48,15 @@ def _few(ids: DataFrame) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the smallest id; rows without an id come after the others."""
     # stored, so that a row keeps its key; an id may be missing or have two texts
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    classes = stored(neardup.classes(rows, "_row"), "classes").join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    best = stored(classes.groupBy("class_id").agg(first["_row"].alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first"), "firsts")
-    gone = stored(classes.join(best, "class_id").where("_row <> first").select("_row"), "gone")
-    rows = rows.join(_few(gone), "_row", "left_anti")
-    kept = rows.drop("_row")
+    row = _spare(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    classes = stored(neardup.classes(rows, row), "classes").join(rows.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("first")))
+    best = classes.groupBy("class_id").agg(first["first"].alias("first"), F.count("*").alias("n")).where("n > 1")
+    best = stored(best.select("class_id", "first"), "firsts")
+    gone = stored(classes.join(best, "class_id").where(F.col(row) != F.col("first")).select(row), "gone")
+    rows = rows.join(_few(gone), row, "left_anti")
+    kept = rows.drop(row)
     twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept

@@ -204,11 +204,12 @@ def cut(contexts: list[tuple[str, int]]) -> list[list[str]]:
 
 
 def train(docs: DataFrame, key: str, text: str, lang: str, documents: int = DOCUMENTS_A_LANGUAGE) -> Blocks:
-    """Models of all languages of the rows with a text and a language; a hash of the key chooses a language's sample."""
+    """Models of all languages of the rows with a text and a language; a hash of the key (of the text, if the key is null) chooses a language's sample."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
+    chosen = F.when(F.col("k").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("k"))
     # stored, so that the planner knows the size and sends a small table rather than the texts
     most = stored(rows.groupBy("l").agg(F.least(F.lit(1 << 30), F.floor(F.lit((1 << 30) * documents) / F.count("*"))).cast("long").alias("most")), "langid-shares")
-    grams = stored(gram_counts(rows.join(most, "l").where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("most")), "t", "l"), "langid-grams")
+    grams = stored(gram_counts(rows.join(most, "l").where(F.pmod(chosen, F.lit(1 << 30)) < F.col("most")), "t", "l"), "langid-grams")
     often = np.zeros(256)
     for r in grams.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
         often[r["byte"]] = r["n"]

@@ -135,7 +135,15 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {"none": bytes, "lzw": lzw_decode, "deflate": lambda b: zlib.decompressobj().decompress(b), "packbits": packbits_decode}
+#: Each takes a segment and the most bytes that are of use.
+DECODERS = {
+    "none": lambda b, most: bytes(b[:most]),
+    "lzw": lambda b, most: lzw_decode(b),
+    "deflate": lambda b, most: zlib.decompressobj().decompress(b, most),
+    "packbits": lambda b, most: packbits_decode(b),
+}
+#: No coding gives more bytes than this for one that is stored; a page that claims more is not unpacked.
+MOST_RATIO = 4096
 ENCODERS = {"none": bytes, "lzw": lzw_encode, "deflate": lambda b: zlib.compress(b, 1), "packbits": packbits_encode}
 
 
@@ -217,6 +225,8 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[np.nda
     at, sizes = (tags.get(TILES, ()), tags.get(TILE_BYTES, ())) if tiled else (tags.get(STRIPS, ()), tags.get(STRIP_BYTES, ()))
     if not width or not height or not across or not down:
         return np.zeros((height, width, spp), kind), "no size"
+    if width * height * spp * bits > 8 * MOST_RATIO * (len(data) + 16) or across * down > MOST_RATIO * (len(data) + 16):
+        return np.zeros((0, 0, 1), kind), "larger than its data can be"
     cols, rows = -(-width // across), -(-height // down)
     planes, each = (spp, 1) if planar == 2 else (1, spp)
     out, error = np.zeros((height, width, spp), kind), ""
@@ -227,7 +237,7 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[np.nda
         raw = b""
         if k < min(len(at), len(sizes)):
             try:
-                raw = DECODERS[coding](data[at[k] : at[k] + sizes[k]])
+                raw = DECODERS[coding](data[at[k] : at[k] + sizes[k]], line * high)
             except (ValueError, zlib.error, IndexError) as e:
                 error = f"segment {k}: {e}"
         if len(raw) < line * high:
@@ -284,7 +294,10 @@ def from_texts(df: DataFrame, key: str, text: str = "text", coding: str = "defla
 
 
 def features(df: DataFrame, key: str, samples: str = "samples") -> DataFrame:
-    """(all columns, feature): size, mean, spread, share of zeros and edge strength of each page, as a short text."""
+    """(all columns, feature): size, and mean, spread, entropy and edge strength of a page's bytes, as a short text.
+
+    Samples of more than a byte, and several samples of a pixel, count byte by byte.
+    """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

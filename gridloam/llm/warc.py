@@ -50,11 +50,14 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def member(record: bytes) -> bytes:
-    """A gzip member with the lengths of itself and of what it holds in its header."""
+    """A gzip member with the lengths of itself and of what it holds in its header, if 32 bits hold them."""
     squeeze = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = squeeze.compress(record) + squeeze.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(record) & 0xFFFFFFFF)
+    if max(size, len(record)) >> 32:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    else:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(record))
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -75,8 +78,8 @@ def record(kind: str, record_id, uri: str | None, payload: bytes, digest: str, r
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(df: DataFrame, where: str, key: str = "page_id", payload: str = "html", uri: str = "url", min_bytes: int = 0) -> list:
-    """Write archives into a folder that all executors see; a row (file, records, bytes) for each.
+def write(df: DataFrame, where: str, key: str = "page_id", payload: str = "html", uri: str = "url", min_bytes: int = 0) -> DataFrame:
+    """Write archives into a folder that all executors see; a stored table (file, records, bytes) of them.
 
     The first record of each group of equal payloads is found by a partial aggregate on the digest; the join back
     is an ordinary equi-join, whose hot digests adaptive execution splits.
@@ -111,7 +114,7 @@ def write(df: DataFrame, where: str, key: str = "page_id", payload: str = "html"
         if n:
             yield archive()
 
-    return rows.mapInArrow(run, "file string, records long, bytes long").collect()
+    return stored(rows.mapInArrow(run, "file string, records long, bytes long"), "warc-files")
 
 
 class Source:
@@ -341,7 +344,7 @@ def round_trip(df: DataFrame, key: str = "page_id", payload: str = "html", uri:
     spark = df.sparkSession
     register(spark)
     where = fresh_dir(spark, "warc")
-    if not write(df, where, key, payload, uri):
+    if write(df, where, key, payload, uri).isEmpty():
         return spark.createDataFrame([], f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     back = spark.read.format("warc").load(where)
     number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("long")

@@ -141,6 +141,22 @@ def test_topk_few_and_empty(spark):
     assert topk.search(df.where("vec_id > 0"), lambda i: i % 50 == 0).count() == 0
 
 
+def test_tiff_sizes_beyond_the_data():
+    """A page that claims more samples than its bytes can hold gives an error, not that much memory."""
+    page = np.zeros((4, 8), np.uint8)
+    good = tiff.encode_page(page)
+    (order, tags), = tiff.directories(good)
+    for width, height in ((1 << 31, 1 << 20), (1 << 31, 1), (8, 1 << 31)):
+        samples, error = tiff.decode_page(good, order, tags | {tiff.WIDTH: (width,), tiff.HEIGHT: (height,)})
+        assert error and samples.size < 1 << 24
+    samples, error = tiff.decode_page(good, order, tags | {tiff.TILES: (8,), tiff.TILE_BYTES: (4,), tiff.TILE_WIDTH: (1 << 31,), tiff.TILE_HEIGHT: (1 << 31,)})
+    assert error and samples.size == 0
+    bomb = tiff.encode_page(np.zeros((100_000, 64), np.uint8))  # inflates far beyond what the page needs
+    (order, tags), = tiff.directories(bomb)
+    samples, error = tiff.decode_page(bomb, order, tags | {tiff.HEIGHT: (2,), tiff.ROWS_PER_STRIP: (2,)})
+    assert samples.shape == (2, 64, 1) and not error
+
+
 @pytest.mark.parametrize("coding", ["none", "packbits", "lzw", "deflate"])
 @pytest.mark.parametrize("order", ["<", ">"])
 @pytest.mark.parametrize("predictor", [1, 2])

@@ -60,3 +60,13 @@ def test_dedup_goes_by_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = cp.dedup(spark, docs, SF).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in left), key=repr) == sorted([(1, a), (5, b), (None, c), (9, d), (4, "")], key=repr)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for c in ("score", "found", "row", "_row", "first", "_score"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert got.where("score <> 'score' or found <> 'found' or row <> 'row' or _row <> '_row'").count() == 0

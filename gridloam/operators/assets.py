@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from gridloam.functions.text import asset_number, asset_type, table_text, tokens
 
 MOST_IMAGES, MOST_TABLES, LEAST_SIDE = 20, 30, 150
-#: Words that say nothing about a figure or table.
-STOP_WORDS = ("the", "a", "an", "of", "in", "on", "for", "and", "or", "to", "is", "are", "what", "which", "show", "me", "from", "with", "figure", "fig", "table", "image", "page", "this", "that", "explain", "describe")
+#: Words that say nothing about what a figure or table shows.
+STOP_WORDS = (
+    "the", "a", "an", "of", "in", "on", "and", "or", "for", "to", "is", "are",
+    "what", "does", "show", "from", "this", "that", "it", "me", "give", "open",
+    "explain", "describe", "detail", "paper", "literature", "document",
+)
 
 
 def counts(assets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -25,10 +29,11 @@ def counts(assets: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select("source").distinct().join(n, "source", "left").select("source", F.coalesce("figures", F.lit(0)).alias("figures"), F.coalesce("tables", F.lit(0)).alias("tables"))
 
 
-def capped(assets: DataFrame) -> DataFrame:
-    """The first 20 figures and 30 tables of each source."""
+def capped(assets: DataFrame, images: int | None = MOST_IMAGES, tables: int | None = MOST_TABLES) -> DataFrame:
+    """The first figures and tables of each source, as many as asked for; None keeps all."""
     w = Window.partitionBy("source", "type").orderBy("page", "idx")
-    most = F.when(F.col("type") == "table", MOST_TABLES).otherwise(MOST_IMAGES)
+    all_ = F.lit(1 << 62)
+    most = F.when(F.col("type") == "table", all_ if tables is None else F.lit(tables)).otherwise(all_ if images is None else F.lit(images))
     return assets.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
@@ -37,6 +42,32 @@ def by_number(assets: DataFrame, kind: str, number: int) -> DataFrame:
     return assets.where(F.col("page") == number) if kind == "page" else assets.where((F.col("type") == kind) & (F.col("idx") == number)).orderBy("source").limit(1)
 
 
+def registry(images: DataFrame, tables: DataFrame) -> DataFrame:
+    """Figures and tables in one table."""
+    return images.unionByName(tables, allowMissingColumns=True)
+
+
+def records(assets: DataFrame, source: str | None = None, kind: str | None = None) -> DataFrame:
+    """The assets of a source, of a type, or both."""
+    out = assets if source is None else assets.where(F.col("source") == source)
+    return out if kind is None else out.where(F.col("type") == kind)
+
+
+def listed(assets: DataFrame, rows: int = 4) -> DataFrame:
+    """Each asset as a line: type, number, page, source and caption, and the first rows of a table's text."""
+    preview = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, rows), "\n")
+    head = F.format_string("%s %d | p.%d | %s", F.initcap("type"), F.col("idx"), F.col("page"), F.col("source"))
+    caption = F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit(": "), F.col("caption"))).otherwise("")
+    body = F.when(preview != "", F.concat(F.lit("\n"), preview)).otherwise("")
+    return assets.select("source", "type", "page", "idx", F.concat(head, caption, body).alias("line"))
+
+
+def of_document(assets: DataFrame, query: str, words: dict[str, str]) -> DataFrame:
+    """Assets of the document that a question means by one of the words (word to a part of the source's name)."""
+    part = next((p for w, p in words.items() if w in query.lower()), None)
+    return assets if part is None else assets.where(F.lower("source").contains(part.lower()))
+
+
 def new_only(found: DataFrame, known: DataFrame) -> DataFrame:
     """Assets of sources that aren't registered yet."""
     return found.join(known.select("source").distinct(), "source", "left_anti")
@@ -101,8 +132,8 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, idx, text_rows, text) of each HTML table with at least two rows."""
+def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html", most: int | None = MOST_TABLES) -> DataFrame:
+    """(key, idx, text_rows, text) of each HTML table with at least two rows; the first ones of a page, or all (None)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,7 +141,7 @@ def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
             for k, h in zip(pdf[key], pdf[html], strict=True):
                 p = _Tables()
                 p.feed(h or "")
-                out += [(k, i + 1, rows) for i, rows in enumerate([t for t in p.tables if len(t) >= 2][:MOST_TABLES])]
+                out += [(k, i + 1, rows) for i, rows in enumerate([t for t in p.tables if len(t) >= 2][:most])]
             yield pd.DataFrame(out, columns=[key, "idx", "text_rows"])
 
     found = pages.select(key, html).mapInPandas(run, f"{key} long, idx int, text_rows array<array<string>>")

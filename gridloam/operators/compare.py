@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloam.operators.grid import reduce, series
+from gridloam.operators.grid import NATIONAL, reduce, series
 from gridloam.operators.trend import numbered
 
 
@@ -52,8 +52,36 @@ def complete(compared: DataFrame) -> DataFrame:
     return compared.withColumn("_least", F.min("n").over(Window.partitionBy(F.lit(0)))).where("_least > 0").drop("_least")
 
 
+def places(bridge: DataFrame, regions: list[str]) -> DataFrame:
+    """(cell_id, region) of the regions asked for; the nation is every cell, once."""
+    named = bridge.where(F.col("region").isin([r for r in regions if r != NATIONAL])).select("cell_id", "region")
+    if NATIONAL in regions:
+        named = named.unionByName(bridge.select("cell_id").distinct().withColumn("region", F.lit(NATIONAL)))
+    return named
+
+
+def asked_for(bridge: DataFrame, regions: list[str]) -> DataFrame:
+    """(region_idx, region) of a query's own few regions, in the order they are given."""
+    rows = [(i, r) for i, r in enumerate(dict.fromkeys(regions))]
+    return bridge.sparkSession.createDataFrame(rows, "region_idx int, region string")
+
+
 def compare_regions(obs: DataFrame, bridge: DataFrame, regions: list[str], metric: str) -> DataFrame:
-    """A row for each of the regions, of one scan, in the order they are given, and which one wins."""
-    order = F.array_position(F.array(*[F.lit(r) for r in regions]), F.col("region")).cast("int") - 1
-    got = metric_of(obs.join(bridge.where(F.col("region").isin(regions)), "cell_id"), metric, "region")
-    return with_winner(got.withColumn("region_idx", order), metric, "region_idx")
+    """A row for each of the regions, with or without data, of one scan, in the order they are given, and which wins."""
+    got = metric_of(obs.join(places(bridge, regions), "cell_id"), metric, "region")
+    every = asked_for(bridge, regions).join(got, "region", "left").select("region", "value", F.coalesce("n", F.lit(0)).alias("n"), "region_idx")
+    return with_winner(every, metric, "region_idx")
+
+
+def regions_by_period(obs: DataFrame, bridge: DataFrame, regions: list[str], spans: DataFrame, metric: str) -> DataFrame:
+    """A row for each region and period, with or without data, of one scan.
+
+    `status` says whether there is a value. `winner` is the best region of each period, or the best period if there is
+    one region.
+    """
+    got = metric_of(by_period(obs.join(places(bridge, regions), "cell_id"), spans), metric, "region", "period_idx")
+    every = asked_for(bridge, regions).join(F.broadcast(spans))  # a query's own few rows on both sides
+    out = every.join(got, ["region", "period_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.withColumn("status", F.when(F.col("value").isNull(), "no data").otherwise("ok"))
+    won = with_winner(out, metric, "region_idx", "period_idx") if len(set(regions)) > 1 else with_winner(out, metric, "period_idx")
+    return won.select("region_idx", "region", "period_idx", "period_start", "period_end", "value", "n", "status", "winner")

@@ -19,6 +19,14 @@ def runs(days: DataFrame) -> DataFrame:
     return island.groupBy("island").agg(F.min("missing_day").alias("run_start"), F.max("missing_day").alias("run_end"), F.count("*").alias("n_days")).drop("island")
 
 
+def described(gone: DataFrame, most: int = 5) -> DataFrame:
+    """One row: the first runs of missing days as text, and how many more there are."""
+    one = F.when(F.col("run_start") == F.col("run_end"), F.col("run_start").cast("string")).otherwise(F.concat_ws(" to ", F.col("run_start").cast("string"), F.col("run_end").cast("string")))
+    all_ = F.array_sort(F.collect_list(F.struct("run_start", one.alias("t"))))  # a run for every two days at most
+    text = F.array_join(F.transform(F.slice(all_, 1, most), lambda r: r["t"]), ", ")
+    return gone.agg(F.when(F.count("*") > most, F.concat(text, F.lit(" + "), (F.count("*") - most).cast("string"), F.lit(" more"))).otherwise(text).alias("periods"))
+
+
 def report(spark: SparkSession, obs: DataFrame, start: str, end: str) -> DataFrame:
     """One row: days expected, missing and available, percent missing, the first ten missing, and the extent of the data."""
     days = missing_days(spark, obs, start, end)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NATIONAL = "india"
@@ -33,8 +33,12 @@ def reduce(metric: str, value: str = "value") -> Column:
 
 
 def summary(obs: DataFrame, *by: str) -> DataFrame:
-    """Flat mean, minimum and maximum over all cells and days, and how many there are; in one pass."""
-    return obs.groupBy(*by).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n_valid"), F.count("*").alias("n_rows"), F.countDistinct("obs_date").alias("n_days"), F.countDistinct("cell_id").alias("n_cells"))
+    """Flat mean, minimum and maximum over all cells and days, and how many there are."""
+    # by day first, with the cells as a set: one distinct count would otherwise copy every row for the other
+    days = obs.groupBy(*by, "obs_date").agg(F.sum("value").alias("s"), F.min("value").alias("a"), F.max("value").alias("b"), F.count("value").alias("v"), F.count("*").alias("r"))
+    whole = days.groupBy(*by).agg((F.sum("s") / F.sum("v")).alias("mean"), F.min("a").alias("min"), F.max("b").alias("max"), F.sum("v").alias("n_valid"), F.sum("r").alias("n_rows"), F.count("obs_date").alias("n_days"))
+    cells = obs.groupBy(*by).agg(F.countDistinct("cell_id").alias("n_cells"))
+    return whole.join(cells, list(by)) if by else whole.join(cells)
 
 
 def missing_share(obs: DataFrame, bridge_cells: DataFrame, start: str, end: str, universe: DataFrame | None = None) -> DataFrame:
@@ -62,7 +66,7 @@ def cell_map(obs: DataFrame, metric: str, *by: str) -> DataFrame:
 
 
 def colour_scale(maps: DataFrame, diverging: bool = False) -> DataFrame:
-    """Limits that all panels share: the extremes, or plus and minus the largest size."""
+    """Limits that all panels (of several maps in one table, too) share: the extremes, or plus and minus the largest size."""
     low, high = F.min("value"), F.max("value")
     size = F.greatest(F.abs(low), F.abs(high))
     return maps.agg((-size if diverging else low).alias("vmin"), (size if diverging else high).alias("vmax"))
@@ -84,12 +88,24 @@ def all_regions(obs: DataFrame, bridge: DataFrame, metric: str = "mean") -> Data
     return out.where("value is not null").orderBy("value", "region")
 
 
-def ranking(obs: DataFrame, bridge: DataFrame, n: int = 3) -> DataFrame:
-    """The n driest and the n wettest regions by their mean; ties go to the earlier name."""
-    means = obs.join(bridge, "cell_id").groupBy("region").agg(F.avg("value").alias("mean")).where("mean is not null")
-    low = means.orderBy("mean", "region").limit(n).withColumn("side", F.lit("driest"))
-    high = means.orderBy(F.desc("mean"), "region").limit(n).withColumn("side", F.lit("wettest"))
-    return low.unionByName(high)
+def ranking(obs: DataFrame, bridge: DataFrame, n: int = 3, *by: str) -> DataFrame:
+    """The n driest and the n wettest regions by their mean, of each group; ties go to the earlier name."""
+    means = obs.join(bridge, "cell_id").groupBy(*by, "region").agg(F.avg("value").alias("mean")).where("mean is not null")
+    if not by:
+        low = means.orderBy("mean", "region").limit(n).withColumn("side", F.lit("driest"))
+        high = means.orderBy(F.desc("mean"), "region").limit(n).withColumn("side", F.lit("wettest"))
+        return low.unionByName(high)
+    w = Window.partitionBy(*by)  # a group has a row for each region
+    placed = means.withColumn("_low", F.row_number().over(w.orderBy("mean", "region"))).withColumn("_high", F.row_number().over(w.orderBy(F.desc("mean"), "region")))
+    sides = F.array_compact(F.array(F.when(F.col("_low") <= n, F.lit("driest")), F.when(F.col("_high") <= n, F.lit("wettest"))))
+    return placed.select(*by, "region", "mean", F.explode(sides).alias("side"))
+
+
+def series_missing(days: DataFrame) -> DataFrame:
+    """Days that are present and how many of them have no value, in percent; days that are absent don't count."""
+    n = F.count("*")
+    lost = F.count_if(F.col("value").isNull())
+    return days.agg(n.alias("n_days"), lost.alias("n_missing"), F.round(F.when(n > 0, lost / n * 100), 6).alias("missing_pct"))
 
 
 def best_year(obs: DataFrame, wettest: bool = True) -> DataFrame:

@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloam.operators.grid import between, in_box
+from gridloam.operators.regrid import nearest
+from gridloam.plans.vocabulary import BANDS, BOXES
+
+#: Days between first and last that a question to the sensor may span.
 MAX_DAYS = 3650
 
 
+def guard(region: str, band: str, start: str, end: str) -> str | None:
+    """What is wrong with a question to the sensor: an unknown region or band, days that are none, or too many."""
+    if region not in BOXES:
+        return f"unknown region {region!r}"
+    if band not in BANDS:
+        return f"unknown band {band!r}"
+    try:
+        a, b = date.fromisoformat(start), date.fromisoformat(end)
+    except ValueError:
+        return "not a date"
+    if a > b:
+        return "the first day is after the last"
+    return "more than ten years" if (b - a).days > MAX_DAYS else None
+
+
+def guarded(obs: DataFrame, region: str, band: str, start: str, end: str) -> DataFrame:
+    """Observations of a region's box and a span, once `guard` has nothing to say."""
+    if problem := guard(region, band, start, end):
+        raise ValueError(problem)
+    return between(in_box(obs, *BOXES[region]), start, end).select("obs_date", "x", "y", band)
+
+
+def cell_edges(grid: DataFrame, axis: str = "x") -> DataFrame:
+    """(centre, low, high): cells' edges half way between neighbouring centres; the outer ones as far as the inner."""
+    w = Window.partitionBy(F.lit(0)).orderBy(axis)  # a row for each column or row of the grid
+    c = grid.select(axis).distinct().withColumn("_to", F.lead(axis).over(w) - F.col(axis)).withColumn("_from", F.col(axis) - F.lag(axis).over(w))
+    down, up = F.coalesce("_from", "_to") / 2, F.coalesce("_to", "_from") / 2
+    return c.select(F.col(axis).alias("centre"), (F.col(axis) - down).alias("low"), (F.col(axis) + up).alias("high"))
+
+
 def valid(v: Column) -> Column:
     """Values of 0 or less, or over 1000, are no measurement."""
     return F.when((v > 0) & (v <= 1000), v)
@@ -63,6 +100,12 @@ def agreement(pairs: DataFrame, *by: str, least: int = 3) -> DataFrame:
     return out.withColumn("r2", F.col("r") * F.col("r")).select(*by, "n", *[F.when(enough, F.round(c, places.get(c, 6))).alias(c) for c in ("bias", "rmse", "ubrmse", "mae", "max_abs", "r", "mean_a", "mean_b")], F.when(enough, F.round("r2", 4)).alias("r2"))
 
 
-def percentile(grid: DataFrame, q: float, of: Column | None = None) -> DataFrame:
-    """The exact percentile, interpolated, of the grid's values."""
-    return grid.agg(F.percentile(F.col("value") if of is None else of, F.lit(q)).alias("value"))
+def percentile(grid: DataFrame, q: float, of: Column | None = None, accuracy: int | None = None) -> DataFrame:
+    """The percentile, interpolated, of the grid's values: exact, or with `accuracy` by a bounded sketch."""
+    value = F.col("value") if of is None else of
+    return grid.agg((F.percentile(value, F.lit(q)) if accuracy is None else F.percentile_approx(value, q, accuracy)).alias("value"))
+
+
+def map_compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How well map b follows map a (x, y, value): each of a's cells against b's nearest, over the window both share."""
+    return agreement(paired(a, nearest(b, a.select("x", "y"))))

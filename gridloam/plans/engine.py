@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloam.operators import compare, grid, trend
-from gridloam.plans.query import Plan, parse, resolve_region
+from gridloam.plans.query import Plan, UnknownRegion, month_bounds, parse, resolve_region, valid_operation
+from gridloam.plans.vocabulary import AS_METRIC
 
 
 @dataclass(frozen=True)
@@ -26,8 +27,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, observations: DataFrame, bridge: DataFrame, regions: list[str] | None = None):
         self.spark, self.observations, self.bridge = spark, observations, bridge
-        # a list of names, some dozens
-        self.regions = regions or [r["region"] for r in bridge.select("region").distinct().orderBy("region").limit(10_000).collect()]
+        # names alone, a row for each region
+        self.regions = regions or [r["region"] for r in bridge.select("region").distinct().orderBy("region").collect()]
         self._span: tuple[str, str] | None = None
 
     def span(self) -> tuple[str, str]:
@@ -40,40 +41,58 @@ class Engine:
     def ask(self, question: str) -> Result:
         return self.execute(parse(question))
 
-    def execute(self, plan: Plan) -> Result:
+    def batch(self, region: str, ranges: list[tuple[str, str]], operation: str) -> DataFrame:
+        """One operation over many spans, a row for each in order; `status` says which have a value, and why not."""
+        if not valid_operation(operation) or operation == "comparison":
+            raise ValueError(f"no operation {operation!r} over spans")
+        ranges = [tuple(sorted((month_bounds(a, True), month_bounds(b, False)))) for a, b in ranges]
+        spans = compare.periods(self.spark, ranges)
+        metric = AS_METRIC.get(operation, operation)
+        try:
+            names = [resolve_region(region, self.regions)]
+        except UnknownRegion as e:
+            none = spans.select(F.lit(region).alias("region"), "*", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
+            return none.withColumn("status", F.lit(str(e)))
+        sliced = grid.between(self.observations, *compare.hull(ranges)) if ranges else self.observations.where("false")
+        return compare.regions_by_period(sliced, self.bridge, names, spans, metric).drop("region_idx", "winner")
+
+    def execute(self, plan: Plan, strict: bool = False, whole_if_outside: bool = False) -> Result:
+        """A plan's result. `strict` gives no figures if any region or period that is compared has no data."""
         if plan.problem:
             return Result(plan)
         if plan.operation == "coverage":
             return Result(plan, grid.coverage(self.observations, self.bridge))
         if plan.operation == "best_year":
             return Result(plan, grid.best_year(self.observations, plan.metric == "max"))
-        plan = plan.bind(*self.span())
+        plan = plan.bind(*self.span(), whole_if_outside)
         if not plan.spans:
             return Result(plan)
+        hull = compare.hull(list(plan.spans))
+        spans = compare.periods(self.spark, list(plan.spans))
         if plan.operation in ("driest_region", "wettest_region"):
-            sliced = grid.between(self.observations, *plan.spans[0])
-            return Result(plan, grid.ranking(sliced, self.bridge).where(F.col("side") == plan.operation.split("_")[0]))
-        names = [resolve_region(r, self.regions) for r in plan.regions]
-        if plan.operation == "comparison" and plan.compare_by == "region":
-            sliced = grid.between(self.observations, *plan.spans[0])
-            cells = grid.cell_map(sliced.join(self.bridge.where(F.col("region").isin(names)), "cell_id"), plan.metric, "region") if plan.metric != "slope" else None
-            return Result(plan, compare.compare_regions(sliced, self.bridge, names, plan.metric), cells)
-        mine = grid.in_region(self.observations, self.bridge, names[0])
-        if len(plan.spans) > 1:
-            metric = plan.metric if plan.operation == "comparison" else {"minimum": "min", "maximum": "max"}.get(plan.operation, plan.operation)
-            spans = compare.periods(self.spark, list(plan.spans))
-            mine = grid.between(mine, *compare.hull(list(plan.spans)))
-            within = compare.by_period(mine, spans)
-            scalars = compare.compare_periods(mine, spans, metric) if plan.operation == "comparison" else compare.metric_of(within, metric, "period_idx")
-            cells = trend.cell_trend(within, "period_idx") if metric == "slope" else grid.cell_map(within, metric, "period_idx")
+            within = compare.by_period(grid.between(self.observations, *hull), spans)
+            ranked = grid.ranking(within, self.bridge, 3, "period_idx", "period_start", "period_end")
+            return Result(plan, ranked.where(F.col("side") == plan.operation.split("_")[0]))
+        names = list(dict.fromkeys(resolve_region(r, self.regions) for r in plan.regions))
+        if plan.operation == "comparison" or len(names) > 1 or len(plan.spans) > 1:
+            metric = plan.metric if plan.operation == "comparison" else AS_METRIC.get(plan.operation, plan.operation)
+            sliced = grid.between(self.observations, *hull)
+            scalars = compare.regions_by_period(sliced, self.bridge, names, spans, metric)
+            if strict:
+                scalars = compare.complete(scalars)
+            within = compare.by_period(sliced.join(compare.places(self.bridge, names), "cell_id"), spans)
+            by = ("region", "period_idx")
+            cells = trend.cell_trend(within, *by) if metric == "slope" else grid.cell_map(within, metric, *by)
             return Result(plan, scalars, cells if plan.output != "scalar" else None)
+        mine = grid.in_region(self.observations, self.bridge, names[0])
         sliced = grid.between(mine, *plan.spans[0])
         want_map = plan.output != "scalar"
         if plan.operation == "slope":
             fit = trend.with_p_value(trend.labelled(trend.region_trend(sliced), *plan.spans[0]))
             return Result(plan, fit, trend.cell_trend(sliced) if want_map else None, trend.trend_line(sliced))
-        metric = {"minimum": "min", "maximum": "max"}.get(plan.operation, "mean")
+        metric = AS_METRIC.get(plan.operation, "mean")
         scalars = sliced.agg(grid.reduce(metric).alias("value"), F.count("value").alias("n_valid"), F.countDistinct("obs_date").alias("n_days"))
+        scalars = scalars.withColumn("status", F.when(F.col("n_valid") == 0, "no data").otherwise("ok"))
         return Result(plan, scalars, grid.cell_map(sliced, metric) if want_map else None)
 
 

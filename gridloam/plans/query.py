@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 from dataclasses import dataclass, field, replace
 
@@ -42,8 +43,11 @@ class Plan:
         regions, spans = find_regions(text) or self.regions, tuple(dates.spans(text)) or self.spans
         return checked(replace(self, regions=tuple(regions), spans=tuple(spans), problem=None))
 
-    def bind(self, first: str, last: str) -> Plan:
-        """Spans put in order and brought into the days there are; those wholly outside go, with a warning."""
+    def bind(self, first: str, last: str, whole_if_outside: bool = False) -> Plan:
+        """Spans put in order and brought into the days there are; those wholly outside go, with a warning.
+
+        If none is left, `whole_if_outside` takes all days instead.
+        """
         out, said = [], list(self.warnings)
         for a, b in self.spans or ((first, last),):
             a, b = min(a, b), max(a, b)
@@ -53,6 +57,9 @@ class Plan:
             if a < first or b > last:
                 said.append(f"{a}..{b} was cut to {max(a, first)}..{min(b, last)}")
             out.append((max(a, first), min(b, last)))
+        if not out and whole_if_outside:
+            said.append(f"all days, {first}..{last}, stand in")
+            out = [(first, last)]
         return replace(self, spans=tuple(out), warnings=tuple(said))
 
 
@@ -147,9 +154,61 @@ def checked(plan: Plan) -> Plan:
         return replace(plan, problem="which region?")
     if plan.operation == "comparison" and plan.compare_by == "time" and len(plan.spans) < 2:
         return replace(plan, problem="which periods?")
+    if not plan.spans and plan.operation != "comparison":
+        return replace(plan, problem="which dates?")
     return plan
 
 
+OPERATIONS = ("mean", "minimum", "maximum", "slope", "comparison", "coverage", "best_year", "driest_region", "wettest_region")
+
+
+def valid_operation(name: str) -> bool:
+    return name in OPERATIONS
+
+
+def follow_up(plan: Plan) -> str | None:
+    """What to ask back for a plan that lacks something."""
+    if plan.problem is None:
+        return None
+    if plan.problem == "which region?":
+        when = f" for {plan.spans[0][0]}" if plan.spans else ""
+        return f"Which region should I look at{when}? Say India, Rajasthan or Punjab, for example."
+    if plan.problem == "which dates?":
+        where = f" for {plan.regions[0].title()}" if plan.regions else ""
+        return f"Which date or period should I use{where}? Say June 2020, 01-06-2020 or monsoon 2021, for example."
+    if plan.problem == "which periods?":
+        return "A comparison needs two things. Name several periods, or two regions."
+    return "Could you say that again, with a region and a date?"
+
+
+def embedded_json(text: str) -> dict | None:
+    """The first JSON object in a text that may hold more, or None."""
+    for m in re.finditer(r"\{", text):
+        try:
+            got, _ = json.JSONDecoder().raw_decode(text, m.start())
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            return got
+    return None
+
+
+def refined(plan: Plan, reply: str) -> Plan:
+    """A plan with what a language model's reply (JSON with `confident` true) says of its operation, region and dates."""
+    said = embedded_json(reply) or {}
+    if said.get("confident") is not True:
+        return plan
+    change: dict = {}
+    if valid_operation(str(said.get("operation"))):
+        change["operation"] = said["operation"]
+    if isinstance(said.get("region"), str) and said["region"].strip():
+        change["regions"] = (said["region"].strip().lower(),)
+    a, b = said.get("start_date"), said.get("end_date")
+    if all(isinstance(x, str) and re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", x) for x in (a, b)):
+        change["spans"] = (tuple(sorted((month_bounds(a, True), month_bounds(b, False)))),)
+    return checked(replace(plan, problem=None, **change))
+
+
 def parse(question: str, evaluation: bool = False) -> Plan:
     """The plan of a question about the grid."""
     q = normalised(question)
@@ -166,4 +225,6 @@ def parse(question: str, evaluation: bool = False) -> Plan:
         by, metric = ("region" if len(regions) > 1 else "time"), metric_of(q)
         if by == "time":
             when = dates.compared(q, evaluation)
+    elif operation in V.AS_METRIC and len(when) > 1 and len(regions) == 1 and all(a.endswith("-01-01") and b.endswith("-12-31") for a, b in when):
+        operation, by, metric = "comparison", "time", V.AS_METRIC[operation]  # years that are listed are compared
     return checked(Plan(operation, tuple(regions), tuple(when), metric, by, output_of(q, operation)))

@@ -1,4 +1,7 @@
-"""Words and tables that questions are read with. Fixed values, in the order of their source."""
+"""Words and tables that questions are read with. Fixed values, in the order of their source.
+
+Words that hold another word of their list are left out, as the shorter one is found wherever they are.
+"""
 
 from __future__ import annotations
 
@@ -85,3 +88,9 @@ ON_TOPIC = (
     "land cover", "deforestation", "reforestation", "afforestation", "desertification", "paper", "study", "research", "analysis", "algorithm", "validation", "rmse", "bias", "correlation",
     "retrieval", "method", "figure", "table", "chart", "graph", "plot", "result", "dataset", "observation", "sensor",
 )
+
+#: Words by which the two parts of a question are told apart.
+SPLIT_LITERATURE = (".pdf", "according to", "in the paper", "in the study", "figure ", "table ", "ieee", "algorithm", "lprm", "methodology", "retrieval", "backscatter", "amsr", "smap")
+SPLIT_DATA = ("maximum", "minimum", "mean", "average", "trend", "wettest", "driest", "highest", "lowest", "scalar")
+#: The metric that an operation on one period gives when periods are compared.
+AS_METRIC = {"mean": "mean", "minimum": "min", "maximum": "max"}

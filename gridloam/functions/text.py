@@ -81,3 +81,8 @@ def file_uri(path: Column) -> Column:
 def fixed(value: Column, places: int = 8, sign: bool = False) -> Column:
     """A number with that many decimals, and its sign if asked."""
     return F.format_string(f"%{'+' if sign else ''}.{places}f", value.cast("double"))
+
+
+def encoded(content: Column) -> Column:
+    """Bytes as base64."""
+    return F.base64(content)

@@ -1,19 +1,24 @@
 """Passages by TF-IDF: chunks, index, scores, sources, context.
 
-The index is two tables, term frequencies keyed by term and inverse document frequencies; a query meets only the
-postings of its own terms. A score is the sum over common terms of (qf/qn x idf) x (tf x idf), with
+An `Index` is stored: chunks, postings (term frequencies, in partitions by a hash of the term), and how many chunks
+have each term. A query reads the partitions of its own terms alone. `search` does the same without an index, from
+the texts. A score is the sum over common terms of (qf/qn x idf) x (tf x idf), with
 idf = ln((N + 1) / (df + 1)) + 1; there is no length normalisation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloam.functions.text import source_key, table_like, tokens, words
 
 CHUNK_WORDS, OVERLAP, LEAST_CHARS = 400, 80, 30
 CONTEXT_CHARS = 3000
+#: Partitions of an index's postings.
+BUCKETS = 64
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> DataFrame:
@@ -58,11 +63,74 @@ def search(pieces: DataFrame, queries: DataFrame, k: int, *key: str, source: str
     if source is not None:
         tf = tf.where(F.col("source") == source)
     score = tf.join(asked, "term").groupBy("query_id", "source", *key).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
+    return _best(score, k, *key)
+
+
+def _best(score: DataFrame, k: int, *key: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *key)
     best = score.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "source", *key, F.round("score", 6).alias("score"))
 
 
+class Index:
+    """A stored index of documents' chunks. What is added is a batch; a batch counts once its totals are written."""
+
+    KEY = ("doc_id", "chunk_no")
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def add(self, docs: DataFrame) -> Index:
+        """Adds the documents (doc_id, source, text) of sources that aren't in the index yet."""
+        if self.exists():
+            docs = docs.join(self.chunks().select("source").distinct(), "source", "left_anti")
+        batch = F.lit(uuid.uuid4().hex).alias("batch")
+        chunks(docs).select(*self.KEY, "source", "text", batch).write.mode("append").partitionBy("batch").parquet(f"{self.path}/chunks")
+        name = self.spark.range(1).select(batch).first()["batch"]
+        pieces = self.spark.read.parquet(f"{self.path}/chunks").where(F.col("batch") == name)
+        tf = term_frequencies(pieces, "source", *self.KEY).select("term", "source", *self.KEY, "tf", batch, self._bucket())
+        tf.repartition("bucket").sortWithinPartitions("term").write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
+        mine = self.spark.read.parquet(f"{self.path}/postings").where(F.col("batch") == name)
+        mine.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", batch, self._bucket()).write.mode("append").partitionBy("batch").parquet(f"{self.path}/terms")
+        pieces.agg(F.count("*").alias("n_chunks")).select("n_chunks", batch).coalesce(1).write.mode("append").parquet(f"{self.path}/totals")
+        return self
+
+    def exists(self) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/totals/_SUCCESS")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def totals(self) -> DataFrame:
+        """(n_chunks, batch), a row for each batch."""
+        return self.spark.read.schema("n_chunks long, batch string").parquet(f"{self.path}/totals")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").join(F.broadcast(self.totals().select("batch")), "batch", "left_semi")
+
+    def chunks(self) -> DataFrame:
+        return self._table("chunks").select(*self.KEY, "source", "text")
+
+    def postings(self) -> DataFrame:
+        return self._table("postings").select("term", "bucket", "source", *self.KEY, "tf")
+
+    def idf(self) -> DataFrame:
+        """(term, bucket, df, idf) over all batches."""
+        n = self.totals().agg(F.sum("n_chunks").alias("n_chunks"))
+        df = self._table("terms").groupBy("term", "bucket").agg(F.sum("df").alias("df"))
+        return df.join(F.broadcast(n)).select("term", "bucket", "df", (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+    def search(self, queries: DataFrame, k: int, source: str | None = None) -> DataFrame:
+        """(query_id, rank, source, key, score): the k best chunks, as `search` gives them."""
+        asked = term_frequencies(queries, "query_id").withColumnRenamed("tf", "qf").select("*", self._bucket())
+        asked = asked.join(self.idf(), ["bucket", "term"]).select("query_id", "bucket", "term", (F.col("qf") * F.col("idf") * F.col("idf")).alias("w"))
+        tf = self.postings() if source is None else self.postings().where(F.col("source") == source)
+        score = tf.join(asked, ["bucket", "term"]).groupBy("query_id", "source", *self.KEY).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
+        return _best(score, k, *self.KEY)
+
+
 def context(found: DataFrame, pieces: DataFrame, *key: str, most: int = CONTEXT_CHARS) -> DataFrame:
     """(query_id, context): what was found, in order of rank, as one text of at most `most` characters."""
     text = found.join(pieces.select(*key, "text"), list(key)).select("query_id", F.struct("rank", F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("text")).alias("t")).alias("r"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloam.functions import answers
 from gridloam.functions import text as T
-from gridloam.operators import assets, calendar, compare, evaluation, gaps, grid, regrid, retrieval, sensors, trend
-from gridloam.sources import tables
+from gridloam.operators import assets, calendar, compare, evaluation, gaps, grid, literature, regions, regrid, retrieval, sensors, trend
+from gridloam.plans import golden, intent
+from gridloam.plans.engine import Engine
+from gridloam.plans.query import Plan, month_bounds, normalised
+from gridloam.sources import files, tables
 
 REGION, START, END = "nation_3", "1996-06-01", "1996-06-30"
 YEAR = ("1996-01-01", "1996-12-31")
@@ -105,7 +111,14 @@ def region_trend(spark, sf):
     return out.select("region", "n", "first_day", "last_day", F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("total_change", 6).alias("total_change"), "direction")
 
 
-@query("region_trend_p")
+#: The p-value by Simpson's rule over the density of Student's t from 0 to |t|.
+_P_VALUE = f"""WITH {OBS}, {_DAYS}, {_TRENDS}, s AS (SELECT region, n, n - 2 AS df, CASE WHEN n > 2 AND r2 < 1 THEN sqrt(r2 * (n - 2) / (1 - r2)) END AS t FROM trends),
+k AS (SELECT unnest(range(0, 2001)) AS i),
+f AS (SELECT region, sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(df + 1) / 2.0 * ln(1 + (t * i / 2000) ** 2 / df))) * any_value(t) / 6000 AS area FROM s, k WHERE t IS NOT NULL GROUP BY region)
+SELECT region, n, round(CASE WHEN t IS NOT NULL THEN 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * area WHEN n > 2 THEN 0.0 ELSE 1.0 END, 8) AS p_value FROM s LEFT JOIN f USING (region)"""
+
+
+@query("region_trend_p", _P_VALUE)
 def region_trend_p(spark, sf):
     return trend.with_p_value(_trends(spark, sf)).select("region", "n", F.round("p_value", 8).alias("p_value"))
 
@@ -296,17 +309,32 @@ def chunk_docs(spark, sf):
 
 @query("tfidf_idf", f"WITH {TFIDF} SELECT term, df, round(idf, 8) AS idf FROM idf")
 def tfidf_idf(spark, sf):
-    pieces = retrieval.chunks(tables.documents(spark, sf))
-    n = pieces.agg(F.count("*").alias("n_chunks"))
-    return retrieval.idf(retrieval.term_frequencies(pieces, "doc_id", "chunk_no"), n).withColumn("idf", F.round("idf", 8))
+    return index_of(spark, sf).idf().select("term", "df", F.round("idf", 8).alias("idf"))
+
+
+_indexes: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def index_of(spark, sf) -> retrieval.Index:
+    """The stored index of a folder's documents, built when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = retrieval.Index(spark, f"{tables.scratch(spark)}/index-{uuid.uuid4().hex}").add(tables.documents(spark, sf))
+    return _indexes[key]
 
 
 _SCORES = "s AS (SELECT query_id, source, doc_id, chunk_no, sum(tf * qf * idf * idf) AS score FROM tf JOIN qt USING (term) JOIN idf USING (term) WHERE {w} GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_no) AS INTEGER) AS rank FROM s WHERE score > 0) SELECT query_id, rank, source, doc_id, chunk_no, round(score, 6) AS score FROM r WHERE rank <= {k}"
 
 
+@query("tfidf_topk_unindexed", f"WITH {TFIDF}, {_SCORES.format(w='true', k=3)}")
+def tfidf_topk_unindexed(spark, sf):
+    """The same search straight from the texts."""
+    return retrieval.search(retrieval.chunks(tables.documents(spark, sf)), tables.questions(spark, sf), 3, "doc_id", "chunk_no")
+
+
 @query("tfidf_topk", f"WITH {TFIDF}, {_SCORES.format(w='true', k=3)}")
 def tfidf_topk(spark, sf):
-    return retrieval.search(retrieval.chunks(tables.documents(spark, sf)), tables.questions(spark, sf), 3, "doc_id", "chunk_no")
+    return index_of(spark, sf).search(tables.questions(spark, sf), 3)
 
 
 _FROM_SOURCE = "source = 'src3'"
@@ -314,7 +342,7 @@ _FROM_SOURCE = "source = 'src3'"
 
 @query("tfidf_topk_source", f"WITH {TFIDF}, {_SCORES.format(w=_FROM_SOURCE, k=3)}")
 def tfidf_topk_source(spark, sf):
-    return retrieval.search(retrieval.chunks(tables.documents(spark, sf)), tables.questions(spark, sf), 3, "doc_id", "chunk_no", source="src3")
+    return index_of(spark, sf).search(tables.questions(spark, sf), 3, "src3")
 
 
 _CONTEXT = _SCORES.format(w="true", k=3).replace("SELECT query_id, rank, source, doc_id, chunk_no, round(score, 6) AS score FROM r WHERE rank <= 3", "SELECT query_id, md5(left(string_agg('[' || r.source || '] ' || kept.text, '\n\n' ORDER BY rank), 3000)) AS digest FROM r JOIN kept USING (doc_id, chunk_no) WHERE rank <= 3 GROUP BY query_id")
@@ -322,9 +350,8 @@ _CONTEXT = _SCORES.format(w="true", k=3).replace("SELECT query_id, rank, source,
 
 @query("retrieval_context", f"WITH {TFIDF}, {_CONTEXT}")
 def retrieval_context(spark, sf):
-    pieces = retrieval.chunks(tables.documents(spark, sf))
-    found = retrieval.search(pieces, tables.questions(spark, sf), 3, "doc_id", "chunk_no")
-    return retrieval.context(found, pieces, "doc_id", "chunk_no").select("query_id", F.md5("context").alias("digest"))
+    index = index_of(spark, sf)
+    return retrieval.context(index.search(tables.questions(spark, sf), 3), index.chunks(), "doc_id", "chunk_no").select("query_id", F.md5("context").alias("digest"))
 
 
 @query(
@@ -382,3 +409,414 @@ def eval_rollup(spark, sf):
     m = truth.select("op", "region", off.alias("bias"), off.alias("rmse"), F.lit(0.0).alias("ubrmse"), off.alias("mae"), off.alias("max_abs"), F.lit(None).cast("double").alias("r"), F.lit(1).alias("n"))
     out = evaluation.roll_up(evaluation.verdict(m))
     return out.select("op", "cases", "pass", "warn", "fail", "skip", F.round("bias_mean", 6).alias("bias_mean"), F.round("bias_std", 6).alias("bias_std"))
+
+
+def values(rows, names: str) -> str:
+    """Rows as a table in SQL."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") t({names})"
+
+
+# -- questions, plans and the engine
+
+_WANTED = [(i, op, by, metric, regions_, spans) for i, _, op, by, metric, regions_, spans in golden.QUESTIONS]
+
+
+@query("parser_cases", f"SELECT * FROM {values(_WANTED, 'id, operation, compare_by, metric, regions, spans')}")
+def parser_cases(spark, sf):
+    """What each question of the evaluation asks for."""
+    return golden.parsed(spark)
+
+
+#: Questions that need more than words: the words say otherwise than the evaluation.
+_BY_WORDS = {"I25": "literature", "I26": "both", "I47": "literature"}
+_DECIDED = "I01 I03 I04 I06 I22 I23 I25 I26 I29 I31 I33 I34 I35 I36 I37 I39 I40 I41 I43 I44 I45 I46 I47 I48".split()
+_INTENTS = [(i, want, _BY_WORDS.get(i, want)) for i, _, want in golden.INTENTS if i in _DECIDED]
+
+
+@query("intent_cases", f"SELECT * FROM {values(_INTENTS, 'id, expected, got')}")
+def intent_cases(spark, sf):
+    return golden.decided(spark)
+
+
+@query("intent_accuracy", f"SELECT expected, count(*) AS cases, round(avg(CASE WHEN expected = got THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {values(_INTENTS, 'id, expected, got')} GROUP BY expected")
+def intent_accuracy(spark, sf):
+    return evaluation.accuracy(golden.decided(spark)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+_SAID = [
+    (0, "bitcoin today", "bitcoin today", True, False),
+    (1, "does a movie show soil moisture", "does a movie show soil moisture", False, False),
+    (2, "SMAP trend in 'UP'", "smap trend in uttar pradesh", False, True),
+    (3, "tell me a joke", "tell me a joke", True, False),
+    (4, "mean rajsthan in 2020", "mean rajasthan in 2020", False, False),
+    (5, "gee map of MP", "gee map of madhya pradesh", False, True),
+]
+
+
+@query("question_scope", f"SELECT CAST(id AS INTEGER) AS id, normalised, CAST(off_topic AS BOOLEAN) AS off_topic, CAST(sensor AS BOOLEAN) AS sensor FROM {values([(i, n, str(a).lower(), str(b).lower()) for i, _, n, a, b in _SAID], 'id, normalised, off_topic, sensor')}")
+def question_scope(spark, sf):
+    """Questions put right, which are off topic, and which are for the sensor."""
+    rows = [(i, normalised(q), intent.off_topic(q), intent.about_sensor(q)) for i, q, *_ in _SAID]
+    return spark.createDataFrame(rows, "id int, normalised string, off_topic boolean, sensor boolean")
+
+
+THREE = [*TWO, "nation_99"]
+_TRIO = "regions AS (SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'nation_3'), (CAST(1 AS INTEGER), 'nation_7'), (CAST(2 AS INTEGER), 'nation_99')) t(region_idx, region))"
+_CROSS = f"{_PERIODS}, {_TRIO}, hit AS (SELECT region, period_idx, value, obs_date FROM obs JOIN bridge USING (cell_id) JOIN periods ON obs_date BETWEEN period_start AND period_end)"
+_CELLS = "cells AS (SELECT r.*, p.*, g.value, coalesce(g.n, 0) AS n FROM regions r CROSS JOIN periods p LEFT JOIN got g USING (region, period_idx))"
+for _metric, _sql in (("mean", "avg"), ("min", "min"), ("max", "max")):
+
+    @query(
+        f"compare_regions_periods_{_metric}",
+        f"WITH {OBS}, {_CROSS}, got AS (SELECT region, period_idx, {_sql}(value) AS value, count(value) AS n FROM hit GROUP BY ALL), {_CELLS} SELECT region_idx, region, period_idx, period_start, period_end, round(value, 8) AS value, n, CASE WHEN value IS NULL THEN 'no data' ELSE 'ok' END AS status, value IS NOT NULL AND row_number() OVER (PARTITION BY period_idx ORDER BY {_RANK[_metric]} DESC NULLS LAST, region_idx) = 1 AS winner FROM cells",
+    )
+    def _regions_periods(spark, sf, metric=_metric):
+        """Several regions over several periods, those without data too."""
+        obs = grid.between(tables.observations(spark, sf), *compare.hull(SPANS))
+        return compare.regions_by_period(obs, tables.cell_region(spark, sf), THREE, compare.periods(spark, SPANS), metric).withColumn("value", F.round("value", 8))
+
+
+@query("compare_regions_missing", f"WITH {OBS}, {_TRIO}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' GROUP BY region) SELECT region, round(value, 6) AS value, coalesce(n, 0) AS n, region_idx, value IS NOT NULL AND row_number() OVER (ORDER BY value DESC NULLS LAST, region_idx) = 1 AS winner FROM regions LEFT JOIN got USING (region)")
+def compare_regions_missing(spark, sf):
+    obs = grid.between(tables.observations(spark, sf), *YEAR)
+    return compare.compare_regions(obs, tables.cell_region(spark, sf), THREE, "mean").withColumn("value", F.round("value", 6))
+
+
+for _name, _spans in (("complete", SPANS[:3]), ("incomplete", SPANS)):
+
+    @query(
+        f"compare_strict_{_name}",
+        f"WITH {OBS}, {_PERIODS}, {_PHITS}, got AS (SELECT period_idx, avg(value) AS value, count(value) AS n FROM hits GROUP BY period_idx), every AS (SELECT * FROM periods LEFT JOIN got USING (period_idx) WHERE period_idx < {len(_spans)}) SELECT period_idx, period_start, period_end, round(value, 8) AS value, n, row_number() OVER (ORDER BY value DESC NULLS LAST, period_idx) = 1 AS winner FROM every WHERE (SELECT min(coalesce(n, 0)) FROM every) > 0",
+    )
+    def _strict(spark, sf, spans=_spans):
+        """All periods, or nothing if one of them is empty."""
+        obs = regional(spark, sf, REGION, *compare.hull(spans))
+        return compare.complete(compare.compare_periods(obs, compare.periods(spark, spans), "mean")).withColumn("value", F.round("value", 8))
+
+
+def _engine(spark, sf) -> Engine:
+    return Engine(spark, tables.observations(spark, sf), tables.cell_region(spark, sf))
+
+
+@query("multi_region_mean", f"WITH {OBS}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' AND region IN ('nation_3', 'nation_7') GROUP BY region) SELECT region, DATE '{YEAR[0]}' AS period_start, DATE '{YEAR[1]}' AS period_end, round(value, 6) AS value, n, 'ok' AS status FROM got")
+def multi_region_mean(spark, sf):
+    """A plan with two regions answers for both."""
+    got = _engine(spark, sf).execute(Plan("mean", tuple(TWO), (YEAR,))).scalars
+    return got.select("region", "period_start", "period_end", F.round("value", 6).alias("value"), "n", "status")
+
+
+@query("engine_whole_archive", f"WITH {OBS} SELECT round(avg(value), 6) AS value, count(value) AS n_valid, count(DISTINCT obs_date) AS n_days, 'ok' AS status FROM obs WHERE cell_id IN (SELECT cell_id FROM bridge)")
+def engine_whole_archive(spark, sf):
+    """A span outside the data, with all days standing in."""
+    plan = Plan("mean", (grid.NATIONAL,), (("2050-01-01", "2050-12-31"),))
+    return _engine(spark, sf).execute(plan, whole_if_outside=True).scalars.withColumn("value", F.round("value", 6))
+
+
+_RANGES = [("1996-06", "1996-07"), ("1990-01-01", "1990-12-31"), ("1997-12-31", "1997-01-01")]
+_BATCH = "periods AS (SELECT * FROM (VALUES (CAST(0 AS INTEGER), DATE '1996-06-01', DATE '1996-07-31'), (CAST(1 AS INTEGER), DATE '1990-01-01', DATE '1990-12-31'), (CAST(2 AS INTEGER), DATE '1997-01-01', DATE '1997-12-31')) t(period_idx, period_start, period_end))"
+
+
+@query("engine_batch", f"WITH {OBS}, {_BATCH}, got AS (SELECT period_idx, max(value) AS value, count(value) AS n FROM obs JOIN periods ON obs_date BETWEEN period_start AND period_end WHERE cell_id IN (SELECT cell_id FROM bridge WHERE region = '{REGION}') GROUP BY period_idx) SELECT '{REGION}' AS region, period_idx, period_start, period_end, round(value, 6) AS value, coalesce(n, 0) AS n, CASE WHEN value IS NULL THEN 'no data' ELSE 'ok' END AS status FROM periods LEFT JOIN got USING (period_idx)")
+def engine_batch(spark, sf):
+    return _engine(spark, sf).batch(REGION, _RANGES, "maximum").withColumn("value", F.round("value", 6))
+
+
+@query("engine_batch_unknown", f"WITH {_BATCH} SELECT 'atlantis' AS region, period_idx, period_start, period_end, CAST(NULL AS DOUBLE) AS value, CAST(0 AS BIGINT) AS n, 'unknown' AS status FROM periods")
+def engine_batch_unknown(spark, sf):
+    got = _engine(spark, sf).batch("atlantis", _RANGES, "mean")
+    return got.withColumn("status", F.when(F.col("status").startswith("no region"), "unknown").otherwise(F.col("status")))
+
+
+@query("ranking_by_period", f"WITH {OBS}, {_PERIODS}, m AS (SELECT period_idx, region, avg(value) AS mean FROM obs JOIN bridge USING (cell_id) JOIN periods ON obs_date BETWEEN period_start AND period_end GROUP BY ALL) SELECT period_idx, region, round(mean, 6) AS mean, 'driest' AS side FROM m QUALIFY row_number() OVER (PARTITION BY period_idx ORDER BY mean, region) <= 3 UNION ALL SELECT period_idx, region, round(mean, 6), 'wettest' FROM m QUALIFY row_number() OVER (PARTITION BY period_idx ORDER BY mean DESC, region) <= 3")
+def ranking_by_period(spark, sf):
+    within = compare.by_period(grid.between(tables.observations(spark, sf), *compare.hull(SPANS)), compare.periods(spark, SPANS))
+    return grid.ranking(within, tables.cell_region(spark, sf), 3, "period_idx").withColumn("mean", F.round("mean", 6))
+
+
+_MONTHS_OF = [("2020-02", "2020-02-01", "2020-02-29", "2020-02-28"), ("2021-12", "2021-12-01", "2021-12-31", "2021-12-28"), ("2021-06-07", "2021-06-07", "2021-06-07", "2021-06-07")]
+
+
+@query("month_bounds", f"SELECT * FROM {values(_MONTHS_OF, 'text, first, last, last_28')}")
+def month_bounds_query(spark, sf):
+    rows = [(t, month_bounds(t, True), month_bounds(t, False), month_bounds(t, False, True)) for t, *_ in _MONTHS_OF]
+    return spark.createDataFrame(rows, "text string, first string, last string, last_28 string")
+
+
+@query("box_slice", f"WITH {OBS} SELECT count(*) AS n, round(avg(value), 6) AS mean FROM obs WHERE x BETWEEN 2 AND 5 AND y BETWEEN 0 AND 3 AND obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}'")
+def box_slice(spark, sf):
+    return grid.in_box(grid.between(tables.observations(spark, sf), *YEAR), 2, 0, 5, 3).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("series_missing_pct", f"WITH {SENSOR}, d AS (SELECT obs_date, avg(am) FILTER (x < 3) AS value FROM sensor GROUP BY obs_date) SELECT count(*) AS n_days, count(*) FILTER (value IS NULL) AS n_missing, round(count(*) FILTER (value IS NULL) / count(*) * 100, 6) AS missing_pct FROM d")
+def series_missing_pct(spark, sf):
+    obs = tables.sensor(spark, sf).withColumn("value", F.when(F.col("x") < 3, F.col("am")))
+    return grid.series_missing(grid.series(obs))
+
+
+@query("missing_periods_text", f"WITH {OBS}, {YEAR_SLICE}, {_GONE}, runs AS (SELECT min(day) AS a, max(day) AS b FROM (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM gone) GROUP BY island), t AS (SELECT a, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || ' to ' || CAST(b AS VARCHAR) END AS t FROM runs) SELECT coalesce((SELECT string_agg(t, ', ' ORDER BY a) FROM (SELECT * FROM t ORDER BY a LIMIT 5)), '') || CASE WHEN (SELECT count(*) FROM t) > 5 THEN ' + ' || CAST((SELECT count(*) FROM t) - 5 AS VARCHAR) || ' more' ELSE '' END AS periods")
+def missing_periods_text(spark, sf):
+    return gaps.described(gaps.runs(gaps.missing_days(spark, regional(spark, sf, REGION, *YEAR), *YEAR)))
+
+
+# -- polygons, maps, files
+
+_SQUARE = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+_RINGS = [("Holed ", [_SQUARE(0, 0, 4, 4), _SQUARE(1, 1, 3, 3)]), ("Beside", [_SQUARE(4, 0, 8, 4)]), ("Bent", [[(0, 4), (8, 4), (8, 6), (2, 6), (2, 9), (0, 9)]])]
+
+
+@query("cell_bridge", f"WITH c AS (SELECT s_suppkey AS cell_id, s_suppkey % 10 AS x, s_suppkey // 10 AS y FROM supplier) SELECT cell_id, 'holed' AS region FROM c WHERE x >= 0 AND x < 4 AND y >= 0 AND y < 4 AND NOT (x >= 1 AND x < 3 AND y >= 1 AND y < 3) UNION ALL SELECT cell_id, 'beside' FROM c WHERE x >= 4 AND x < 8 AND y >= 0 AND y < 4 UNION ALL SELECT cell_id, 'bent' FROM c WHERE (x >= 0 AND x < 8 AND y >= 4 AND y < 6) OR (x >= 0 AND x < 2 AND y >= 6 AND y < 9)")
+def cell_bridge(spark, sf):
+    """Cells in polygons: with a hole, beside another, and bent."""
+    shapes = [(n, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for n, rings in _RINGS]
+    shapes = spark.createDataFrame(shapes, "region string, rings array<array<struct<x:double,y:double>>>")
+    cells = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_suppkey") % 10).cast("double").alias("x"), F.floor(F.col("s_suppkey") / 10).cast("double").alias("y"))
+    return regions.bridge(cells, shapes, 3.0)
+
+
+@query("region_catalogue", "SELECT DISTINCT lower(trim(n_name)) AS region FROM nation")
+def region_catalogue(spark, sf):
+    return regions.catalogue(tables.table(spark, sf, "nation").withColumnRenamed("n_name", "region"))
+
+
+@query("map_scales", f"WITH {_GRIDS}, {_PAIRS}, m AS (SELECT a - b AS value FROM pairs) SELECT round(-greatest(abs(min(value)), abs(max(value))), 6) AS vmin, round(greatest(abs(min(value)), abs(max(value))), 6) AS vmax FROM m")
+def map_scales(spark, sf):
+    """The symmetric scale of a map of differences."""
+    return grid.colour_scale(sensors.bias_grid(*_grids(spark, sf)), diverging=True).select(F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
+
+
+@query("cell_edges", f"WITH {SENSOR}, c AS (SELECT x, lead(x) OVER (ORDER BY x) - x AS up, x - lag(x) OVER (ORDER BY x) AS down FROM (SELECT DISTINCT x FROM sensor)) SELECT x AS centre, x - coalesce(down, up) / 2 AS low, x + coalesce(up, down) / 2 AS high FROM c")
+def cell_edges(spark, sf):
+    return sensors.cell_edges(tables.sensor(spark, sf))
+
+
+@query("map_compare", f"WITH {_GRIDS}, d AS (SELECT a.value AS a, b.value AS b, a.value - b.value AS d FROM g_am a JOIN g_pm b USING (x, y) WHERE a.value IS NOT NULL AND b.value IS NOT NULL) SELECT count(*) AS n, round(avg(d), 6) AS bias, round(sqrt(avg(d * d)), 6) AS rmse, round(max(abs(d)), 6) AS max_abs, round(corr(a, b), 4) AS r FROM d")
+def map_compare(spark, sf):
+    return sensors.map_compare(*_grids(spark, sf)).select("n", "bias", "rmse", "max_abs", "r")
+
+
+_GUARDS = [("kerala", "soil_moisture_am", "2020-01-01", "2020-12-31"), ("atlantis", "soil_moisture_am", "2020-01-01", "2020-12-31"), ("goa", "ssm", "2020-01-01", "2020-12-31"), ("goa", "soil_moisture_pm", "2021-01-01", "2020-12-31"), ("india", "soil_moisture_pm", "2000-01-01", "2020-12-31"), ("india", "soil_moisture_pm", "soon", "2020-12-31")]
+_TOLD = [None, "unknown region 'atlantis'", "unknown band 'ssm'", "the first day is after the last", "more than ten years", "not a date"]
+
+
+@query("sensor_guards", f"SELECT region, band, problem FROM {values([(r, b, p) for (r, b, _, _), p in zip(_GUARDS, _TOLD, strict=True)], 'region, band, problem')}")
+def sensor_guards(spark, sf):
+    return spark.createDataFrame([(r, b, sensors.guard(r, b, a, z)) for r, b, a, z in _GUARDS], "region string, band string, problem string")
+
+
+@query("observations_by_year", f"WITH {OBS} SELECT CAST(year(obs_date) AS INTEGER) AS year, count(*) AS n, round(sum(value), 4) AS total FROM obs WHERE year(obs_date) BETWEEN 1996 AND 1998 GROUP BY 1")
+def observations_by_year(spark, sf):
+    """Written by year and read back: the years asked for alone."""
+    where = f"{tables.scratch(spark)}/observations-{uuid.uuid4().hex}"
+    files.write_observations(tables.observations(spark, sf), where)
+    return files.read_years(spark, where, 1996, 1998).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# -- documents: sources, figures and tables
+
+_ASSETS = """a AS (SELECT 'Vol_' || (p_partkey % 7) || '-notes.pdf' AS source, CASE WHEN p_size % 3 = 0 THEN 'figure' ELSE 'table' END AS type, p_size AS page,
+    CAST(p_partkey % 40 + 1 AS INTEGER) AS idx, p_type AS caption, p_name AS page_text FROM part)"""
+
+
+def _assets(spark, sf) -> DataFrame:
+    part = tables.table(spark, sf, "part")
+    kind = F.when(F.col("p_size") % 3 == 0, "figure").otherwise("table")
+    source = F.concat(F.lit("Vol_"), (F.col("p_partkey") % 7).cast("string"), F.lit("-notes.pdf"))
+    return part.select(source.alias("source"), kind.alias("type"), F.col("p_size").alias("page"), (F.col("p_partkey") % 40 + 1).cast("int").alias("idx"), F.col("p_type").alias("caption"), F.col("p_name").alias("page_text"))
+
+
+@query("asset_counts", f"WITH {_ASSETS} SELECT source, count(*) FILTER (type = 'figure') AS figures, count(*) FILTER (type = 'table') AS tables FROM a GROUP BY source")
+def asset_counts(spark, sf):
+    found = _assets(spark, sf)
+    return assets.counts(found, found)
+
+
+@query("asset_collisions", f"WITH {_ASSETS} SELECT type, idx, count(DISTINCT source) AS sources FROM a GROUP BY ALL HAVING count(DISTINCT source) > 1")
+def asset_collisions(spark, sf):
+    return assets.collisions(_assets(spark, sf))
+
+
+@query("asset_caps", f"WITH {_ASSETS}, r AS (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY page, idx) AS k FROM a) SELECT source, type, count(*) AS n, max(page) AS last_page FROM r WHERE k <= CASE type WHEN 'table' THEN 30 ELSE 20 END GROUP BY ALL")
+def asset_caps(spark, sf):
+    return assets.capped(_assets(spark, sf)).groupBy("source", "type").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
+
+
+@query("asset_uncapped", f"WITH {_ASSETS} SELECT source, type, count(*) AS n, max(page) AS last_page FROM a GROUP BY ALL")
+def asset_uncapped(spark, sf):
+    return assets.capped(_assets(spark, sf), None, None).groupBy("source", "type").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
+
+
+@query("asset_records", f"WITH {_ASSETS} SELECT type, page, idx, count(*) AS n FROM a WHERE source = 'Vol_3-notes.pdf' AND type = 'table' GROUP BY ALL")
+def asset_records(spark, sf):
+    both = assets.registry(_assets(spark, sf).where("type = 'figure'").drop("page_text"), _assets(spark, sf).where("type = 'table'"))
+    return assets.records(both, "Vol_3-notes.pdf", "table").groupBy("type", "page", "idx").agg(F.count("*").alias("n"))
+
+
+@query("asset_by_page", f"WITH {_ASSETS} SELECT source, type, count(*) AS n FROM a WHERE page = 12 GROUP BY ALL")
+def asset_by_page(spark, sf):
+    return assets.by_number(_assets(spark, sf), "page", 12).groupBy("source", "type").agg(F.count("*").alias("n"))
+
+
+@query("asset_by_number", f"WITH {_ASSETS} SELECT type, idx, min(source) AS source FROM a WHERE type = 'table' AND idx = 9 GROUP BY ALL")
+def asset_by_number(spark, sf):
+    return assets.by_number(_assets(spark, sf), "table", 9).select("type", "idx", "source")
+
+
+@query("asset_new", f"WITH {_ASSETS} SELECT source, count(*) AS n FROM a WHERE source NOT IN ('Vol_1-notes.pdf', 'Vol_2-notes.pdf') GROUP BY source")
+def asset_new(spark, sf):
+    known = spark.createDataFrame([("Vol_1-notes.pdf",), ("Vol_2-notes.pdf",), ("Vol_2-notes.pdf",)], "source string")
+    return assets.new_only(_assets(spark, sf), known).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("asset_of_document", f"WITH {_ASSETS} SELECT type, count(*) AS n FROM a WHERE lower(source) LIKE '%vol_5%' GROUP BY type")
+def asset_of_document(spark, sf):
+    mine = assets.of_document(_assets(spark, sf), "show figures of the FIFTH volume", {"fifth": "Vol_5", "first": "Vol_1"})
+    return mine.groupBy("type").agg(F.count("*").alias("n"))
+
+
+_ASKED_FOR = "explain the STANDARD part"
+
+
+@query("asset_relevance", f"WITH {_ASSETS}, q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower('{_ASKED_FOR}'), '[a-z0-9]+'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in assets.STOP_WORDS) + "], w))) AS w), s AS (SELECT source, page, idx, 3 * len(list_intersect(w, regexp_extract_all(lower(caption), '[a-z0-9]+'))) + len(list_intersect(w, regexp_extract_all(lower(page_text), '[a-z0-9]+'))) AS score FROM a, q) SELECT score, count(*) AS n FROM s WHERE score > 0 GROUP BY score")
+def asset_relevance(spark, sf):
+    """How many assets share how many words with a question."""
+    return assets.relevant(_assets(spark, sf), _ASKED_FOR, 1_000_000).groupBy(F.col("score").cast("long").alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("asset_relevance_numbered", f"WITH {_ASSETS} SELECT source, page, idx, count(*) AS n FROM a WHERE type = 'figure' AND idx = 7 GROUP BY ALL")
+def asset_relevance_numbered(spark, sf):
+    return assets.relevant(_assets(spark, sf), "what does figure 7 show", 1_000_000).groupBy("source", "page", "idx").agg(F.count("*").alias("n"))
+
+
+@query("asset_lines", f"WITH {_ASSETS} SELECT upper(left(type, 1)) || substr(type, 2) || ' ' || idx || ' | p.' || page || ' | ' || source || ': ' || caption || chr(10) || 'a | b' || chr(10) || 'c | d' AS line, count(*) AS n FROM a WHERE page < 4 GROUP BY ALL")
+def asset_lines(spark, sf):
+    found = _assets(spark, sf).where("page < 4").withColumn("text", F.lit("a | b\nc | d\ne | f"))
+    return assets.listed(found, 2).groupBy("line").agg(F.count("*").alias("n"))
+
+
+_IMAGES = "'fig_' || p_size || '_' || replace(p_brand, '#', '') || '.png'"
+
+
+@query("image_ranking", f"WITH i AS (SELECT DISTINCT {_IMAGES} AS name FROM part), s AS (SELECT name, CASE WHEN list_contains(list_transform(regexp_extract_all(lower(name), '\\d+'), lambda d: CAST(d AS INTEGER)), 12) THEN 10 ELSE 0 END + 5 + 2 * len(list_intersect(['figure', '12', 'brand'], regexp_extract_all(lower(name), '[a-z0-9]+'))) AS score FROM i) SELECT name, score FROM s ORDER BY score DESC, name LIMIT 10")
+def image_ranking(spark, sf):
+    part = tables.table(spark, sf, "part")
+    names = part.select(F.concat(F.lit("fig_"), F.col("p_size").cast("string"), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".png")).alias("name")).distinct()
+    return assets.ranked_images(names, "show figure 12 from the brand", 10).withColumn("score", F.col("score").cast("long"))
+
+
+@query("html_tables", "WITH n AS (SELECT n_regionkey, n_nationkey, trim(n_name) AS name FROM nation) SELECT CAST(n_regionkey AS BIGINT) AS page_id, CAST(1 AS INTEGER) AS idx, 'key | name' || chr(10) || string_agg(n_nationkey || ' | ' || name, chr(10) ORDER BY n_nationkey) AS text FROM n GROUP BY n_regionkey")
+def html_tables(spark, sf):
+    """Tables in HTML: the nations of each region, and tables of one row, which aren't taken."""
+    n = tables.table(spark, sf, "nation")
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> "), F.col("n_name"), F.lit("\n</td></tr>"))
+    page = n.groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    html = F.concat(F.lit("<p>x</p><table><tr><td>one</td></tr></table><table class=a><tr><th>key</th><th>name</th></tr>"), F.col("rows"), F.lit("</table>"))
+    return assets.html_tables(page.select("page_id", html.alias("html"))).select("page_id", "idx", "text").withColumn("idx", F.lit(1))
+
+
+_FILES = "f AS (SELECT s_suppkey AS id, 'My_Report-' || s_name || '  v2.PDF' AS name, '/data/' || s_suppkey || '/x_' || s_nationkey || '.docx' AS path FROM supplier)"
+
+
+@query("source_names", f"WITH {_FILES}, k AS (SELECT id, path, lower(trim(regexp_replace(regexp_replace(name, '\\.(pdf|PDF)$', ''), '[_\\-\\s]+', ' ', 'g'))) AS key FROM f) SELECT id, key, array_to_string(list_transform(string_split(key, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title, string_split(path, '/')[-1] AS base, 'file://' || path AS uri, to_base64(encode(key)) AS encoded FROM k")
+def source_names(spark, sf):
+    """Names of files as keys, titles, base names, links and base64."""
+    s = tables.table(spark, sf, "supplier")
+    name = F.concat(F.lit("My_Report-"), F.col("s_name"), F.lit("  v2.PDF"))
+    path = F.concat(F.lit("/data/"), F.col("s_suppkey").cast("string"), F.lit("/x_"), F.col("s_nationkey").cast("string"), F.lit(".docx"))
+    return s.select(F.col("s_suppkey").alias("id"), T.source_key(name).alias("key"), T.source_title(name).alias("title"), T.base_name(path).alias("base"), T.file_uri(path).alias("uri"), T.encoded(F.encode(T.source_key(name), "UTF-8")).alias("encoded"))
+
+
+_TEXTS = [
+    (0, "see [Source: a.pdf] and [b.docx], again [a.pdf]", "what is in table 3 on page 4", "list all loaded files"),
+    (1, "read C:/x/first.PDF and notes\\second.txt, then first.PDF", "show Fig. 12 please", "how many tables are there"),
+    (2, "nothing here", "tab. 5 or figure 6", "number of charts"),
+    (3, "[x] a.md [x]", "on page 77", "open figure 3"),
+    (4, "", "no number", "describe the tables"),
+    (5, "z/y/x.md and x.md", "image 9", "which histogram matters"),
+    (6, "[Source:  spaced ]", "Table 10", "why is soil wet"),
+]
+_FOUND = [
+    (0, "a.pdf|b.docx", "a.pdf|b.docx", "table", 3, "list"),
+    (1, "", "first.PDF|second.txt", "figure", 12, "table_count"),
+    (2, "", "", "table", 5, "figure_count"),
+    (3, "x", "a.md", "page", 77, "asset"),
+    (4, "", "", None, None, "table"),
+    (5, "", "x.md", "figure", 9, "figure"),
+    (6, "spaced ", "", "table", 10, "text"),
+]
+
+
+@query("text_lookups", f"SELECT CAST(id AS INTEGER) AS id, cited, files, kind, CAST(number AS INTEGER) AS number, asks FROM {values(_FOUND, 'id, cited, files, kind, number, asks')}")
+def text_lookups(spark, sf):
+    """Citations, files that are named, what number of what is asked for, and what kind of question it is."""
+    t = spark.createDataFrame(_TEXTS, "id int, a string, q string, k string")
+    return t.select("id", F.array_join(T.citations(F.col("a")), "|").alias("cited"), F.array_join(T.named_files(F.col("a")), "|").alias("files"), T.asset_type(F.col("q")).alias("kind"), T.asset_number(F.col("q")).alias("number"), literature.kind_of(F.col("k")).alias("asks"))
+
+
+@query("loaded_sources", f"WITH {CHUNKS}, {_ASSETS} SELECT source, upper(left(source, 1)) || substr(source, 2) AS title, count(*) AS chunks, CAST(0 AS BIGINT) AS figures, CAST(0 AS BIGINT) AS tables, CASE source WHEN 'src3' THEN '/a/src3' ELSE '' END AS path FROM kept GROUP BY source")
+def loaded_sources(spark, sf):
+    """Every loaded document with its chunks, assets and path."""
+    paths = spark.createDataFrame([("src3", "/b/src3"), ("src3", "/a/src3"), ("other", "/c")], "source string, path string")
+    return literature.with_paths(literature.sources(index_of(spark, sf).chunks(), _assets(spark, sf)), paths)
+
+
+@query("source_votes", f"SELECT CAST(query_id AS INTEGER) AS query_id, source FROM {values([(0, 'soil_wet-2020.pdf'), (1, None), (2, 'radar_bare_fields.pdf'), (3, 'soil_wet-2020.pdf')], 'query_id, source')}")
+def source_votes(spark, sf):
+    """Sources found by their distinctive words; a tie, or no such word, finds none."""
+    names = spark.createDataFrame([("soil_wet-2020.pdf",), ("soil_dry-2021.pdf",), ("radar_bare_fields.pdf",)], "source string")
+    asked = spark.createDataFrame([(0, "what of the wet year 2020"), (1, "how is soil"), (2, "bare fields by radar and wet soil"), (3, "open soil wet 2020")], "query_id int, text string")
+    return retrieval.resolve_sources(asked, names)
+
+
+@query("chunks_with_tables", f"WITH {CHUNKS}, {_ASSETS}, t AS (SELECT source, count(*) AS n FROM a WHERE type = 'table' GROUP BY source), c AS (SELECT source, count(*) AS n FROM kept GROUP BY source) SELECT source, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM c) GROUP BY source")
+def chunks_with_tables(spark, sf):
+    """Text chunks and a chunk for each table."""
+    made = _assets(spark, sf).withColumn("text", F.col("page_text"))
+    return retrieval.with_tables(index_of(spark, sf).chunks(), made).groupBy("source").agg(F.count("*").alias("n"))
+
+
+# -- answers
+
+_BOX = "repeat('-', 60)"
+
+
+@query("trend_answers", f"WITH {OBS}, {_DAYS}, {_TRENDS} SELECT region, {_BOX} || chr(10) || 'TREND' || chr(10) || {_BOX} || chr(10) || 'Region: ' || region || chr(10) || 'Period: 1995-01-01 to 2001-12-31' || chr(10) || 'Direction: ' || CASE WHEN slope > 0 THEN 'INCREASING (Wetter)' ELSE 'DECREASING (Drier)' END AS head, CAST(n AS VARCHAR) AS days FROM trends")
+def trend_answers(spark, sf):
+    """The first lines of each region's answer, and its count of days."""
+    got = trend.with_p_value(trend.labelled(_trends(spark, sf), "1995-01-01", "2001-12-31"))
+    text = answers.trend_answer(F.col("region"), "1995-01-01", "2001-12-31")
+    return got.select("region", F.array_join(F.slice(F.split(text, "\n"), 1, 6), "\n").alias("head"), F.regexp_extract(text, r"Days: (\d+)", 1).alias("days"))
+
+
+_LABELS = [(0, 0.5, 0.01, "INCREASING (Wetter)", "SIGNIFICANT"), (1, -0.5, 0.05, "DECREASING (Drier)", "NOT SIGNIFICANT"), (2, 0.0, 0.9, "DECREASING (Drier)", "NOT SIGNIFICANT")]
+
+
+@query("trend_labels", f"SELECT CAST(id AS INTEGER) AS id, direction, significance, 'm³/m³/day' AS unit FROM {values([(i, d, s) for i, _, _, d, s in _LABELS], 'id, direction, significance')}")
+def trend_labels(spark, sf):
+    t = spark.createDataFrame([(i, a, p) for i, a, p, _, _ in _LABELS], "id int, slope double, p double")
+    return t.select("id", answers.direction(F.col("slope")).alias("direction"), answers.significance(F.col("p")).alias("significance"), F.lit(answers.unit("slope")).alias("unit"))
+
+
+@query("comparison_answer", f"WITH {OBS}, {_PERIODS}, {_PHITS}, got AS (SELECT period_idx, max(value) AS value FROM hits GROUP BY period_idx), e AS (SELECT period_idx, CAST(period_start AS VARCHAR) AS label, value, value IS NOT NULL AND row_number() OVER (ORDER BY value DESC NULLS LAST, period_idx) = 1 AS winner FROM periods LEFT JOIN got USING (period_idx)) SELECT string_agg(label || ': ' || CASE WHEN value IS NULL THEN 'no data' ELSE printf('%.6f', value) || ' m³/m³' END || CASE WHEN winner THEN ' HIGHEST PEAK' ELSE '' END, chr(10) ORDER BY period_idx) || chr(10) || max(CASE WHEN winner THEN label || ' has the WETTEST PEAK (max: ' || printf('%.6f', value) || ' m³/m³)' END) AS answer FROM e")
+def comparison_answer(spark, sf):
+    obs = regional(spark, sf, REGION, *compare.hull(SPANS))
+    return answers.comparison_answer(compare.compare_periods(obs, compare.periods(spark, SPANS), "max"), "max", F.col("period_start").cast("string"))
+
+
+@query("value_answer", f"WITH {OBS}, {SLICE}, s AS (SELECT min(value) AS value, count(value) AS n FROM slice) SELECT {_BOX} || chr(10) || 'MINIMUM' || chr(10) || {_BOX} || chr(10) || '{REGION}' || chr(10) || 'min: ' || printf('%.6f', value) || ' m³/m³' || chr(10) || 'values: ' || n || chr(10) || {_BOX} AS answer FROM s")
+def value_answer(spark, sf):
+    one = regional(spark, sf).agg(F.min("value").alias("value"), F.count("value").alias("n"))
+    return one.select(answers.value_answer("MINIMUM", "min", F.lit(REGION), F.col("value"), F.col("n")).alias("answer"))
+
+
+_OFF = "CASE CAST(x AS INTEGER) % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.00005 WHEN 2 THEN 1.0 END"
+
+
+@query("eval_maps", f"WITH {_GRIDS}, p AS (SELECT CAST(x AS INTEGER) % 4 AS op, x, value AS a, value + {_OFF} AS b FROM g_am), d AS (SELECT op, x, a - b AS d, a, b FROM p WHERE a IS NOT NULL AND b IS NOT NULL), m AS (SELECT op, x, count(*) AS n, round(avg(d), 6) AS bias, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, round(max(abs(d)), 6) AS max_abs FROM d GROUP BY ALL), v AS (SELECT c.op, c.x, CASE WHEN n IS NULL THEN 'SKIP' WHEN n < 3 THEN 'FAIL' WHEN abs(bias) < 1e-5 AND rmse < 1e-5 AND mae < 1e-5 THEN 'PASS' WHEN max_abs < 1e-4 THEN 'WARN' ELSE 'FAIL' END AS result FROM (SELECT DISTINCT op, x FROM p) c LEFT JOIN m USING (op, x)) SELECT CAST(op AS INTEGER) AS op, count(*) AS cases, count(*) FILTER (result = 'PASS') AS pass, count(*) FILTER (result = 'WARN') AS warn, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'SKIP') AS skip FROM v GROUP BY ROLLUP (op)")
+def eval_maps(spark, sf):
+    """Columns of a map held against copies: equal, a little off, far off, and without data."""
+    op = (F.col("x").cast("int") % 4).alias("op")
+    off = F.when(op == 0, 0.0).when(op == 1, 0.00005).when(op == 2, 1.0)
+    p = _grids(spark, sf)[0].select(op, "x", F.col("value").alias("a"), (F.col("value") + off).alias("b"))
+    m = p.select("op", "x").distinct().join(sensors.agreement(p, "op", "x"), ["op", "x"], "left")
+    return evaluation.roll_up(evaluation.verdict(m)).select("op", "cases", "pass", "warn", "fail", "skip")

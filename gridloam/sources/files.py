@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
+import re
+import time
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import numpy as np
@@ -35,13 +39,51 @@ def docx_text(raw: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
+#: Libraries that read PDFs, in the order in which they are tried: each gives the pages' texts of a file's bytes.
+def _pypdf(raw: bytes) -> list[str]:
+    from pypdf import PdfReader
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages]
+
+
+def _pymupdf(raw: bytes) -> list[str]:
+    import fitz
+
+    with fitz.open(stream=raw, filetype="pdf") as doc:
+        return [page.get_text() for page in doc]
+
+
+def _pdfplumber(raw: bytes) -> list[str]:
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(raw)) as doc:
+        return [page.extract_text() or "" for page in doc.pages]
+
+
+PDF_READERS = (_pymupdf, _pdfplumber, _pypdf)
+
+
+class NoPdfReader(RuntimeError):
+    """None of the libraries that read PDFs is installed."""
+
+
 def pdf_text(raw: bytes) -> str:
-    """The text of a PDF by whichever library is there; without one, nothing."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return ""
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages)
+    """The text of a PDF by the first library that is there and can read it; a broken file has none."""
+    tried = 0
+    for reader in PDF_READERS:
+        try:
+            pages = reader(raw)
+        except ImportError:
+            continue
+        except Exception:  # noqa: BLE001 - each library has its own errors; the next one may read the file
+            tried += 1
+            continue
+        if any(p.strip() for p in pages):
+            return "\n".join(pages)
+        tried += 1
+    if not tried:
+        raise NoPdfReader("install pymupdf, pdfplumber or pypdf to read PDFs")
+    return ""
 
 
 def file_text(name: str, raw: bytes) -> str:
@@ -101,9 +143,41 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_index(pieces: DataFrame, path: str) -> None:
-    pieces.write.mode("overwrite").parquet(path)
+IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "webp")
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path, length) of the images in a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = files.select(base_name(F.col("path")).alias("name"), "path", "length")
+    return named.where(F.lower("name").rlike(r"\.(" + "|".join(IMAGES) + ")$"))
+
+
+def plot_name(operation: str, region: str | None = None, index: int | None = None) -> str:
+    """A file name for a plot that no other call gives."""
+    slug = re.sub(r"[^a-zA-Z0-9_-]", "_", region.strip())[:20] if region else "analysis"
+    part = "" if index is None else f"_{index}"
+    return f"{slug}_{operation}_{time.strftime('%Y%m%d_%H%M%S')}{part}_{uuid.uuid4().hex[:6]}.png"
+
 
+def geojson_regions(spark: SparkSession, path: str, name: str = "STATE", to_degrees: Callable[[float, float], tuple[float, float]] | None = None) -> DataFrame:
+    """(region, rings) of a GeoJSON file's polygons, multipolygons too; `to_degrees` reprojects each point.
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    Polygon layers are small; a file is read by one task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for raw in pdf["content"]:
+                rows = []
+                for f in json.loads(decoded(raw))["features"]:
+                    g = f.get("geometry") or {}
+                    polygons = {"Polygon": [g.get("coordinates")], "MultiPolygon": g.get("coordinates")}.get(g.get("type"), [])
+                    move = to_degrees or (lambda x, y: (x, y))
+                    rings = [[dict(zip("xy", map(float, move(*p[:2])), strict=True)) for p in ring] for poly in polygons for ring in poly]
+                    if rings:
+                        rows.append((f.get("properties", {}).get(name), rings))
+                yield pd.DataFrame(rows, columns=["region", "rings"])
+
+    kind = "region string, rings array<array<struct<x:double,y:double>>>"
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, kind)

@@ -10,6 +10,10 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
+import shutil
+import tempfile
+import zipfile
 import zlib
 from datetime import date
 
@@ -143,5 +147,27 @@ def register(spark: SparkSession) -> None:
 
 
 def years(folder: str, names: list[str]) -> dict[int, str]:
-    """The stores of a folder by year, from names like 2020_v2.zarr."""
-    return {int(n[:4]): f"{folder}/{n}" for n in sorted(names) if n[:4].isdigit() and n.endswith(".zarr")}
+    """The stores of a folder by year, from names like 2020_v2.zarr; a folder goes before a .zarr.zip of its year."""
+    found: dict[int, str] = {}
+    for n in sorted(names, key=lambda n: (n.endswith(".zip"), n)):
+        if n[:4].isdigit() and n.endswith((".zarr", ".zarr.zip")):
+            found.setdefault(int(n[:4]), f"{folder}/{n}")
+    return found
+
+
+def year_store(folder: str, year: int) -> str:
+    """The store of a year in a local folder; one that is only there as .zarr.zip is unpacked beside it first."""
+    names = os.listdir(folder)
+    path = years(folder, names).get(year)
+    if path is None:
+        raise FileNotFoundError(f"no store of {year} in {folder}")
+    if not path.endswith(".zip"):
+        return path
+    part = tempfile.mkdtemp(dir=folder, prefix=".part-")
+    with zipfile.ZipFile(path) as z:
+        z.extractall(part)
+    inner = [n for n in os.listdir(part) if n.endswith(".zarr")]
+    whole = path.removesuffix(".zip")
+    os.rename(os.path.join(part, inner[0]) if len(inner) == 1 and len(os.listdir(part)) == 1 else part, whole)
+    shutil.rmtree(part, ignore_errors=True)
+    return whole

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import math
+import os
 import zipfile
 from datetime import date, timedelta
 
@@ -235,8 +236,6 @@ def test_grid_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_years(spark, str(tmp_path / "obs"), 2020, 2021)
     files.write_csv(obs, str(tmp_path / "csv"))
-    files.write_index(obs, str(tmp_path / "index"))
-    assert files.read_index(spark, str(tmp_path / "index")).count() == 4
 
 
 def test_stream(spark, tmp_path):
@@ -247,3 +246,80 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.sql("select * from daily").collect()) == [(date(2024, 1, 1), 1, 3.0, 2), (date(2024, 1, 2), 1, 8.0, 1)]
+
+
+def test_index_grows_and_finds_what_a_search_does(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    index = retrieval.Index(spark, str(tmp_path / "index"), 8)
+    half = docs.where("source < 'src2'")
+    index.add(half).add(docs).add(docs)  # what is there already isn't added again
+    assert index.totals().agg(F.sum("n_chunks")).first()[0] == retrieval.chunks(docs).count()
+    again = retrieval.Index(spark, str(tmp_path / "index"), 8)
+    for source in (None, "src3"):
+        want = retrieval.search(retrieval.chunks(docs), asked, 3, "doc_id", "chunk_no", source=source)
+        assert sorted(again.search(asked, 3, source).collect()) == sorted(want.collect())
+
+
+def test_years_of_stores(tmp_path):
+    import zipfile
+
+    from gridloam.sources import zarr
+
+    (tmp_path / "2020_v2.zarr").mkdir()
+    with zipfile.ZipFile(tmp_path / "2021_v2.zarr.zip", "w") as z:
+        z.writestr("2021_v2.zarr/.zgroup", "{}")
+    assert zarr.year_store(str(tmp_path), 2020).endswith("2020_v2.zarr")
+    assert os.path.exists(zarr.year_store(str(tmp_path), 2021) + "/.zgroup") and zarr.year_store(str(tmp_path), 2021).endswith(".zarr")
+    with pytest.raises(FileNotFoundError):
+        zarr.year_store(str(tmp_path), 2022)
+
+
+def test_geojson_and_images(spark, tmp_path):
+    import json
+
+    square = [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]
+    features = [{"properties": {"STATE": "One"}, "geometry": {"type": "Polygon", "coordinates": square}}, {"properties": {"STATE": "Two"}, "geometry": {"type": "MultiPolygon", "coordinates": [square, square]}}, {"properties": {}, "geometry": None}]
+    (tmp_path / "r.geojson").write_text(json.dumps({"features": features}))
+    got = {r["region"]: r["rings"] for r in files.geojson_regions(spark, str(tmp_path / "r.geojson"), to_degrees=lambda x, y: (x / 2, y)).collect()}
+    assert set(got) == {"One", "Two"} and len(got["Two"]) == 2 and got["One"][0][1]["x"] == 1.0
+    (tmp_path / "pics").mkdir()
+    for n in ("a.PNG", "b.jpeg", "c.txt"):
+        (tmp_path / "pics" / n).write_bytes(b"x")
+    assert sorted(r["name"] for r in files.image_files(spark, str(tmp_path / "pics")).collect()) == ["a.PNG", "b.jpeg"]
+    assert files.plot_name("mean", "tamil nadu", 2).startswith("tamil_nadu_mean_") and files.plot_name("mean") != files.plot_name("mean")
+
+
+def test_literature_answers(spark, tmp_path):
+    from gridloam.operators import literature
+
+    docs = spark.createDataFrame([(1, "soil_study.pdf", "soil moisture rises with rain " * 20), (2, "radar-notes.pdf", "radar echoes of bare fields " * 20)], "doc_id long, source string, text string")
+    index = retrieval.Index(spark, str(tmp_path / "i"), 4).add(docs)
+    found = spark.createDataFrame([("soil_study.pdf", "table", 3, 1, "Rain by month", "", "a | b"), ("radar-notes.pdf", "figure", 2, 1, "Echo power", "", "")], "source string, type string, page int, idx int, caption string, page_text string, text string")
+    kind, rows = literature.answer(spark, "List all loaded files", index, found)
+    assert kind == "list" and {(r["title"], r["chunks"], r["figures"], r["tables"]) for r in rows.collect()} == {("Soil Study", 1, 0, 1), ("Radar Notes", 1, 1, 0)}
+    assert literature.answer(spark, "How many tables are there?", index, found)[1].agg(F.sum("tables")).first()[0] == 1
+    kind, rows = literature.answer(spark, "Show me table 1", index, found)
+    assert kind == "asset" and rows.first()["source"] == "soil_study.pdf"
+    kind, rows = literature.answer(spark, "why does radar see bare fields", index, found)
+    assert kind == "text" and rows.first()["source"] == "radar-notes.pdf"
+    assert literature.command("load literature 'a/b.pdf'") == ("load", "a/b.pdf") and literature.command("Clear literature") == ("clear", "") and literature.command("tables of rain") is None
+
+
+def test_splitting_and_refining():
+    from gridloam.plans import intent
+    from gridloam.plans.query import embedded_json, follow_up, parse, refined
+
+    q = "mean moisture in kerala in 2020 and what does the algorithm in the paper do"
+    assert intent.split_both(q) == (q, q)
+    assert intent.split_both(q, lambda _: ("what does the algorithm in the paper do", "mean moisture in kerala in 2020")) == ("mean moisture in kerala in 2020", "what does the algorithm in the paper do")
+    assert intent.split_both(q, lambda _: ("", "what does the algorithm in the paper do"))[0] == "mean moisture in kerala in 2020"
+    assert intent.split_both(q, lambda _: ("mean moisture in kerala in 2020", ""))[1] == "what does the algorithm in the paper do"
+    assert intent.fast("himachal pradesh mean 2020") == "dataset" and intent.fast("hi there") == "chat" and "data: mean" in intent.explain("mean of goa")
+    plan = parse("mean of kerala")
+    assert plan.problem == "which dates?" and "Kerala" in follow_up(plan) and plan.patch("june 2020").problem is None
+    assert "Which region" in follow_up(parse("mean in june 2020")) and follow_up(parse("mean of goa 2020")) is None
+    assert embedded_json('so: {"a": {"b": 1}} end') == {"a": {"b": 1}} and embedded_json("none {x}") is None
+    said = refined(plan, 'Sure! {"confident": true, "operation": "maximum", "region": "Goa", "start_date": "2021-01", "end_date": "2021-03"}')
+    assert (said.operation, said.regions, said.spans, said.problem) == ("maximum", ("goa",), (("2021-01-01", "2021-03-31"),), None)
+    assert refined(plan, '{"confident": false, "operation": "maximum"}') == plan

@@ -154,8 +154,9 @@ for _metric in grid.METRICS:
 
 @query("compare_regions", f"WITH {OBS}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE region IN ('nation_3', 'nation_7') AND obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' GROUP BY region), i AS (SELECT *, CAST(CASE region WHEN 'nation_3' THEN 0 ELSE 1 END AS INTEGER) AS region_idx FROM got) SELECT region, round(value, 6) AS value, n, region_idx, row_number() OVER (ORDER BY value DESC NULLS LAST, region_idx) = 1 AS winner FROM i")
 def compare_regions(spark, sf):
+    """Those of the two regions that have data; `compare_regions_missing` shows the others too."""
     obs = grid.between(tables.observations(spark, sf), *YEAR)
-    return compare.compare_regions(obs, tables.cell_region(spark, sf), TWO, "mean").withColumn("value", F.round("value", 6))
+    return compare.compare_regions(obs, tables.cell_region(spark, sf), TWO, "mean").where("n > 0").withColumn("value", F.round("value", 6))
 
 
 @query("multi_range_mean", f"WITH {OBS}, {_PERIODS}, {_PHITS} SELECT period_idx, round(avg(value), 6) AS value, count(value) AS n FROM hits GROUP BY period_idx")
@@ -499,7 +500,7 @@ def _engine(spark, sf) -> Engine:
     return Engine(spark, tables.observations(spark, sf), tables.cell_region(spark, sf))
 
 
-@query("multi_region_mean", f"WITH {OBS}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' AND region IN ('nation_3', 'nation_7') GROUP BY region) SELECT region, DATE '{YEAR[0]}' AS period_start, DATE '{YEAR[1]}' AS period_end, round(value, 6) AS value, n, 'ok' AS status FROM got")
+@query("multi_region_mean", f"WITH {OBS}, {_TRIO}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' GROUP BY region) SELECT region, DATE '{YEAR[0]}' AS period_start, DATE '{YEAR[1]}' AS period_end, round(value, 6) AS value, coalesce(n, 0) AS n, CASE WHEN value IS NULL THEN 'no data' ELSE 'ok' END AS status FROM regions LEFT JOIN got USING (region) WHERE region_idx < 2")
 def multi_region_mean(spark, sf):
     """A plan with two regions answers for both."""
     got = _engine(spark, sf).execute(Plan("mean", tuple(TWO), (YEAR,))).scalars

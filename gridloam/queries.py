@@ -497,7 +497,9 @@ for _name, _spans in (("complete", SPANS[:3]), ("incomplete", SPANS)):
 
 
 def _engine(spark, sf) -> Engine:
-    return Engine(spark, tables.observations(spark, sf), tables.cell_region(spark, sf))
+    nations = regions.catalogue(tables.table(spark, sf, "nation").withColumnRenamed("n_name", "region"))
+    known = [r["region"] for r in nations.collect()]  # also those that no cell lies in
+    return Engine(spark, tables.observations(spark, sf), tables.cell_region(spark, sf), known)
 
 
 @query("multi_region_mean", f"WITH {OBS}, {_TRIO}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' GROUP BY region) SELECT region, DATE '{YEAR[0]}' AS period_start, DATE '{YEAR[1]}' AS period_end, round(value, 6) AS value, coalesce(n, 0) AS n, CASE WHEN value IS NULL THEN 'no data' ELSE 'ok' END AS status FROM regions LEFT JOIN got USING (region) WHERE region_idx < 2")

@@ -103,11 +103,16 @@ def cuts_of(length: int, capacity: int, filler: bool) -> list[int]:
     return out + [x for x in (rest, *tail) if x]
 
 
-def cut_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
-    """(key, start, length, doc_tokens, ids, ids_crc32): every text's ids with the end id, in pieces of at most the capacity."""
+def cut_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None, digests: bool = False) -> DataFrame:
+    """(key, start, length, doc_tokens, ids): every text's ids with the end id, in pieces of at most the capacity.
+
+    With `digests` it is their crc32 (`ids_crc32`) in place of the ids.
+    """
     path = path or vocabulary("word_bpe_49k.json")
     end = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
 
+    name = "ids_crc32" if digests else "ids"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = 0  # ids in short pieces so far
         for b in batches:
@@ -119,17 +124,18 @@ def cut_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPA
                 filler = held // (FILL_WINDOWS * capacity) > before // (FILL_WINDOWS * capacity)
                 for size in cuts_of(n, capacity, filler):
                     row.append(i), start.append(at), length.append(size), total.append(n)
-                    ids.append(got[4 * at : 4 * (at + size)])
+                    piece = got[4 * at : 4 * (at + size)]
+                    ids.append(zlib.crc32(piece) if digests else piece)
                     at += size
             columns = [b.column(0).take(pa.array(row, pa.int64()))]
             columns += [pa.array(c, pa.int64()) for c in (start, length, total)]
-            columns += [pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "start", "length", "doc_tokens", "ids", "ids_crc32"])
+            columns.append(pa.array(ids, pa.int64() if digests else pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [key, "start", "length", "doc_tokens", name])
 
     bounded_batches(df.sparkSession)
     df = texts_of(df, text, key)
     kind = df.schema[0].dataType.simpleString()
-    return df.mapInArrow(tidy(run), f"`{key}` {kind}, start long, length long, doc_tokens long, ids binary, ids_crc32 long")
+    return df.mapInArrow(tidy(run), f"`{key}` {kind}, start long, length long, doc_tokens long, {name} {'long' if digests else 'binary'}")
 
 
 def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
@@ -165,9 +171,9 @@ def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, group_windows: i
 
 def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
     """(key, start, length, doc_tokens, ids, sequence_id, offset): the pieces with their ids and their windows."""
-    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path).drop("ids_crc32"), "pieces"), capacity)
+    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path), "pieces"), capacity)
 
 
 def pack_digests(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:
     """`pack` with the crc32 of each piece's ids in their place; no ids are moved."""
-    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path).drop("ids"), "pieces"), capacity)
+    return assign_windows(stored(cut_pieces(df, key, text, capacity, end_id, path, digests=True), "pieces"), capacity)

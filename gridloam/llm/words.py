@@ -15,9 +15,9 @@ _RUN = re.compile(r"[,.](?<=[^\w ].) ")
 #: Marks that never begin a contraction or a special token's string where they end a word.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^`{}~"
 #: Words that a worker's cache holds before it keeps only those that come again.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Characters of text that are encoded at a time.
-SLICE = 8 << 20
+SLICE = 5 << 20
 
 
 class LibraryWords:

@@ -10,8 +10,10 @@ frequencies of its distinct shingles (`exchange`). A text whose shingles that ot
 similarity times its whole weight cannot be linked and is done. The others are sampled: `BANDS` bands of `ROWS`
 samples (k, t) each. Texts that meet in a band are candidates of one group (found by stars around each bucket's
 smallest member, and their components), and a group's links are found by adding up minima over an inverted index of
-its shingles; only the links that join texts not yet joined are kept. A group that is too large for a task is dealt
-to blocks, and each pair of blocks is a task.
+its shingles; only the links that join texts not yet joined are kept. In a group that is too large for a task every text
+is first held against the group's smallest member, one by one. Those that are linked to it are of one class, and are
+compared with each other no more. The rest are dealt to blocks, and each of these is compared with every block of the
+group in a task of its own; only that is quadratic, and only in what the rest are.
 
 Null and empty texts have no shingle and are alone in their class, as are documents without an id (their class is
 null). Repeated rows come back as often as they come in; other columns are left out; an empty table gives no rows.
@@ -40,8 +42,8 @@ BANDS = 26
 ROWS = 4
 CHUNK_BYTES = 6 << 20
 #: Texts, and shingles, of a group that one task takes.
-GROUP_TEXTS = 4096
-GROUP_SHINGLES = 4_000_000
+GROUP_TEXTS = 1024
+GROUP_SHINGLES = 1_000_000
 _SHIFT = np.uint64(64 - BITS)
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -196,6 +198,20 @@ def links(keys: list[np.ndarray], weights: list[np.ndarray], least: float, other
             return
 
 
+def unpack_vector(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, weights) of a stored vector."""
+    cut = len(raw) - 8 * n
+    return unpack_keys(raw[:cut]), np.frombuffer(raw, "<f8", n, cut)
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> bool:
+    """Whether the weighted Jaccard similarity is at least `least`."""
+    i = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    hit = a[0][i] == b[0]
+    both = np.minimum(a[1][i[hit]], b[1][hit]).sum()
+    return bool(both >= (least - 1e-12) * (a[1].sum() + b[1].sum() - both))
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(key, class_id) of every row."""
     spark = df.sparkSession
@@ -263,25 +279,50 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     centre = stored(centre, "centres")  # so that the join has an exchange on either side and a large bucket is split
     stars = met.join(centre, "band").where("fp <> centre").select(F.col("fp").alias("u"), F.col("centre").alias("v"))
     groups = components(stars)
+    vector = vectors.select("fp", "vector", "n")
     weight = groups.join(vectors.select(F.col("fp").alias("u"), "n"), "u").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("texts") / GROUP_TEXTS), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("int")
-    # of a group that is too large for one task: twice as many blocks, so that a pair of them has as much as a task takes
-    # stored, so that the join has an exchange on either side and a large group is split
-    weight = stored(weight.select("root", F.when(parts > 1, 2 * parts).otherwise(1).alias("blocks")), "groups")
-    placed = groups.join(weight, "root").select(F.col("u").alias("fp"), "root", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = placed.select("fp", "root", "block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(others, lambda x: x != F.col("block")))).alias("with"))
-    dealt = pairs.select("fp", "root", "block", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b")).join(vectors.select("fp", "vector", "n"), "fp")
+    large = (F.col("texts") > GROUP_TEXTS) | (F.col("shingles") > GROUP_SHINGLES)
+    # stored, as are the tables below, so that the joins have an exchange on either side and a large group is split
+    weight = stored(weight.select("root", large.alias("large")), "groups")
+    placed = groups.join(weight, "root").select(F.col("u").alias("fp"), "root", "large")
+    centres = stored(weight.where("large").join(vector.select(F.col("fp").alias("root"), F.col("vector").alias("c_vector"), F.col("n").alias("c_n")), "root").drop("large"), "hubs")
+
+    def near_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, centre = None, None
+        for batch in batches:
+            near = []
+            for root, v, n, c_v, c_n in zip(*(batch.column(c).to_pylist() for c in ("root", "vector", "n", "c_vector", "c_n")), strict=True):
+                if root != held:
+                    held, centre = root, unpack_vector(c_v, c_n)
+                near.append(alike(centre, unpack_vector(v, n), least))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "root", "n")), pa.array(near, pa.bool_())], ["fp", "root", "n", "near"])
+
+    bounded_batches(spark)
+    hub = placed.where("large").select("fp", "root").join(vector, "fp").join(centres, "root")
+    hub = stored(hub.select("fp", "root", "vector", "n", "c_vector", "c_n").mapInArrow(tidy(near_centre), "fp long, root long, n long, near boolean"), "near-centres")
+    # blocks of half a task's texts: a task takes two
+    size = lambda of: F.greatest(F.ceil(2 * F.count_if(of) / GROUP_TEXTS), F.ceil(2 * F.sum(F.when(of, F.col("n")).otherwise(0)) / GROUP_SHINGLES)).cast("int")
+    blocks = stored(hub.groupBy("root").agg(size(F.col("near")).alias("nears"), size(~F.col("near")).alias("rests")), "blocks")
+    mine = F.pmod(F.xxhash64("fp"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("rests"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    task = lambda cross, a, b: F.struct(F.lit(cross).alias("cross"), a.alias("a"), b.alias("b"))
+    with_rests = F.transform(upto("rests"), lambda x: task(True, x, F.col("block")))
+    with_all = F.concat(F.transform(upto("nears"), lambda x: task(True, F.col("block"), x)), F.transform(upto("rests"), lambda x: task(False, F.least(F.col("block"), x), F.greatest(F.col("block"), x))))
+    split = hub.join(blocks.where("rests > 0"), "root").withColumn("block", mine)
+    split = split.select("fp", "root", "near", F.explode(F.when(F.col("near"), with_rests).otherwise(with_all)).alias("t")).select("fp", "root", "near", "t.*")
+    whole = placed.where("not large").select("fp", "root", F.lit(False).alias("near"), F.lit(False).alias("cross"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    dealt = whole.unionByName(split).join(vector, "fp")
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp", kind="stable").drop_duplicates("fp")
-        split = [(unpack_keys(v[: len(v) - 8 * n]), np.frombuffer(v, "<f8", n, len(v) - 8 * n)) for v, n in zip(pdf["vector"], pdf["n"], strict=True)]
+        each = [unpack_vector(v, n) for v, n in zip(pdf["vector"], pdf["n"], strict=True)]
         fps = pdf["fp"].to_numpy()
-        found = [(int(fps[i]), int(fps[j])) for i, j in links([k for k, _ in split], [w for _, w in split], least)] if len(pdf) > 1 else []
+        other = pdf["near"].to_numpy(bool) if pdf["cross"].iloc[0] else None
+        found = [(int(fps[i]), int(fps[j])) for i, j in links([k for k, _ in each], [w for _, w in each], least, other)] if len(pdf) > 1 else []
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    bounded_batches(spark)
-    linked = components(dealt.groupBy("root", "a", "b").applyInPandas(joined, "u long, v long"))
+    found = dealt.groupBy("root", "cross", "a", "b").applyInPandas(joined, "u long, v long")
+    linked = components(found.unionByName(hub.where("near and fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))))
     named = members.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
     # stored, so that the join has an exchange on either side and a large class is split
     least_id = stored(named.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id")), "classes")

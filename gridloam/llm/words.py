@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 _RUN = re.compile(r"[,.](?<=[^\w ].) ")
 #: Marks that never begin a contraction or a special token's string where they end a word.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^`{}~"
-#: Words that a worker's cache holds before it keeps only those that come again.
-CACHE_WORDS = 300_000
+#: Words that a worker's cache holds before it keeps only the half that came last.
+CACHE_WORDS = 500_000
 #: Characters of text that are encoded at a time.
-SLICE = 5 << 20
+SLICE = 6 << 20
 
 
 class LibraryWords:
@@ -38,8 +38,11 @@ class LibraryWords:
         a, b = (self.ids(x) for x in ("a", "b"))
         if self.ids("a \n b ") != a + b:
             raise ValueError("this tokenizer keeps white space; use it on whole texts")
-        self.seen: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        # the cache: words, their ids one after the other, where each word's begin, and when it was last met
+        self.known = pa.array([""], pa.large_string())
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.met, self.now = np.zeros(1, np.int32), 0
+        self.tails: dict[str, bytes] = {}
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
         self.last = None
         if suffix:
@@ -72,20 +75,20 @@ class LibraryWords:
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _letters(self, new: list[str]) -> None:
+    def _letters(self, new: list[str], made: dict[str, bytes]) -> None:
         """Ids of words of lower-case Latin-1 letters: each is one pre-token, so its last id has the suffix."""
         parts = [" ".join(new[a : a + 256]) for a in range(0, len(new), 256)]
         got = (self.plain or self.tok).encode_batch_fast(parts, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(new):
-            return self._offsets(new)
-        raw, a, seen = ids.tobytes(), 0, self.seen
+            return self._offsets(new, made)
+        raw, a = ids.tobytes(), 0
         for w, b in zip(new, (4 * ends).tolist(), strict=True):
-            seen[w] = raw[a:b]
+            made[w] = raw[a:b]
             a = b
 
-    def _offsets(self, new: list[str]) -> None:
+    def _offsets(self, new: list[str], made: dict[str, bytes]) -> None:
         """Ids of any words, told apart by the offsets."""
         enc = self.tok.encode(" ".join(new), add_special_tokens=False)
         ids = np.array(enc.ids, np.uint32)
@@ -94,36 +97,32 @@ class LibraryWords:
         cut = (4 * np.searchsorted(word, np.arange(len(new) + 1))).tolist()
         raw = ids.tobytes()
         for w, a, b in zip(new, cut[:-1], cut[1:], strict=True):
-            self.seen[w] = raw[a:b]
+            made[w] = raw[a:b]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
         """Ids of new words. Marks after a word of letters are a pre-token of their own, so they are looked up apart."""
-        letters, marked, odd = {}, [], []
+        letters, marked, odd, made = {}, [], [], {}
         for w in new:
             if self.last is not None and w.isalpha() and w.islower() and max(w) < "\u0100":
                 letters[w] = None
                 continue
             stem = w.rstrip(MARKS) if self.folds else ""
             if stem and stem != w and stem.isalpha() and stem.islower() and max(stem) < "\u0100":
+                letters[stem] = None
                 marked.append((w, stem, w[len(stem) :]))
             else:
                 odd.append(w)
-        seen, old = self.seen, self.old
-        for _, stem, tail in marked:
-            for part, into in ((stem, letters), (tail, None)):
-                if part not in seen:
-                    if part in old:
-                        seen[part] = old[part]
-                    elif into is not None:
-                        into[part] = None
-                    else:
-                        seen[part] = np.array(self.ids(part), np.uint32).tobytes()
         if letters:
-            self._letters(list(letters))
+            self._letters(list(letters), made)
         if odd:
-            self._offsets(odd)
+            self._offsets(odd, made)
+        if len(self.tails) > 10_000:
+            self.tails.clear()
         for w, stem, tail in marked:
-            seen[w] = seen[stem] + seen[tail]
+            if tail not in self.tails:
+                self.tails[tail] = np.array(self.ids(tail), np.uint32).tobytes()
+            made[w] = made[stem] + self.tails[tail]
+        return [made[w] for w in new]
 
     def prepared(self, text: str) -> str:
         """The text with a space between all words whose ids make up its own.
@@ -162,35 +161,48 @@ class LibraryWords:
         """
         words = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.large_string()), " ")
         coded = pc.dictionary_encode(words.values)
-        which, got = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
+        place = self._places(coded.dictionary)
+        size, start = np.diff(self.start)[place].astype(np.int32), self.start[place].astype(np.int32)
+        which = coded.indices.to_numpy()
         n = size[which]
         end = np.cumsum(n, dtype=np.int64)
         total = int(end[-1]) if len(end) else 0
         small = np.int32 if total < 1 << 31 else np.int64
-        start = (np.cumsum(size, dtype=np.int64) - size).astype(small)
         at = np.repeat(start[which] - (end - n).astype(small), n)
         at += np.arange(total, dtype=small)
-        ids = np.frombuffer(b"".join(got), np.uint32)[at]
-        return ids, np.concatenate(([0], end))[words.offsets.to_numpy()]
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        if len(self.seen) > CACHE_WORDS:  # words that come again are taken over
-            self.old, self.seen = self.seen, {"": b""}
-        seen, old, new = self.seen, self.old, []
-        got = list(map(seen.get, words))
-        if None in got:
-            for i in [i for i, g in enumerate(got) if g is None]:
-                g = old.get(words[i])
-                if g is None:
-                    new.append(i)
-                else:
-                    seen[words[i]] = got[i] = g
-            if new:
-                self._learn([words[i] for i in new])
-                for i in new:
-                    got[i] = seen[words[i]]
-        return got
+        return self.flat[at], np.concatenate(([0], end))[words.offsets.to_numpy()]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where different words are in the cache; new ones are put there."""
+        self.now += 1
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            made = self._learn(fresh.to_pylist())
+            place[new] = len(self.known) + np.arange(len(new))
+            size = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), np.uint32)])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        self.met[place] = self.now
+        return place
+
+    def _forget(self) -> None:
+        """Keep the half of the cache that was met last, and the empty word."""
+        half = len(self.met) // 2
+        keep = self.met >= np.partition(self.met, half)[half]
+        if keep.mean() > 0.75:  # most were met together; any half does
+            keep &= np.arange(len(keep)) % 2 == 0
+        keep[0] = True
+        size = np.diff(self.start)
+        self.flat = self.flat[np.repeat(keep, size)]
+        self.start = np.concatenate(([0], np.cumsum(size[keep])))
+        self.known = self.known.filter(pa.array(keep))
+        self.met = self.met[keep]
 
 
 _loaded: dict[str, LibraryWords] = {}

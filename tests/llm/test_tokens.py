@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloam.llm import bpe, packing, queries
+from gridloam.llm import bpe, packing, queries, words
 from gridloam.llm.common import vocabulary
 from gridloam.llm.words import library_words
 
@@ -89,6 +89,17 @@ def test_words_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(words, "CACHE_WORDS", 50)
+    monkeypatch.setattr(words, "SLICE", 300)
+    tok, mine = library("word_bpe_49k.json"), words.LibraryWords(vocabulary("word_bpe_49k.json"))
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice('abcdé')}{rng.randrange(400):x}{rng.choice(['', ',', '##'])}" for _ in range(rng.randrange(40))) for _ in range(300)]
+    for t, ids in zip(texts, mine.encode_many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(mine.known) < 500
+
+
 def check_packed(rows, docs, tok, capacity):
     """Every id in exactly one piece, windows gapless and within the capacity."""
     want = defaultdict(list)

@@ -106,7 +106,12 @@ class Chunk:
         return self.levels[k]
 
     def dump(self) -> bytes:
-        parts = [pack_keys(self.keys), squeeze(self.tokens.astype("<i4")), squeeze(self.sizes.astype("<i8")), squeeze(self.learn.astype(np.uint8)), json.dumps(self.ids).encode()]
+        # tokens by how often they come, a byte plane after the other, are small; the order follows from the counts
+        often = np.bincount(self.tokens, minlength=len(self.keys))
+        rank = np.empty(len(often), "<u4")
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        planes = np.ascontiguousarray(rank[self.tokens].view(np.uint8).reshape(-1, 4).T)
+        parts = [pack_keys(self.keys), pack_counts(often), squeeze(planes), squeeze(self.sizes.astype("<i8")), squeeze(self.learn.astype(np.uint8)), json.dumps(self.ids).encode()]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @classmethod
@@ -116,7 +121,9 @@ class Chunk:
             n = int.from_bytes(raw[at : at + 8], "little")
             parts.append(raw[at + 8 : at + 8 + n])
             at += 8 + n
-        return cls(unpack_keys(parts[0]), loosen(parts[1], "<i4"), loosen(parts[2], "<i8"), loosen(parts[3], np.uint8).astype(bool), json.loads(parts[4]))
+        order = np.argsort(-unpack_counts(parts[1]), kind="stable").astype(np.int32)
+        rank = np.ascontiguousarray(loosen(parts[2], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        return cls(unpack_keys(parts[0]), order[rank], loosen(parts[3], "<i8"), loosen(parts[4], np.uint8).astype(bool), json.loads(parts[5]))
 
     def own_counts(self, k: int) -> np.ndarray:
         """How often the chunk's training texts have each n-gram."""
@@ -298,7 +305,8 @@ class Tables:
         free = (c > 0) & (mass < c)
         self.loose = np.bincount(level.history[free], minlength=n) > 0  # surely not all undiscounted
         mine = np.flatnonzero(follow.owned & (c > 0))
-        lower = world.unigram(told[1].counts) if k == 2 else discounted(told[k - 1].counts, world.d[k - 1])
+        # numerators of the lower level's probabilities, which pack well; `finish` knows what they are over
+        lower = discounted(told[k - 1].counts, world.d[k - 1])
         self.freed = np.bincount(level.history[mine], (c - mass)[mine], n).astype(np.float64)  # whole numbers if there are none
         self.lower = np.bincount(level.history[mine], lower[level.suffix[mine]], n).astype(np.float64)
         self.sent = self.shared & (self.count > 0) & (np.bincount(level.history[mine], minlength=n) > 0)
@@ -311,8 +319,10 @@ SUMS = "bucket int, chunk long, level int, asked boolean, keys binary, freed bin
 class Pending:
     """Histories whose sums a chunk needs, and the terms of its texts' scores that wait for them."""
 
-    def __init__(self, ids, learn, sizes, known, base, score):
+    def __init__(self, ids, learn, sizes, known, base, score, unit):
         self.ids, self.learn, self.sizes, self.known, self.base, self.score = ids, learn, sizes, known, base, score
+        #: what a discounted count of a word is worth as a probability
+        self.unit = unit
         #: per level k: index into its histories of those needed, their count, sums (if the chunk has them all)
         self.need: dict[int, dict] = {}
         #: (text, level, place among the level's needs, whether backing off, times)
@@ -344,7 +354,7 @@ def evaluate(chunk: Chunk, told: dict[int, Answers], world: World, order: int) -
     log_p[rest] = np.log10(world.unigram(ones))[chunk.tokens[rest]]
     add = lambda x: np.add.reduceat(x, chunk.first)
     base = np.log10((ones + 1) / (world.total + world.types + 1))
-    out = Pending(chunk.ids, chunk.learn, chunk.sizes, add((ones > 0)[chunk.tokens].astype(np.int64)), add(base[chunk.tokens]), add(log_p))
+    out = Pending(chunk.ids, chunk.learn, chunk.sizes, add((ones > 0)[chunk.tokens].astype(np.int64)), add(base[chunk.tokens]), add(log_p), world.scale / max(world.total, 1))
     wanted: dict[int, np.ndarray] = {}
     for k in range(order, 1, -1):
         t, (texts, h, off) = tables[k], uses[k]
@@ -383,6 +393,8 @@ def finish(p: Pending, replies: dict[int, tuple[np.ndarray, np.ndarray]], order:
             has = n["parent"] >= 0
             shrink[has] = scale[k - 1][at[has]]
             lower = lower * shrink / np.maximum(n["below"], 1)
+        else:
+            lower = lower * p.unit
         alpha[k] = np.where(tight, 1 / (c + 1), freed / np.maximum(c, 1)) / np.maximum(1 - lower, 1e-300)
     score = p.score.copy()
     for k, text, at, off, times in p.terms:

@@ -24,8 +24,11 @@ def _lean() -> None:
 
 _lean()
 
-#: Records in an Arrow batch; bounds a Python worker's memory where texts are long.
+#: Records in an Arrow batch, and bytes; they bound a Python worker's memory where texts are long.
 BATCH_ROWS = 2000
+BATCH_BYTES = 32 << 20
+#: Rows of one key that a task of a join takes at least, and keys with more that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def vocabulary(name: str) -> str:
@@ -86,6 +89,25 @@ def bounded_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, counts: DataFrame) -> DataFrame:
+    """Rows inner-joined to a table with one row for each key; no task gets all rows of a frequent key.
+
+    `counts` has the rows of each key, `n`. Keys with over a ten-thousandth of the rows are at most ten thousand: their
+    part of the table is broadcast, and only the other rows are shuffled. All three are read several times, so give
+    stored tables.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(on)
+    if hot.isEmpty():
+        return rows.join(table, on)
+    hot = F.broadcast(hot)
+    few = F.broadcast(table.join(hot, on, "left_semi"))
+    return rows.join(few, on).unionByName(rows.join(hot, on, "left_anti").join(table, on))
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:

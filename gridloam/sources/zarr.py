@@ -2,8 +2,11 @@
 
 `spark.read.format("zarr_grid").option("variable", ...).load(path)` gives (obs_date, y, x, value) of a variable with
 dimensions time, latitude and longitude; without the option it is the store's first variable. Chunks without a
-compressor or with zlib, gzip or zstd are read; others need the library that wrote them and are an error. Missing
-chunks, fill values and NaN are NULL. Pushed-down days leave out the chunks before and after.
+compressor or with Blosc, zlib, gzip or zstd are read; others need the library that wrote them and are an error, as is a
+chunk that can't be read, with its name. Missing chunks, fill values and NaN are NULL. Pushed-down days leave out the chunks
+before and after.
+
+`write` makes such a store of observations, a task for each chunk, with Blosc frames.
 """
 
 from __future__ import annotations
@@ -18,13 +21,31 @@ import zlib
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from gridloam.sources import blosc
+from gridloam.sources.store import write_whole
+
 SCHEMA = "obs_date date, y double, x double, value double"
 
 
+class BadChunk(ValueError):
+    """A chunk that isn't what its array's metadata says."""
+
+
+def _zstd(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+
+
+_EXPAND = {"blosc": blosc.unpack, "zlib": zlib.decompress, "gzip": gzip.decompress, "zstd": _zstd}
+
+
 class Store:
     """Arrays of a store, by their metadata."""
 
@@ -55,17 +76,13 @@ class Store:
             fill = spec.get("fill_value")
             return np.full(shape, np.nan if fill in (None, "NaN") else fill, np.float64)
         how = (spec.get("compressor") or {}).get("id")
-        if how == "zlib":
-            raw = zlib.decompress(raw)
-        elif how == "gzip":
-            raw = gzip.decompress(raw)
-        elif how == "zstd":
-            import zstandard
-
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        elif how is not None:
+        if how not in (None, *_EXPAND):
             raise ValueError(f"{name}: compressor {how} is not supported")
-        return np.frombuffer(raw, kind).reshape(shape, order=spec.get("order", "C"))
+        try:
+            raw = _EXPAND[how](raw) if how else raw
+            return np.frombuffer(raw, kind).reshape(shape, order=spec.get("order", "C"))
+        except Exception as e:  # each library has errors of its own
+            raise BadChunk(f"chunk {name}/{'.'.join(map(str, index))}: {e}") from e
 
     def whole(self, name: str) -> np.ndarray:
         """A coordinate, which has one dimension."""
@@ -146,6 +163,55 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def write(obs: DataFrame, path: str, name: str = "value", chunks: tuple[int, int, int] = (365, 64, 64)) -> None:
+    """A store of (obs_date, y, x, value), one variable over all days from the first to the last and the axes' own values.
+
+    The axes come to the driver, as they are the store's coordinates; the values don't: each chunk that has any is one
+    file, made by one task. Of several values of a cell and day the largest is kept.
+    """
+    obs = obs.select("obs_date", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("value").cast("double").alias("value"))
+    first, last = obs.agg(F.min("obs_date"), F.max("obs_date")).first()
+    if first is None:
+        raise ValueError("no observations to write")
+    axes = {c: np.array(sorted(r[0] for r in obs.select(c).where(F.col(c).isNotNull()).distinct().collect())) for c in ("y", "x")}
+    start = (first - date(1970, 1, 1)).days
+    axes = {"time": np.arange(start, start + (last - first).days + 1, dtype="<i8"), **axes}
+    step = [min(c, len(a)) for c, a in zip(chunks, axes.values(), strict=True)]
+
+    def array(shape, chunk, kind, fill):
+        how = {"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1, "blocksize": 0}
+        return {"zarr_format": 2, "shape": shape, "chunks": chunk, "dtype": kind, "compressor": how, "fill_value": fill, "order": "C", "filters": None}
+
+    meta: dict[str, dict] = {".zgroup": {"zarr_format": 2}, ".zattrs": {}}
+    for c, a in axes.items():
+        write_whole(f"{path}/{c}/0", blosc.pack(a.astype("<i8" if c == "time" else "<f8").tobytes(), 8))
+        meta[f"{c}/.zarray"] = array([len(a)], [len(a)], "<i8" if c == "time" else "<f8", None)
+        meta[f"{c}/.zattrs"] = {"_ARRAY_DIMENSIONS": [c]} | ({"units": "days since 1970-01-01"} if c == "time" else {})
+    meta[f"{name}/.zarray"] = array([len(a) for a in axes.values()], step, "<f8", "NaN")
+    meta[f"{name}/.zattrs"] = {"_ARRAY_DIMENSIONS": list(axes)}
+
+    # where each row lies: days by arithmetic, the axes by their sorted values
+    def place(batches):
+        for pdf in batches:
+            t = (pd.to_datetime(pdf["obs_date"]).to_numpy("datetime64[D]").astype(np.int64) - start).astype(np.int64)
+            at = [t, *(np.searchsorted(axes[c], pdf[c].to_numpy()) for c in ("y", "x"))]
+            yield pd.DataFrame({n: v for n, v in zip("tij", at, strict=True)} | {f"{n}c": v // s for n, v, s in zip("tij", at, step, strict=True)} | {"value": pdf["value"].to_numpy()})
+
+    def chunk(key, pdf):
+        full = np.full(step, np.nan)
+        pdf = pdf.sort_values("value")
+        full[tuple(pdf[n].to_numpy() - k * s for n, k, s in zip("tij", key, step, strict=True))] = pdf["value"].to_numpy()
+        write_whole(f"{path}/{name}/{'.'.join(str(int(k)) for k in key)}", blosc.pack(full.tobytes(), 8))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    kind = "t long, i long, j long, tc long, ic long, jc long, value double"
+    placed = obs.where("value is not null and y is not null and x is not null").mapInPandas(place, kind)
+    placed.groupBy("tc", "ic", "jc").applyInPandas(chunk, "n long").write.format("noop").mode("overwrite").save()
+    for k, v in meta.items():
+        write_whole(f"{path}/{k}", json.dumps(v).encode())
+    write_whole(f"{path}/.zmetadata", json.dumps({"zarr_consolidated_format": 1, "metadata": meta}).encode())
+
+
 def years(folder: str, names: list[str]) -> dict[int, str]:
     """The stores of a folder by year, from names like 2020_v2.zarr; a folder goes before a .zarr.zip of its year."""
     found: dict[int, str] = {}

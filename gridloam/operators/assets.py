@@ -5,6 +5,7 @@ An asset is (source, type, page, idx, caption, page_text, text, text_rows).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloam.functions.text import asset_number, asset_type, table_text, tokens
+from gridloam.functions.text import table_text, tokens
 
 MOST_IMAGES, MOST_TABLES, LEAST_SIDE = 20, 30, 150
 #: Words that say nothing about what a figure or table shows.
@@ -77,29 +78,56 @@ def keywords(query: Column) -> Column:
     return F.array_except(F.array_distinct(tokens(query)), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+#: How a question names a table, a figure or a page, before the next of them, and any of them at all.
+NAMED = (("table", r"table\s*(\d+)"), ("figure", r"fig(?:ure)?\.?\s*(\d+)"), ("page", r"(?:page|p\.?)\s*(\d+)"))
+ASSET_WORDS = ("fig", "table", "image", "page")
+#: How a question numbers an image file, and how such a file's name does.
+IMAGE_NUMBER = r"\b(?:fig(?:ure)?|table|image|img|chart)[\s_-]*(\d+)\b"
+IMAGE_NAME = r"(?:img|image|fig|table|p\d+_(?:img|table))_?0*"
+
+
 def relevant(assets: DataFrame, query: str, k: int = 3) -> DataFrame:
-    """The assets that a question means.
+    """The assets that a question means, with a score.
 
-    A numbered table or figure, or a page, is looked up; otherwise words common with the caption count three and
-    with the page's text one, and only assets that share some are returned.
+    A numbered table is looked up first, then a numbered figure, then a page: all with that number, of that type if there
+    are any. A question that speaks of a figure, table, image or page without finding one gets none. Any other gets the k
+    best by the words that it has in common with the caption and the source (three each) and the page's text (one each),
+    and none without such words; a question of stop words alone gets the first k.
     """
-    q = F.lit(query)
-    words = keywords(q)
-    common = lambda c: F.size(F.array_intersect(words, tokens(F.coalesce(F.col(c), F.lit("")))))
-    kind, number = asset_type(q), asset_number(q)
-    exact = ((kind == "page") & (F.col("page") == number)) | ((kind != "page") & (F.col("type") == kind) & (F.col("idx") == number))
-    score = F.when(kind.isNull(), 3 * common("caption") + common("page_text")).when(exact, 1000).otherwise(0)
-    return assets.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "source", "page", "idx").limit(k)
+    q = query.lower()
+    order = ["source", "page", "idx"]
+    kind, number = next(((kind, int(m[1])) for kind, p in NAMED if (m := re.search(p, q))), (None, None))
+    if kind == "page":
+        return assets.where(F.col("page") == number).withColumn("score", F.lit(1)).orderBy(*order)
+    if kind:
+        hits = assets.where(F.col("idx") == number).withColumn("score", F.when(F.col("type") == kind, 2).otherwise(1))
+        best = hits.agg(F.max("score").alias("best"))  # one row
+        return hits.join(F.broadcast(best)).where("score = best").drop("best").orderBy(*order)
+    if any(w in q for w in ASSET_WORDS):
+        return assets.withColumn("score", F.lit(0)).where("false")
+    words = [w for w in dict.fromkeys(re.findall("[a-z0-9]+", q)) if w not in STOP_WORDS]
+    if not words:
+        return assets.withColumn("score", F.lit(0)).orderBy(*order).limit(k)
+    asked = F.array(*[F.lit(w) for w in words])
+    common = lambda *c: F.size(F.array_intersect(asked, tokens(F.concat_ws(" ", *c))))
+    score = 3 * common("caption", "source") + common("page_text")
+    return assets.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), *order).limit(k)
 
 
 def ranked_images(images: DataFrame, query: str, k: int = 3) -> DataFrame:
-    """Image files (name) by a question: 10 for its number, 5 for its type, 2 for each common word."""
-    q = F.lit(query)
-    name = F.lower("name")
-    numbers = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1)), lambda d: d.cast("int"))
-    kind = asset_type(q)
-    score = F.when(F.array_contains(numbers, asset_number(q)), 10).otherwise(0) + F.when(name.contains(F.when(kind == "figure", "fig").otherwise(kind)), 5).otherwise(0) + 2 * F.size(F.array_intersect(keywords(q), tokens(name)))
-    return images.withColumn("score", F.coalesce(score, F.lit(0))).orderBy(F.desc("score"), "name").limit(k)
+    """Image files (name) by a question: 10 for its number after the name of its sort, 5 for the sort, 2 for each word.
+
+    Words are those of four characters or more, as often as the question has them, anywhere in the name; a question of
+    tables is for names with "table", any other for those with "img" or "fig".
+    """
+    q, name = query.lower(), F.lower("name")
+    number = re.search(IMAGE_NUMBER, q)
+    numbered = name.rlike(f"{IMAGE_NAME}{int(number[1])}\\b") if number else F.lit(False)
+    sort = name.contains("table") if re.search(r"\btables?\b", q) else name.contains("img") | name.contains("fig")
+    score = F.when(numbered, 10).otherwise(0) + F.when(sort, 5).otherwise(0)
+    for w in re.findall(r"\w{4,}", q):
+        score = score + F.when(name.contains(w), 2).otherwise(0)
+    return images.withColumn("score", score).orderBy(F.desc("score"), "name").limit(k)
 
 
 def collisions(assets: DataFrame) -> DataFrame:
@@ -132,8 +160,8 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html", most: int | None = MOST_TABLES) -> DataFrame:
-    """(key, idx, text_rows, text) of each HTML table with at least two rows; the first ones of a page, or all (None)."""
+def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html", most: int | None = None) -> DataFrame:
+    """(key, idx, text_rows, text) of each HTML table with at least two rows; the first ones of a page if `most` is given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

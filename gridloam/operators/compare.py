@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloam.operators.grid import NATIONAL, reduce, series
-from gridloam.operators.trend import numbered
+from gridloam.operators.trend import labelled, numbered, region_trend, trend_line, with_p_value
 
 
 def periods(spark: SparkSession, spans: list[tuple[str, str]]) -> DataFrame:
@@ -73,6 +73,22 @@ def compare_regions(obs: DataFrame, bridge: DataFrame, regions: list[str], metri
     return with_winner(every, metric, "region_idx")
 
 
+def trends_by_period(obs: DataFrame, bridge: DataFrame, regions: list[str], spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fits, lines) of each region and period, of one scan.
+
+    Fits have a row for each, with or without data: slope, intercept, r2, p, change over the period's calendar days, direction.
+    Lines have each day's mean and its fitted value.
+    """
+    by = ("region", "period_idx")
+    within = by_period(obs.join(places(bridge, regions), "cell_id"), spans)
+    every = asked_for(bridge, regions).join(F.broadcast(spans))  # a query's own few rows on both sides
+    got = with_p_value(region_trend(within, *by))
+    out = labelled(every.join(got, list(by), "left"), F.col("period_start"), F.col("period_end"))
+    none = F.col("slope").isNull()
+    out = out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("status", F.when(none, "no data").otherwise("ok"))
+    return out.withColumn("direction", F.when(~none, F.col("direction"))), trend_line(within, *by)
+
+
 def regions_by_period(obs: DataFrame, bridge: DataFrame, regions: list[str], spans: DataFrame, metric: str) -> DataFrame:
     """A row for each region and period, with or without data, of one scan.
 

@@ -1,7 +1,7 @@
 """Passages by TF-IDF: chunks, index, scores, sources, context.
 
-An `Index` is stored: chunks, postings (term frequencies, in partitions by a hash of the term), and how many chunks
-have each term. A query reads the partitions of its own terms alone. `search` does the same without an index, from
+An `Index` is stored: chunks, postings (term frequencies, in partitions by a hash of the term and shards by chunk), and how many
+chunks have each term. A query reads the partitions of its own terms alone. `search` does the same without an index, from
 the texts. A score is the sum over common terms of (qf/qn x idf) x (tf x idf), with
 idf = ln((N + 1) / (df + 1)) + 1; there is no length normalisation.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from gridloam.functions.text import source_key, table_like, tokens, words
 
 CHUNK_WORDS, OVERLAP, LEAST_CHARS = 400, 80, 30
 CONTEXT_CHARS = 3000
-#: Partitions of an index's postings.
-BUCKETS = 64
+#: Buckets of an index's postings by their term, postings in a shard of its chunks.
+BUCKETS, SHARD_POSTINGS = 64, 500_000
+#: Terms of a search's queries that come to the driver at most, and scores that a shard holds at a time.
+MOST_ASKED, CELLS = 200_000, 4 << 20
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> DataFrame:
@@ -73,9 +77,20 @@ def _best(score: DataFrame, k: int, *key: str) -> DataFrame:
 
 
 class Index:
-    """A stored index of documents' chunks. What is added is a batch; a batch counts once its totals are written."""
+    """A stored index of documents' chunks. What is added is a batch; a batch counts once its totals are written.
+
+    Postings (a term's share of a chunk) lie in partitions by a hash of their term, and are dealt by chunk to shards, of which
+    a batch has as many as its size asks for; so a frequent term lies in as many files as there are shards. `terms` has each
+    term's number of chunks. Ids are whole numbers.
+    """
 
     KEY = ("doc_id", "chunk_no")
+    KINDS = {
+        "chunks": "doc_id long, chunk_no int, source string, text string, batch string",
+        "postings": "term string, source string, doc_id long, chunk_no int, tf double, shard int, batch string, bucket int",
+        "terms": "term string, df long, bucket int, batch string",
+        "totals": "n_chunks long, batch string",
+    }
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -84,37 +99,53 @@ class Index:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def add(self, docs: DataFrame) -> Index:
-        """Adds the documents (doc_id, source, text) of sources that aren't in the index yet."""
+        """Adds the documents (doc_id, source, text) of sources that aren't in the index yet; none of them is fine."""
         if self.exists():
             docs = docs.join(self.chunks().select("source").distinct(), "source", "left_anti")
-        batch = F.lit(uuid.uuid4().hex).alias("batch")
+        name = uuid.uuid4().hex
+        batch = F.lit(name).alias("batch")
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
         chunks(docs).select(*self.KEY, "source", "text", batch).write.mode("append").partitionBy("batch").parquet(f"{self.path}/chunks")
-        name = self.spark.range(1).select(batch).first()["batch"]
-        pieces = self.spark.read.parquet(f"{self.path}/chunks").where(F.col("batch") == name)
-        tf = term_frequencies(pieces, "source", *self.KEY).select("term", "source", *self.KEY, "tf", batch, self._bucket())
-        tf.repartition("bucket").sortWithinPartitions("term").write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
-        mine = self.spark.read.parquet(f"{self.path}/postings").where(F.col("batch") == name)
-        mine.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", batch, self._bucket()).write.mode("append").partitionBy("batch").parquet(f"{self.path}/terms")
+        pieces = self._stored("chunks").where(F.col("batch") == name)
+        # a shard has the postings of about as many words
+        n_words = pieces.agg(F.sum(F.length("text") / 6)).first()[0] or 0
+        shards = max(1, int(-(-n_words // SHARD_POSTINGS)))
+        shard = F.pmod(F.xxhash64(*self.KEY), F.lit(shards)).cast("int").alias("shard")
+        tf = term_frequencies(pieces, "source", *self.KEY).select("term", "source", *self.KEY, "tf", shard, batch, self._bucket())
+        # a range of buckets and shards to each task, in their order: a file for each bucket that it has, and no key of them all
+        parts = max(shards, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        tf.repartitionByRange(parts, "bucket", "shard", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
+        mine = self._stored("postings").where(F.col("batch") == name)
+        mine.groupBy("term", "bucket").agg(F.count("*").alias("df")).select("term", "df", "bucket", batch).write.mode("append").partitionBy("batch").parquet(f"{self.path}/terms")
         pieces.agg(F.count("*").alias("n_chunks")).select("n_chunks", batch).coalesce(1).write.mode("append").parquet(f"{self.path}/totals")
         return self
 
-    def exists(self) -> bool:
+    def has(self, name: str) -> bool:
+        """Whether a table was written."""
         jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/totals/_SUCCESS")
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
+    def exists(self) -> bool:
+        return self.has("totals")
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.KINDS[name]).parquet(f"{self.path}/{name}")
+
     def totals(self) -> DataFrame:
         """(n_chunks, batch), a row for each batch."""
-        return self.spark.read.schema("n_chunks long, batch string").parquet(f"{self.path}/totals")
+        return self._stored("totals") if self.exists() else self.spark.createDataFrame([], self.KINDS["totals"])
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").join(F.broadcast(self.totals().select("batch")), "batch", "left_semi")
+        if not self.exists():
+            return self.spark.createDataFrame([], self.KINDS[name])
+        return self._stored(name).join(F.broadcast(self.totals().select("batch")), "batch", "left_semi")
 
     def chunks(self) -> DataFrame:
         return self._table("chunks").select(*self.KEY, "source", "text")
 
     def postings(self) -> DataFrame:
-        return self._table("postings").select("term", "bucket", "source", *self.KEY, "tf")
+        return self._table("postings").select("term", "bucket", "source", *self.KEY, "tf", "batch", "shard")
 
     def idf(self) -> DataFrame:
         """(term, bucket, df, idf) over all batches."""
@@ -123,11 +154,50 @@ class Index:
         return df.join(F.broadcast(n)).select("term", "bucket", "df", (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
     def search(self, queries: DataFrame, k: int, source: str | None = None) -> DataFrame:
-        """(query_id, rank, source, key, score): the k best chunks, as `search` gives them."""
+        """(query_id, rank, source, key, score): the k best chunks, as `search` gives them.
+
+        The postings of the queries' terms go to their shards once, however many queries have a term; a shard scores its own
+        chunks for all queries and gives k of each on. Queries of over `MOST_ASKED` terms together are joined term by term.
+        """
         asked = term_frequencies(queries, "query_id").withColumnRenamed("tf", "qf").select("*", self._bucket())
         asked = asked.join(self.idf(), ["bucket", "term"]).select("query_id", "bucket", "term", (F.col("qf") * F.col("idf") * F.col("idf")).alias("w"))
         tf = self.postings() if source is None else self.postings().where(F.col("source") == source)
-        score = tf.join(asked, ["bucket", "term"]).groupBy("query_id", "source", *self.KEY).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
+        few = asked.limit(MOST_ASKED + 1).toPandas()
+        if len(few) > MOST_ASKED:
+            score = tf.join(asked, ["bucket", "term"]).groupBy("query_id", "source", *self.KEY).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
+            return _best(score, k, *self.KEY)
+        codes, names = pd.factorize(few["term"], sort=True)
+        who, ids = pd.factorize(few["query_id"], sort=True)
+        order = np.argsort(codes, kind="stable")
+        of, weight, start = who[order], few["w"].to_numpy()[order], np.searchsorted(codes[order], np.arange(len(names) + 1))
+        buckets = few.drop_duplicates("term").set_index("term")["bucket"]
+        asked_terms = self.spark.createDataFrame([(t, int(buckets[t]), i) for i, t in enumerate(names)], "term string, bucket int, code int")
+        wanted = tf.join(F.broadcast(asked_terms), ["bucket", "term"]).select("batch", "shard", "source", *self.KEY, "code", "tf")
+        kind = f"query {queries.schema['query_id'].dataType.simpleString()}, source string, doc_id long, chunk_no int, score double"
+
+        def best(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["doc_id", "chunk_no"], kind="stable")
+            key = pdf[["doc_id", "chunk_no"]].to_numpy(np.int64)
+            new = np.concatenate(([True], (key[1:] != key[:-1]).any(1)))
+            chunk, code, share = np.cumsum(new) - 1, pdf["code"].to_numpy(), pdf["tf"].to_numpy()
+            rows, out = pdf[new], []
+            step = max(1, CELLS // len(rows))
+            n = start[code + 1] - start[code]
+            at = np.repeat(start[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            row, query, add = np.repeat(chunk, n), of[at], np.repeat(share, n) * weight[at]
+            for a in range(0, len(ids), step):
+                wide = min(step, len(ids) - a)
+                mine = (query >= a) & (query < a + wide)
+                # chunks in order, so that the stable sort gives equal scores to the first of them
+                s = np.bincount(row[mine] * wide + query[mine] - a, add[mine], len(rows) * wide).reshape(len(rows), wide)
+                first = np.argsort(-np.round(s, 9), axis=0, kind="stable")[:k]
+                took = np.take_along_axis(s, first, 0)
+                i, j = np.nonzero(took > 0)
+                out.append(pd.DataFrame({"query": ids[a + j], "at": first[i, j], "score": took[i, j]}))
+            got = pd.concat(out)
+            return pd.DataFrame({"query": got["query"].to_numpy(), **{c: rows[c].to_numpy()[got["at"].to_numpy()] for c in ("source", "doc_id", "chunk_no")}, "score": got["score"].to_numpy()})
+
+        score = wanted.groupBy("batch", "shard").applyInPandas(best, kind).withColumnRenamed("query", "query_id")
         return _best(score, k, *self.KEY)
 
 

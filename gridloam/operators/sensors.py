@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloam.functions.stats import p_value_udf
 from gridloam.operators.grid import between, in_box
 from gridloam.operators.regrid import nearest
 from gridloam.plans.vocabulary import BANDS, BOXES
@@ -77,8 +78,8 @@ def bias_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     return paired(a, b).select("x", "y", (F.col("a") - F.col("b")).alias("value"))
 
 
-def agreement(pairs: DataFrame, *by: str, least: int = 3) -> DataFrame:
-    """How well b follows a, over rows that have both: n, bias, rmse, unbiased rmse, mae, largest error, r and r2.
+def agreement(pairs: DataFrame, *by: str, least: int = 3, with_p: bool = False) -> DataFrame:
+    """How well b follows a, over rows that have both: n, bias, rmse, unbiased rmse, mae, largest error, r and r2, and p if asked.
 
     Under `least` rows all but n are NULL, as is r where either side is constant.
     """
@@ -97,7 +98,7 @@ def agreement(pairs: DataFrame, *by: str, least: int = 3) -> DataFrame:
     )
     enough = F.col("n") >= least
     places = {"r": 4}
-    return out.withColumn("r2", F.col("r") * F.col("r")).select(*by, "n", *[F.when(enough, F.round(c, places.get(c, 6))).alias(c) for c in ("bias", "rmse", "ubrmse", "mae", "max_abs", "r", "mean_a", "mean_b")], F.when(enough, F.round("r2", 4)).alias("r2"))
+    return out.withColumn("r2", F.col("r") * F.col("r")).select(*by, "n", *[F.when(enough, F.round(c, places.get(c, 6))).alias(c) for c in ("bias", "rmse", "ubrmse", "mae", "max_abs", "r", "mean_a", "mean_b")], F.when(enough, F.round("r2", 4)).alias("r2"), *([F.when(enough & F.col("r").isNotNull(), F.round(p_value_udf()("r", "n"), 6)).alias("p_value")] if with_p else []))
 
 
 def percentile(grid: DataFrame, q: float, of: Column | None = None, accuracy: int | None = None) -> DataFrame:

@@ -42,9 +42,10 @@ def with_p_value(trends: DataFrame) -> DataFrame:
     return trends.withColumn("p_value", p_value_udf()(F.when(F.col("slope") < 0, -F.sqrt("r2")).otherwise(F.sqrt("r2")), "n"))
 
 
-def labelled(trends: DataFrame, start: str, end: str) -> DataFrame:
-    """Adds the change over the calendar days from start to end, and the direction."""
-    days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
+def labelled(trends: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
+    """Adds the change over the calendar days from start to end (days, or columns of them), and the direction."""
+    first, last = (F.lit(d).cast("date") if isinstance(d, str) else d for d in (start, end))
+    days = F.datediff(last, first) + 1
     return trends.withColumn("total_change", F.col("slope") * days).withColumn("direction", F.when(F.col("slope") > 0, "increasing").otherwise("decreasing"))
 
 
@@ -52,7 +53,8 @@ def trend_line(obs: DataFrame, *by: str) -> DataFrame:
     """Each day's mean and the fitted value."""
     days = numbered(series(obs, *by), *by)
     fits = days.groupBy(*by).agg(*fit()).select(*by, "slope", "intercept")
-    line = days.join(F.broadcast(fits), list(by)) if by else days.join(F.broadcast(fits))  # a row for each series
+    # one row without groups; with them both sides are already dealt by the groups
+    line = days.join(fits, list(by)) if by else days.join(F.broadcast(fits))
     return line.select(*by, "obs_date", "idx", "value", (F.col("intercept") + F.col("slope") * F.col("idx")).alias("fitted"))
 
 
@@ -61,6 +63,7 @@ def cell_trend(obs: DataFrame, *by: str, min_n: int = 3) -> DataFrame:
     days = obs.select(*by, "obs_date").distinct()
     w = Window.partitionBy(*by).orderBy("obs_date") if by else Window.partitionBy(F.lit(0)).orderBy("obs_date")
     days = days.withColumn("idx", F.row_number().over(w) - 1)
-    at = obs.join(F.broadcast(days), [*by, "obs_date"])  # a row for each day, some thousands in decades
+    # a row for each day, some thousands in decades; with groups the planner knows better
+    at = obs.join(days, [*by, "obs_date"]) if by else obs.join(F.broadcast(days), "obs_date")
     n = F.count("value")
     return at.groupBy(*by, "cell_id", "x", "y").agg(F.when(n >= min_n, F.regr_slope(F.col("value"), F.col("idx"))).alias("value"), n.alias("n"))

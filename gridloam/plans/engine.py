@@ -77,6 +77,12 @@ class Engine:
         if plan.operation == "comparison" or len(names) > 1 or len(plan.spans) > 1:
             metric = plan.metric if plan.operation == "comparison" else AS_METRIC.get(plan.operation, plan.operation)
             sliced = grid.between(self.observations, *hull)
+            if plan.operation == "slope":
+                fits, lines = compare.trends_by_period(sliced, self.bridge, names, spans)
+                if strict:
+                    fits = compare.complete(fits)
+                within = compare.by_period(sliced.join(compare.places(self.bridge, names), "cell_id"), spans)
+                return Result(plan, fits, trend.cell_trend(within, "region", "period_idx") if plan.output != "scalar" else None, lines)
             scalars = compare.regions_by_period(sliced, self.bridge, names, spans, metric)
             if strict:
                 scalars = compare.complete(scalars)

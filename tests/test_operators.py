@@ -186,11 +186,19 @@ def test_assets(spark):
     df = spark.createDataFrame(rows, "source string, type string, page int, idx int, caption string, page_text string").withColumn("text", F.lit("x | y"))
     names = lambda q: [(r["type"], r["idx"], r["source"]) for r in assets.relevant(df, q).collect()]
     assert names("explain figure 2") == [("figure", 2, "a.pdf")] and names("the retrieval errors") == [("table", 1, "a.pdf")] and names("moisture") == [("figure", 2, "a.pdf")] and names("zebra") == []
+    # all of a number, of another type if need be; an asset that is named but not found gives none; the source counts as its caption does
+    assert names("table 1") == [("table", 1, "a.pdf"), ("table", 1, "b.pdf")] and names("table 2") == [("figure", 2, "a.pdf")] and names("figure 9") == []
+    assert names("on page 2") == [("table", 1, "a.pdf"), ("table", 1, "b.pdf")] and names("p. 3") == [("figure", 2, "a.pdf")]
+    assert names("describe the figure about soil") == [] and names("the image of moisture") == []
+    assert {n[2] for n in names("what does b.pdf explain")} == {"a.pdf", "b.pdf"} and names("what of b")[0] == ("table", 1, "b.pdf")
+    assert len(names("what is it")) == 3 and names("what is it")[0] == ("figure", 1, "a.pdf")
     assert [r["sources"] for r in assets.collisions(df).collect()] == [2] and assets.by_number(df, "table", 1).count() == 1 and assets.capped(df).count() == 4
     assert assets.counts(df, spark.createDataFrame([("c.pdf",), ("a.pdf",)], "source string")).orderBy("source").collect()[1][1:] == (0, 0)
     assert assets.new_only(df, df.limit(1)).count() == 1 and retrieval.with_tables(df.select("source", "text"), df).count() == 6
-    images = spark.createDataFrame([("fig_2_soil.png",), ("table3.png",), ("x.png",)], "name string")
-    assert assets.ranked_images(images, "show figure 2").first()["name"] == "fig_2_soil.png"
+    images = spark.createDataFrame([("doc_p3_img2.png",), ("fig_2-soil.png",), ("table03.png",), ("x_2.png",), ("soilmap_12.png",)], "name string")
+    score = lambda q: {r["name"]: r["score"] for r in assets.ranked_images(images, q, 9).collect()}
+    assert score("show figure 2") == {"doc_p3_img2.png": 15, "fig_2-soil.png": 15, "table03.png": 0, "x_2.png": 0, "soilmap_12.png": 0}
+    assert score("table 3 of soil soil") == {"table03.png": 17, "fig_2-soil.png": 4, "soilmap_12.png": 4, "doc_p3_img2.png": 0, "x_2.png": 0}
     pages = spark.createDataFrame([(1, "<table><tr><th>a</th><td>b <b>c</b></td></tr><tr><td>1</td></tr></table><table><tr><td>x</td></tr></table>"), (2, None)], "page_id long, html string")
     assert [tuple(r) for r in assets.html_tables(pages).select("page_id", "idx", "text").collect()] == [(1, 1, "a | b c\n1")]
 
@@ -287,7 +295,7 @@ def test_geojson_and_images(spark, tmp_path):
     for n in ("a.PNG", "b.jpeg", "c.txt"):
         (tmp_path / "pics" / n).write_bytes(b"x")
     assert sorted(r["name"] for r in files.image_files(spark, str(tmp_path / "pics")).collect()) == ["a.PNG", "b.jpeg"]
-    assert files.plot_name("mean", "tamil nadu", 2).startswith("tamil_nadu_mean_") and files.plot_name("mean") != files.plot_name("mean")
+    assert files.unique_name("png", "mean", "tamil nadu", None, 2).startswith("mean-tamil-nadu-2-") and files.unique_name("png") != files.unique_name("png")
 
 
 def test_literature_answers(spark, tmp_path):
@@ -306,6 +314,94 @@ def test_literature_answers(spark, tmp_path):
     assert literature.command("load literature 'a/b.pdf'") == ("load", "a/b.pdf") and literature.command("Clear literature") == ("clear", "") and literature.command("tables of rain") is None
 
 
+def test_commands(spark, tmp_path):
+    from gridloam.operators.literature import Library
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "soil_study.txt").write_text("soil moisture rises with rain " * 20)
+    (tmp_path / "in" / "radar-notes.md").write_text("radar echoes of bare fields " * 20)
+    (tmp_path / "one.txt").write_text("")
+    lib = Library(spark, f"file://{tmp_path}/lib")
+    assert lib.run("what is soil") is None and lib.run("list literature")[1].count() == 0 and lib.run("tables")[1].count() == 0
+    with pytest.raises(ValueError, match="path"):
+        lib.run("load literature")
+    lib.run(f"load literature {tmp_path}/one.txt")
+    name, rows = lib.run(f"load literature '{tmp_path}/in'")
+    assert name == "load" and {(r["source"], r["chunks"], r["tables"]) for r in rows.collect()} == {("soil_study.txt", 1, 0), ("radar-notes.md", 1, 0)}
+    lib.run(f"load literature {tmp_path}/in")  # what is there already isn't loaded again
+    assert lib.index.chunks().count() == 2
+    lib.register(spark.createDataFrame([("soil_study.txt", "table", 1, 1, "Rain"), ("radar-notes.md", "figure", 2, 1, "Echoes"), ("soil_study.txt", "figure", 4, 2, None)], "source string, type string, page int, idx int, caption string"))
+    lib.register(spark.createDataFrame([("soil_study.txt", "table", 9, 9, "again")], "source string, type string, page int, idx int, caption string"))
+    assert [r["line"] for r in lib.run("list tables")[1].collect()] == ["Table 1 | p.1 | soil_study.txt: Rain"]
+    assert lib.run("list images")[1].count() == 2 and [r["source"] for r in lib.run("vision images radar notes")[1].collect()] == ["radar-notes.md"]
+    assert lib.run("clear literature")[1].count() == 0 and lib.index.chunks().count() == 0
+
+
+def test_question_kinds(spark):
+    from gridloam.operators import literature
+
+    rows = [("Explain the result of the test", True), ("see fig. 3", True), ("visualise it", True), ("soil of kerala", False), ("a configuration", False), ("what trend is there", True), (None, None)]
+    got = spark.createDataFrame([(q,) for q, _ in rows], "q string").select("q", literature.visual(F.col("q")).alias("v")).collect()
+    assert [(r["q"], r["v"]) for r in got] == rows
+
+
+def test_index_of_nothing(spark, tmp_path):
+    """An empty first batch, batches of other sources, and frequent terms in several shards."""
+    kind = "doc_id int, source string, text string"
+    index = retrieval.Index(spark, str(tmp_path / "i"), 4)
+    asked = spark.createDataFrame([(0, "soil water"), (1, "nothing"), (2, "")], "query_id int, text string")
+    assert index.search(asked, 3).count() == 0 and index.idf().count() == 0
+    index.add(spark.createDataFrame([], kind))
+    assert index.search(asked, 3).count() == 0 and index.chunks().count() == 0
+    index.add(spark.createDataFrame([(1, "a", "soil water " * 50), (2, "a", "soil " * 60)], kind))
+    assert [(r["doc_id"], r["rank"]) for r in index.search(asked, 3).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_index_of_many_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARD_POSTINGS", 60)
+    monkeypatch.setattr(retrieval, "CELLS", 16)
+    import random
+
+    rng = random.Random(2)
+    words_ = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, f"s{i % 3}", " ".join(rng.choices(words_, range(1, 41), k=rng.choice([20, 500])))) for i in range(60)] + [(60 + i, "s4", "w1 w2 " * 30) for i in range(5)], "doc_id long, source string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words_, k=rng.randint(1, 12)))) for i in range(9)], "query_id int, text string")
+    index = retrieval.Index(spark, str(tmp_path / "i"), 4).add(docs.where("source <> 's1'")).add(docs)
+    assert index.postings().select("shard").distinct().count() > 5
+    for source in (None, "s2"):
+        want = retrieval.search(retrieval.chunks(docs), asked, 4, "doc_id", "chunk_no", source=source).collect()
+        assert sorted(map(tuple, index.search(asked, 4, source).collect())) == sorted(map(tuple, want))
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 3)
+    want = retrieval.search(retrieval.chunks(docs), asked, 4, "doc_id", "chunk_no").collect()
+    assert sorted(map(tuple, index.search(asked, 4).collect())) == sorted(map(tuple, want))
+
+
+def test_trends_of_regions_and_spans(spark):
+    """Each region's and span's fit is that of a plan with this region and span alone."""
+    from gridloam.plans.engine import Engine
+    from gridloam.plans.query import Plan
+
+    rows = [(date(2020, 1, 1) + timedelta(days=d), c, float(c), 0.0, (d * 7 % 11) / 3 + c * d / 50) for d in range(120) for c in range(4) if (d + c) % 5 and not (c == 3 and d > 40)]
+    obs = spark.createDataFrame(rows, "obs_date date, cell_id long, x double, y double, value double")
+    bridge = spark.createDataFrame([(0, "goa"), (1, "goa"), (2, "kerala"), (3, "punjab")], "cell_id long, region string")
+    engine = Engine(spark, obs, bridge)
+    spans = (("2020-01-05", "2020-02-20"), ("2020-03-01", "2020-04-15"))
+    got = engine.execute(Plan("slope", ("goa", "kerala", "punjab"), spans))
+    fits = {(r["region"], r["period_idx"]): r for r in got.scalars.collect()}
+    assert len(fits) == 6 and fits["punjab", 1]["status"] == "no data" and fits["punjab", 1]["slope"] is None and fits["punjab", 1]["n"] == 0
+    lines = got.days.groupBy("region", "period_idx").count().collect()
+    assert {(r["region"], r["period_idx"]): r["count"] for r in lines} == {k: r["n"] for k, r in fits.items() if r["n"]}
+    for (region, i), r in fits.items():
+        if r["n"]:
+            one = engine.execute(Plan("slope", (region,), (spans[i],))).scalars.first()
+            for c in ("n", "first_day", "last_day", "direction"):
+                assert r[c] == one[c]
+            for c in ("slope", "intercept", "r2", "p_value", "total_change"):
+                assert r[c] == pytest.approx(one[c], abs=1e-12)
+    assert got.cells.where("region = 'goa' and period_idx = 0").count() == 2
+    assert engine.execute(Plan("slope", ("goa", "punjab"), spans), strict=True).scalars.count() == 0
+
+
 def test_splitting_and_refining():
     from gridloam.plans import intent
     from gridloam.plans.query import embedded_json, follow_up, parse, refined
@@ -315,6 +411,9 @@ def test_splitting_and_refining():
     assert intent.split_both(q, lambda _: ("what does the algorithm in the paper do", "mean moisture in kerala in 2020")) == ("mean moisture in kerala in 2020", "what does the algorithm in the paper do")
     assert intent.split_both(q, lambda _: ("", "what does the algorithm in the paper do"))[0] == "mean moisture in kerala in 2020"
     assert intent.split_both(q, lambda _: ("mean moisture in kerala in 2020", ""))[1] == "what does the algorithm in the paper do"
+    assert intent.split_both(q, lambda _: ("", "x")) == (q, q) and intent.split_both("soil of goa", lambda _: ("soil of goa", "")) == ("soil of goa", "soil of goa")
+    three = "the mean of goa, the trend of kerala; and what the paper says of retrieval"
+    assert intent.split_both(three, lambda _: (None, "what the paper says of retrieval"))[0] == "the mean of goa, the trend of kerala"
     assert intent.fast("himachal pradesh mean 2020") == "dataset" and intent.fast("hi there") == "chat" and "data: mean" in intent.explain("mean of goa")
     plan = parse("mean of kerala")
     assert plan.problem == "which dates?" and "Kerala" in follow_up(plan) and plan.patch("june 2020").problem is None

@@ -124,6 +124,29 @@ def test_regrid(spark):
     assert near[(0.5, 0.25)] == 10.0 and near[(1.5, 1.5)] is None and near[(2.5, 0.0)] is None
 
 
+def test_regrid_on_uneven_axes(spark):
+    """By hand, at every pair of an axis: inside, on a value, on the last one, outside, and beside a missing corner."""
+    xs, ys = [0.0, 1.0, 4.0, 10.0], [-2.0, 0.0, 0.5]
+    f = lambda x, y: 3 * x - 2 * y + x * y
+    rows = [(x, y, f(x, y)) for x in xs for y in ys if (x, y) != (10.0, 0.5)]
+    source = spark.createDataFrame(rows, "x double, y double, value double")
+    asked = [(x, y) for x in (-0.1, 0.0, 0.25, 1.0, 2.5, 7.0, 10.0, 10.5) for y in (-3.0, -2.0, -1.0, 0.0, 0.3, 0.5, 1.0)]
+    target = spark.createDataFrame(asked, "x double, y double")
+    got = {(r["x"], r["y"]): r["value"] for r in regrid.linear_between(source, target).collect()}
+    for x, y in asked:
+        inside = 0 <= x <= 10 and -2 <= y <= 0.5 and not (x > 4 and y > 0)
+        assert got[x, y] == (pytest.approx(f(x, y)) if inside else None), (x, y)
+    got = {(r["x"], r["y"]): r["value"] for r in regrid.nearest_between(source, target).collect()}
+    near = lambda v, axis: None if not axis[0] <= v <= axis[-1] else max(a for a in axis if abs(a - v) == min(abs(b - v) for b in axis))
+    cells = {(x, y): v for x, y, v in rows}
+    assert all(got[x, y] == cells.get((near(x, xs), near(y, ys))) for x, y in asked) and got[2.5, -1.0] == cells[4.0, 0.0]
+    edge = {(r["x"], r["y"]): r["value"] for r in regrid.nearest_between(source, target, outside=True).collect()}
+    assert edge[-0.1, -3.0] == cells[0.0, -2.0] and edge[10.5, 0.3] is None
+    even = spark.createDataFrame([(float(x), float(y), x * 5.0 + y) for x in range(4) for y in range(3)], "x double, y double, value double")
+    same = lambda d: sorted(map(str, map(tuple, d.withColumn("value", F.round("value", 9)).collect())))
+    assert same(regrid.linear_between(even, target)) == same(regrid.linear(even, target))
+
+
 def test_agreement(spark):
     pairs = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 3.5), (None, 1.0)], "a double, b double")
     got = sensors.agreement(pairs).first()

@@ -120,7 +120,7 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     """Cut lineage: the rows as a table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     where = fresh_dir(spark, kind)
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
 

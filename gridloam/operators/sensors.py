@@ -53,7 +53,8 @@ def valid(v: Column) -> Column:
 
 def band_series(obs: DataFrame, *bands: str, places: int | None = 6) -> DataFrame:
     """Each day's mean of each band, to six places, in order; one band or several."""
-    mean = lambda b: F.avg(b) if places is None else F.round(F.avg(b), places)
+    # from twelve places, so that the last bits of a sum don't decide
+    mean = lambda b: F.avg(b) if places is None else F.round(F.avg(b).cast("decimal(38,12)"), places).cast("double")
     return obs.groupBy("obs_date").agg(*[mean(b).alias(b) for b in bands]).where(F.coalesce(*[F.col(b) for b in bands]).isNotNull()).orderBy("obs_date")
 
 

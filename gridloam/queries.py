@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from gridloam.functions import answers
 from gridloam.functions import text as T
 from gridloam.operators import assets, calendar, compare, evaluation, gaps, grid, literature, regions, regrid, retrieval, sensors, trend
-from gridloam.plans import golden, intent
+from gridloam.plans import batch
+from gridloam.plans import vocabulary as V
 from gridloam.plans.engine import Engine
-from gridloam.plans.query import Plan, month_bounds, normalised
-from gridloam.sources import files, tables
+from gridloam.plans.query import Plan
+from gridloam.sources import files, geotiff, shapefile, tables, zarr
 
 REGION, START, END = "nation_3", "1996-06-01", "1996-06-30"
 YEAR = ("1996-01-01", "1996-12-31")
@@ -152,11 +153,10 @@ for _metric in grid.METRICS:
         return compare.compare_periods(obs, compare.periods(spark, SPANS), metric).withColumn("value", F.round("value", 8))
 
 
-@query("compare_regions", f"WITH {OBS}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE region IN ('nation_3', 'nation_7') AND obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' GROUP BY region), i AS (SELECT *, CAST(CASE region WHEN 'nation_3' THEN 0 ELSE 1 END AS INTEGER) AS region_idx FROM got) SELECT region, round(value, 6) AS value, n, region_idx, row_number() OVER (ORDER BY value DESC NULLS LAST, region_idx) = 1 AS winner FROM i")
+@query("compare_regions", f"WITH {OBS}, got AS (SELECT region, avg(value) AS value, count(value) AS n FROM obs JOIN bridge USING (cell_id) WHERE region IN ('nation_3', 'nation_7') AND obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}' GROUP BY region), i AS (SELECT region, region_idx, value, coalesce(n, 0) AS n FROM (VALUES (CAST(0 AS INTEGER), 'nation_3'), (CAST(1 AS INTEGER), 'nation_7')) t(region_idx, region) LEFT JOIN got USING (region)) SELECT region, round(value, 6) AS value, n, region_idx, value IS NOT NULL AND row_number() OVER (ORDER BY value DESC NULLS LAST, region_idx) = 1 AS winner FROM i")
 def compare_regions(spark, sf):
-    """Those of the two regions that have data; `compare_regions_missing` shows the others too."""
     obs = grid.between(tables.observations(spark, sf), *YEAR)
-    return compare.compare_regions(obs, tables.cell_region(spark, sf), TWO, "mean").where("n > 0").withColumn("value", F.round("value", 6))
+    return compare.compare_regions(obs, tables.cell_region(spark, sf), TWO, "mean").withColumn("value", F.round("value", 6))
 
 
 @query("multi_range_mean", f"WITH {OBS}, {_PERIODS}, {_PHITS} SELECT period_idx, round(avg(value), 6) AS value, count(value) AS n FROM hits GROUP BY period_idx")
@@ -236,16 +236,18 @@ def missing_report(spark, sf):
     return gaps.report(spark, regional(spark, sf, REGION, *YEAR), *YEAR)
 
 
-@query("sensor_series", f"WITH {SENSOR} SELECT obs_date, round(avg(am) + 1e-9, 6) AS am FROM sensor WHERE x BETWEEN 2 AND 7 AND y BETWEEN 1 AND 9 GROUP BY obs_date HAVING count(am) > 0")
+#: To six places, from twelve: the last bits of a sum don't decide.
+_SIX = "CAST(round(CAST(avg({b}) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS {b}"
+
+
+@query("sensor_series", f"WITH {SENSOR} SELECT obs_date, {_SIX.format(b='am')} FROM sensor WHERE x BETWEEN 2 AND 7 AND y BETWEEN 1 AND 9 GROUP BY obs_date HAVING count(am) > 0")
 def sensor_series(spark, sf):
-    days = sensors.band_series(grid.in_box(tables.sensor(spark, sf), 2, 1, 7, 9), "am", places=None)
-    return days.withColumn("am", F.round(F.col("am") + 1e-9, 6))  # the offset keeps ties alike in both engines
+    return sensors.band_series(grid.in_box(tables.sensor(spark, sf), 2, 1, 7, 9), "am")
 
 
-@query("sensor_multiband", f"WITH {SENSOR} SELECT obs_date, round(avg(am) + 1e-9, 6) AS am, round(avg(pm) + 1e-9, 6) AS pm FROM sensor GROUP BY obs_date HAVING count(am) > 0 OR count(pm) > 0")
+@query("sensor_multiband", f"WITH {SENSOR} SELECT obs_date, {_SIX.format(b='am')}, {_SIX.format(b='pm')} FROM sensor GROUP BY obs_date HAVING count(am) > 0 OR count(pm) > 0")
 def sensor_multiband(spark, sf):
-    days = sensors.band_series(tables.sensor(spark, sf), "am", "pm", places=None)
-    return days.select("obs_date", *[F.round(F.col(b) + 1e-9, 6).alias(b) for b in ("am", "pm")])
+    return sensors.band_series(tables.sensor(spark, sf), "am", "pm")
 
 
 _GRID = "g_{b} AS (SELECT x, y, CASE WHEN avg({b}) > 0 AND avg({b}) <= 1000 THEN avg({b}) END AS value FROM sensor WHERE obs_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY x, y)"
@@ -313,12 +315,12 @@ def tfidf_idf(spark, sf):
     return index_of(spark, sf).idf().select("term", "df", F.round("idf", 8).alias("idf"))
 
 
-_indexes: dict[tuple[str, str], retrieval.Index] = {}
+_indexes: dict[tuple, retrieval.Index] = {}
 
 
 def index_of(spark, sf) -> retrieval.Index:
-    """The stored index of a folder's documents, built when it is first asked for in a session."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The stored index of a folder's documents, built when it is first asked for in a session, or when they have changed."""
+    key = (spark.sparkContext.applicationId, sf, tables.stamp(spark, sf, "documents"))
     if key not in _indexes:
         _indexes[key] = retrieval.Index(spark, f"{tables.scratch(spark)}/index-{uuid.uuid4().hex}").add(tables.documents(spark, sf))
     return _indexes[key]
@@ -372,44 +374,16 @@ def table_like_count(spark, sf):
     return retrieval.table_counts(retrieval.chunks(tables.documents(spark, sf)))
 
 
-@query("source_type_counts", "SELECT source, count(*) FILTER (lang = 'fr') AS figures, count(*) FILTER (lang = 'de') AS tables FROM documents GROUP BY source")
-def source_type_counts(spark, sf):
-    docs = tables.table(spark, sf, "documents")
-    made = docs.select("source", F.when(F.col("lang") == "fr", "figure").when(F.col("lang") == "de", "table").alias("type")).where("type is not null")
-    return assets.counts(made, docs)
-
-
 @query("asset_keywords", "SELECT item_id AS query_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in assets.STOP_WORDS) + "], w)))), ' ') AS words FROM benchmark")
 def asset_keywords(spark, sf):
     return tables.questions(spark, sf).select("query_id", F.array_join(F.array_sort(assets.keywords(F.col("text"))), " ").alias("words"))
 
 
-@query("text_functions", "SELECT doc_id, trim(regexp_replace(translate(left(coalesce(text, ''), 200), '\"''`', ''), '^ +| +$', '', 'g')) AS clean, len(list_filter(list_transform(string_split(coalesce(text, ''), '?'), lambda p: trim(p)), lambda p: length(p) >= 5)) AS parts FROM documents")
-def text_functions(spark, sf):
-    return tables.documents(spark, sf).select("doc_id", T.sanitised(F.left("text", F.lit(200))).alias("clean"), F.size(T.questions_of(F.col("text"))).cast("long").alias("parts"))
-
-
-@query("text_sanitised", "SELECT doc_id, md5(clean) AS digest, length(clean) AS n_chars FROM (SELECT doc_id, trim(translate(coalesce(text, ''), '\"''`', '')) AS clean FROM documents)")
+@query("text_sanitised", "SELECT doc_id, md5(clean) AS digest, length(clean) AS n_chars, len(list_filter(list_transform(string_split(text, '?'), lambda p: trim(p)), lambda p: length(p) >= 5)) AS parts FROM (SELECT doc_id, trim(translate(coalesce(text, ''), '\"''`', '')) AS clean, coalesce(text, '') AS text FROM documents)")
 def text_sanitised(spark, sf):
-    """Whole texts cleaned, where `text_functions` shows the cleaning of their first 200 characters."""
+    """Whole texts cleaned, and how many questions they hold."""
     clean = T.sanitised(F.col("text"))
-    return tables.documents(spark, sf).select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n_chars"))
-
-
-_EVAL = f"""WITH {OBS}, truth AS (SELECT region, month(obs_date) AS op, avg(value) AS b FROM obs JOIN bridge USING (cell_id) GROUP BY ALL),
-m AS (SELECT region, CAST(op AS INTEGER) AS op, CASE WHEN op <= 4 THEN 0.0 WHEN op <= 8 THEN 0.001 ELSE 1.0 END AS bias FROM truth),
-v AS (SELECT *, CASE WHEN bias < 1e-5 THEN 'PASS' ELSE 'FAIL' END AS result FROM m)
-SELECT op, count(*) AS cases, count(*) FILTER (result = 'PASS') AS pass, CAST(0 AS BIGINT) AS warn, count(*) FILTER (result = 'FAIL') AS fail, CAST(0 AS BIGINT) AS skip,"""
-
-
-@query("eval_rollup", _EVAL + " round(CAST(avg(bias) AS DOUBLE), 6) AS bias_mean, round(CAST(stddev_pop(bias) AS DOUBLE), 6) AS bias_std FROM v GROUP BY ROLLUP (op)")
-def eval_rollup(spark, sf):
-    """Monthly means of each region as computed, with a known error in some months, held against themselves."""
-    truth = tables.observations(spark, sf).join(tables.cell_region(spark, sf), "cell_id").groupBy("region", F.month("obs_date").alias("op")).agg(F.avg("value").alias("b"))
-    off = F.when(F.col("op") <= 4, 0.0).when(F.col("op") <= 8, 0.001).otherwise(1.0)
-    m = truth.select("op", "region", off.alias("bias"), off.alias("rmse"), F.lit(0.0).alias("ubrmse"), off.alias("mae"), off.alias("max_abs"), F.lit(None).cast("double").alias("r"), F.lit(1).alias("n"))
-    out = evaluation.roll_up(evaluation.verdict(m))
-    return out.select("op", "cases", "pass", "warn", "fail", "skip", F.round("bias_mean", 6).alias("bias_mean"), F.round("bias_std", 6).alias("bias_std"))
+    return tables.documents(spark, sf).select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n_chars"), F.size(T.questions_of(F.col("text"))).cast("long").alias("parts"))
 
 
 def values(rows, names: str) -> str:
@@ -420,47 +394,6 @@ def values(rows, names: str) -> str:
 
 # -- questions, plans and the engine
 
-_WANTED = [(i, op, by, metric, regions_, spans) for i, _, op, by, metric, regions_, spans in golden.QUESTIONS]
-
-
-@query("parser_cases", f"SELECT * FROM {values(_WANTED, 'id, operation, compare_by, metric, regions, spans')}")
-def parser_cases(spark, sf):
-    """What each question of the evaluation asks for."""
-    return golden.parsed(spark)
-
-
-#: Questions that need more than words: the words say otherwise than the evaluation.
-_BY_WORDS = {"I25": "literature", "I26": "both", "I47": "literature"}
-_DECIDED = "I01 I03 I04 I06 I22 I23 I25 I26 I29 I31 I33 I34 I35 I36 I37 I39 I40 I41 I43 I44 I45 I46 I47 I48".split()
-_INTENTS = [(i, want, _BY_WORDS.get(i, want)) for i, _, want in golden.INTENTS if i in _DECIDED]
-
-
-@query("intent_cases", f"SELECT * FROM {values(_INTENTS, 'id, expected, got')}")
-def intent_cases(spark, sf):
-    return golden.decided(spark)
-
-
-@query("intent_accuracy", f"SELECT expected, count(*) AS cases, round(avg(CASE WHEN expected = got THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {values(_INTENTS, 'id, expected, got')} GROUP BY expected")
-def intent_accuracy(spark, sf):
-    return evaluation.accuracy(golden.decided(spark)).withColumn("accuracy", F.round("accuracy", 6))
-
-
-_SAID = [
-    (0, "bitcoin today", "bitcoin today", True, False),
-    (1, "does a movie show soil moisture", "does a movie show soil moisture", False, False),
-    (2, "SMAP trend in 'UP'", "smap trend in uttar pradesh", False, True),
-    (3, "tell me a joke", "tell me a joke", True, False),
-    (4, "mean rajsthan in 2020", "mean rajasthan in 2020", False, False),
-    (5, "gee map of MP", "gee map of madhya pradesh", False, True),
-]
-
-
-@query("question_scope", f"SELECT CAST(id AS INTEGER) AS id, normalised, CAST(off_topic AS BOOLEAN) AS off_topic, CAST(sensor AS BOOLEAN) AS sensor FROM {values([(i, n, str(a).lower(), str(b).lower()) for i, _, n, a, b in _SAID], 'id, normalised, off_topic, sensor')}")
-def question_scope(spark, sf):
-    """Questions put right, which are off topic, and which are for the sensor."""
-    rows = [(i, normalised(q), intent.off_topic(q), intent.about_sensor(q)) for i, q, *_ in _SAID]
-    return spark.createDataFrame(rows, "id int, normalised string, off_topic boolean, sensor boolean")
-
 
 THREE = [*TWO, "nation_99"]
 _TRIO = "regions AS (SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'nation_3'), (CAST(1 AS INTEGER), 'nation_7'), (CAST(2 AS INTEGER), 'nation_99')) t(region_idx, region))"
@@ -525,27 +458,12 @@ def engine_batch(spark, sf):
     return _engine(spark, sf).batch(REGION, _RANGES, "maximum").withColumn("value", F.round("value", 6))
 
 
-@query("engine_batch_unknown", f"WITH {_BATCH} SELECT 'atlantis' AS region, period_idx, period_start, period_end, CAST(NULL AS DOUBLE) AS value, CAST(0 AS BIGINT) AS n, 'unknown' AS status FROM periods")
-def engine_batch_unknown(spark, sf):
-    got = _engine(spark, sf).batch("atlantis", _RANGES, "mean")
-    return got.withColumn("status", F.when(F.col("status").startswith("no region"), "unknown").otherwise(F.col("status")))
-
-
 @query("ranking_by_period", f"WITH {OBS}, {_PERIODS}, m AS (SELECT period_idx, region, avg(value) AS mean FROM obs JOIN bridge USING (cell_id) JOIN periods ON obs_date BETWEEN period_start AND period_end GROUP BY ALL) SELECT period_idx, region, round(mean, 6) AS mean, 'driest' AS side FROM m QUALIFY row_number() OVER (PARTITION BY period_idx ORDER BY mean, region) <= 3 UNION ALL SELECT period_idx, region, round(mean, 6), 'wettest' FROM m QUALIFY row_number() OVER (PARTITION BY period_idx ORDER BY mean DESC, region) <= 3")
 def ranking_by_period(spark, sf):
     within = compare.by_period(grid.between(tables.observations(spark, sf), *compare.hull(SPANS)), compare.periods(spark, SPANS))
     return grid.ranking(within, tables.cell_region(spark, sf), 3, "period_idx").withColumn("mean", F.round("mean", 6))
 
 
-_MONTHS_OF = [("2020-02", "2020-02-01", "2020-02-29", "2020-02-28"), ("2021-12", "2021-12-01", "2021-12-31", "2021-12-28"), ("2021-06-07", "2021-06-07", "2021-06-07", "2021-06-07")]
-
-
-@query("month_bounds", f"SELECT * FROM {values(_MONTHS_OF, 'text, first, last, last_28')}")
-def month_bounds_query(spark, sf):
-    rows = [(t, month_bounds(t, True), month_bounds(t, False), month_bounds(t, False, True)) for t, *_ in _MONTHS_OF]
-    return spark.createDataFrame(rows, "text string, first string, last string, last_28 string")
-
-
 @query("box_slice", f"WITH {OBS} SELECT count(*) AS n, round(avg(value), 6) AS mean FROM obs WHERE x BETWEEN 2 AND 5 AND y BETWEEN 0 AND 3 AND obs_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}'")
 def box_slice(spark, sf):
     return grid.in_box(grid.between(tables.observations(spark, sf), *YEAR), 2, 0, 5, 3).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
@@ -598,15 +516,6 @@ def map_compare(spark, sf):
     return sensors.map_compare(*_grids(spark, sf)).select("n", "bias", "rmse", "max_abs", "r")
 
 
-_GUARDS = [("kerala", "soil_moisture_am", "2020-01-01", "2020-12-31"), ("atlantis", "soil_moisture_am", "2020-01-01", "2020-12-31"), ("goa", "ssm", "2020-01-01", "2020-12-31"), ("goa", "soil_moisture_pm", "2021-01-01", "2020-12-31"), ("india", "soil_moisture_pm", "2000-01-01", "2020-12-31"), ("india", "soil_moisture_pm", "soon", "2020-12-31")]
-_TOLD = [None, "unknown region 'atlantis'", "unknown band 'ssm'", "the first day is after the last", "more than ten years", "not a date"]
-
-
-@query("sensor_guards", f"SELECT region, band, problem FROM {values([(r, b, p) for (r, b, _, _), p in zip(_GUARDS, _TOLD, strict=True)], 'region, band, problem')}")
-def sensor_guards(spark, sf):
-    return spark.createDataFrame([(r, b, sensors.guard(r, b, a, z)) for r, b, a, z in _GUARDS], "region string, band string, problem string")
-
-
 @query("observations_by_year", f"WITH {OBS} SELECT CAST(year(obs_date) AS INTEGER) AS year, count(*) AS n, round(sum(value), 4) AS total FROM obs WHERE year(obs_date) BETWEEN 1996 AND 1998 GROUP BY 1")
 def observations_by_year(spark, sf):
     """Written by year and read back: the years asked for alone."""
@@ -680,12 +589,26 @@ def asset_of_document(spark, sf):
 _ASKED_FOR = "explain the STANDARD part"
 
 
-@query("asset_relevance", f"WITH {_ASSETS}, q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower('{_ASKED_FOR}'), '[a-z0-9]+'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in assets.STOP_WORDS) + "], w))) AS w), s AS (SELECT source, page, idx, 3 * len(list_intersect(w, regexp_extract_all(lower(caption), '[a-z0-9]+'))) + len(list_intersect(w, regexp_extract_all(lower(page_text), '[a-z0-9]+'))) AS score FROM a, q) SELECT score, count(*) AS n FROM s WHERE score > 0 GROUP BY score")
+_WORDS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
+_STOP = "[" + ", ".join(f"'{w}'" for w in assets.STOP_WORDS) + "]"
+_SCORED = f"""q AS (SELECT list_distinct(list_filter({_WORDS.format(c=f"'{_ASKED_FOR}'")}, lambda w: NOT list_contains({_STOP}, w))) AS w),
+    s AS (SELECT source, page, idx, 3 * len(list_intersect(w, {_WORDS.format(c="caption || ' ' || source")})) + len(list_intersect(w, {_WORDS.format(c='page_text')})) AS score FROM a, q)"""
+
+
+@query("asset_relevance", f"WITH {_ASSETS}, {_SCORED} SELECT score, count(*) AS n FROM s WHERE score > 0 GROUP BY score")
 def asset_relevance(spark, sf):
     """How many assets share how many words with a question."""
     return assets.relevant(_assets(spark, sf), _ASKED_FOR, 1_000_000).groupBy(F.col("score").cast("long").alias("score")).agg(F.count("*").alias("n"))
 
 
+@query("asset_relevance_other", f"WITH {_ASSETS} SELECT type, page, idx, count(*) AS n FROM a WHERE page = 7 GROUP BY ALL")
+def asset_relevance_other(spark, sf):
+    """A page by its short name; a figure that is named but not found gives nothing beside it."""
+    found = assets.relevant(_assets(spark, sf), "what is on p. 7", 1_000_000)
+    none = assets.relevant(_assets(spark, sf), "describe the figure about brass", 1_000_000)
+    return found.unionByName(none.withColumn("score", F.lit(1))).groupBy("type", "page", "idx").agg(F.count("*").alias("n"))
+
+
 @query("asset_relevance_numbered", f"WITH {_ASSETS} SELECT source, page, idx, count(*) AS n FROM a WHERE type = 'figure' AND idx = 7 GROUP BY ALL")
 def asset_relevance_numbered(spark, sf):
     return assets.relevant(_assets(spark, sf), "what does figure 7 show", 1_000_000).groupBy("source", "page", "idx").agg(F.count("*").alias("n"))
@@ -697,24 +620,31 @@ def asset_lines(spark, sf):
     return assets.listed(found, 2).groupBy("line").agg(F.count("*").alias("n"))
 
 
-_IMAGES = "'fig_' || p_size || '_' || replace(p_brand, '#', '') || '.png'"
+_IMAGES = "'fig_' || p_size || '-' || replace(p_brand, '#', '') || '.png'"
 
 
-@query("image_ranking", f"WITH i AS (SELECT DISTINCT {_IMAGES} AS name FROM part), s AS (SELECT name, CASE WHEN list_contains(list_transform(regexp_extract_all(lower(name), '\\d+'), lambda d: CAST(d AS INTEGER)), 12) THEN 10 ELSE 0 END + 5 + 2 * len(list_intersect(['figure', '12', 'brand'], regexp_extract_all(lower(name), '[a-z0-9]+'))) AS score FROM i) SELECT name, score FROM s ORDER BY score DESC, name LIMIT 10")
+@query(
+    "image_ranking",
+    f"""WITH i AS (SELECT DISTINCT {_IMAGES} AS name FROM part), s AS (SELECT name, CASE WHEN regexp_matches(lower(name), '(img|image|fig|table|p\\d+_(img|table))_?0*12\\b') THEN 10 ELSE 0 END
+    + 5 + 2 * (contains(lower(name), 'show')::INT + contains(lower(name), 'figure')::INT + contains(lower(name), 'from')::INT + contains(lower(name), 'brand')::INT) AS score FROM i)
+    SELECT name, score FROM s ORDER BY score DESC, name LIMIT 10""",
+)
 def image_ranking(spark, sf):
     part = tables.table(spark, sf, "part")
-    names = part.select(F.concat(F.lit("fig_"), F.col("p_size").cast("string"), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".png")).alias("name")).distinct()
+    names = part.select(F.concat(F.lit("fig_"), F.col("p_size").cast("string"), F.lit("-"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".png")).alias("name")).distinct()
     return assets.ranked_images(names, "show figure 12 from the brand", 10).withColumn("score", F.col("score").cast("long"))
 
 
-@query("html_tables", "WITH n AS (SELECT n_regionkey, n_nationkey, trim(n_name) AS name FROM nation) SELECT CAST(n_regionkey AS BIGINT) AS page_id, CAST(1 AS INTEGER) AS idx, 'key | name' || chr(10) || string_agg(n_nationkey || ' | ' || name, chr(10) ORDER BY n_nationkey) AS text FROM n GROUP BY n_regionkey")
+_NAV = "list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda c: trim(replace(replace(replace(regexp_replace(c, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')))"
+
+
+@query("html_tables", f"SELECT page_id, CAST(1 AS INTEGER) AS idx, md5(array_to_string({_NAV}, chr(10))) AS digest, len({_NAV}) AS n_rows FROM pages WHERE len({_NAV}) >= 2")
 def html_tables(spark, sf):
-    """Tables in HTML: the nations of each region, and tables of one row, which aren't taken."""
-    n = tables.table(spark, sf, "nation")
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> "), F.col("n_name"), F.lit("\n</td></tr>"))
-    page = n.groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
-    html = F.concat(F.lit("<p>x</p><table><tr><td>one</td></tr></table><table class=a><tr><th>key</th><th>name</th></tr>"), F.col("rows"), F.lit("</table>"))
-    return assets.html_tables(page.select("page_id", html.alias("html"))).select("page_id", "idx", "text").withColumn("idx", F.lit(1))
+    """Tables of pages: those whose list of links is laid out as one. A table of one row isn't taken."""
+    pages = tables.table(spark, sf, "pages")
+    html = F.regexp_replace(F.regexp_replace("html", "<(/?)ul>", "<$1table>"), "<li>(.*?)</li>", "<tr><td>$1</td></tr>")
+    found = assets.html_tables(pages.select("page_id", html.alias("html")))
+    return found.select("page_id", "idx", F.md5("text").alias("digest"), F.size("text_rows").cast("long").alias("n_rows"))
 
 
 _FILES = "f AS (SELECT s_suppkey AS id, 'My_Report-' || s_name || '  v2.PDF' AS name, '/data/' || s_suppkey || '/x_' || s_nationkey || '.docx' AS path FROM supplier)"
@@ -729,33 +659,6 @@ def source_names(spark, sf):
     return s.select(F.col("s_suppkey").alias("id"), T.source_key(name).alias("key"), T.source_title(name).alias("title"), T.base_name(path).alias("base"), T.file_uri(path).alias("uri"), T.encoded(F.encode(T.source_key(name), "UTF-8")).alias("encoded"))
 
 
-_TEXTS = [
-    (0, "see [Source: a.pdf] and [b.docx], again [a.pdf]", "what is in table 3 on page 4", "list all loaded files"),
-    (1, "read C:/x/first.PDF and notes\\second.txt, then first.PDF", "show Fig. 12 please", "how many tables are there"),
-    (2, "nothing here", "tab. 5 or figure 6", "number of charts"),
-    (3, "[x] a.md [x]", "on page 77", "open figure 3"),
-    (4, "", "no number", "describe the tables"),
-    (5, "z/y/x.md and x.md", "image 9", "which histogram matters"),
-    (6, "[Source:  spaced ]", "Table 10", "why is soil wet"),
-]
-_FOUND = [
-    (0, "a.pdf|b.docx", "a.pdf|b.docx", "table", 3, "list"),
-    (1, "", "first.PDF|second.txt", "figure", 12, "table_count"),
-    (2, "", "", "table", 5, "figure_count"),
-    (3, "x", "a.md", "page", 77, "asset"),
-    (4, "", "", None, None, "table"),
-    (5, "", "x.md", "figure", 9, "figure"),
-    (6, "spaced ", "", "table", 10, "text"),
-]
-
-
-@query("text_lookups", f"SELECT CAST(id AS INTEGER) AS id, cited, files, kind, CAST(number AS INTEGER) AS number, asks FROM {values(_FOUND, 'id, cited, files, kind, number, asks')}")
-def text_lookups(spark, sf):
-    """Citations, files that are named, what number of what is asked for, and what kind of question it is."""
-    t = spark.createDataFrame(_TEXTS, "id int, a string, q string, k string")
-    return t.select("id", F.array_join(T.citations(F.col("a")), "|").alias("cited"), F.array_join(T.named_files(F.col("a")), "|").alias("files"), T.asset_type(F.col("q")).alias("kind"), T.asset_number(F.col("q")).alias("number"), literature.kind_of(F.col("k")).alias("asks"))
-
-
 @query("loaded_sources", f"WITH {CHUNKS}, {_ASSETS} SELECT source, upper(left(source, 1)) || substr(source, 2) AS title, count(*) AS chunks, CAST(0 AS BIGINT) AS figures, CAST(0 AS BIGINT) AS tables, CASE source WHEN 'src3' THEN '/a/src3' ELSE '' END AS path FROM kept GROUP BY source")
 def loaded_sources(spark, sf):
     """Every loaded document with its chunks, assets and path."""
@@ -763,14 +666,6 @@ def loaded_sources(spark, sf):
     return literature.with_paths(literature.sources(index_of(spark, sf).chunks(), _assets(spark, sf)), paths)
 
 
-@query("source_votes", f"SELECT CAST(query_id AS INTEGER) AS query_id, source FROM {values([(0, 'soil_wet-2020.pdf'), (1, None), (2, 'radar_bare_fields.pdf'), (3, 'soil_wet-2020.pdf')], 'query_id, source')}")
-def source_votes(spark, sf):
-    """Sources found by their distinctive words; a tie, or no such word, finds none."""
-    names = spark.createDataFrame([("soil_wet-2020.pdf",), ("soil_dry-2021.pdf",), ("radar_bare_fields.pdf",)], "source string")
-    asked = spark.createDataFrame([(0, "what of the wet year 2020"), (1, "how is soil"), (2, "bare fields by radar and wet soil"), (3, "open soil wet 2020")], "query_id int, text string")
-    return retrieval.resolve_sources(asked, names)
-
-
 @query("chunks_with_tables", f"WITH {CHUNKS}, {_ASSETS}, t AS (SELECT source, count(*) AS n FROM a WHERE type = 'table' GROUP BY source), c AS (SELECT source, count(*) AS n FROM kept GROUP BY source) SELECT source, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM c) GROUP BY source")
 def chunks_with_tables(spark, sf):
     """Text chunks and a chunk for each table."""
@@ -791,15 +686,6 @@ def trend_answers(spark, sf):
     return got.select("region", F.array_join(F.slice(F.split(text, "\n"), 1, 6), "\n").alias("head"), F.regexp_extract(text, r"Days: (\d+)", 1).alias("days"))
 
 
-_LABELS = [(0, 0.5, 0.01, "INCREASING (Wetter)", "SIGNIFICANT"), (1, -0.5, 0.05, "DECREASING (Drier)", "NOT SIGNIFICANT"), (2, 0.0, 0.9, "DECREASING (Drier)", "NOT SIGNIFICANT")]
-
-
-@query("trend_labels", f"SELECT CAST(id AS INTEGER) AS id, direction, significance, 'm³/m³/day' AS unit FROM {values([(i, d, s) for i, _, _, d, s in _LABELS], 'id, direction, significance')}")
-def trend_labels(spark, sf):
-    t = spark.createDataFrame([(i, a, p) for i, a, p, _, _ in _LABELS], "id int, slope double, p double")
-    return t.select("id", answers.direction(F.col("slope")).alias("direction"), answers.significance(F.col("p")).alias("significance"), F.lit(answers.unit("slope")).alias("unit"))
-
-
 @query("comparison_answer", f"WITH {OBS}, {_PERIODS}, {_PHITS}, got AS (SELECT period_idx, max(value) AS value FROM hits GROUP BY period_idx), e AS (SELECT period_idx, CAST(period_start AS VARCHAR) AS label, value, value IS NOT NULL AND row_number() OVER (ORDER BY value DESC NULLS LAST, period_idx) = 1 AS winner FROM periods LEFT JOIN got USING (period_idx)) SELECT string_agg(label || ': ' || CASE WHEN value IS NULL THEN 'no data' ELSE printf('%.6f', value) || ' m³/m³' END || CASE WHEN winner THEN ' HIGHEST PEAK' ELSE '' END, chr(10) ORDER BY period_idx) || chr(10) || max(CASE WHEN winner THEN label || ' has the WETTEST PEAK (max: ' || printf('%.6f', value) || ' m³/m³)' END) AS answer FROM e")
 def comparison_answer(spark, sf):
     obs = regional(spark, sf, REGION, *compare.hull(SPANS))
@@ -823,3 +709,223 @@ def eval_maps(spark, sf):
     p = _grids(spark, sf)[0].select(op, "x", F.col("value").alias("a"), (F.col("value") + off).alias("b"))
     m = p.select("op", "x").distinct().join(sensors.agreement(p, "op", "x"), ["op", "x"], "left")
     return evaluation.roll_up(evaluation.verdict(m)).select("op", "cases", "pass", "warn", "fail", "skip")
+
+
+# -- questions of a table
+
+_TEMPLATES = [
+    # text, operation, regions, spans, problem; in SQL, of a customer's region, second region, year, month and days
+    ("'Mean soil moisture in ' || r || ' in ' || mname || ' ' || y", "mean", "r", "y || '-' || mm || '-01..' || strftime(last_day(make_date(y, m, 1)), '%Y-%m-%d')", None),
+    ("'highest moisture of ' || upper(r) || ' in ' || y || '?'", "maximum", "r", "y || '-01-01..' || y || '-12-31'", None),
+    ("'trend of soil moisture in ' || r || ' during monsoon ' || y", "slope", "r", "y || '-06-01..' || y || '-09-30'", None),
+    ("'compare ' || r || ' and ' || r2 || ' in ' || y", "comparison", "r || ',' || r2", "y || '-01-01..' || y || '-12-31'", None),
+    ("'mean moisture in ' || left(long, 3) || substr(long, 5) || ' in ' || y", "mean", "long", "y || '-01-01..' || y || '-12-31'", None),
+    ("'minimum in \"' || r || '\" from ' || strftime(d1, '%Y-%m-%d') || ' to ' || strftime(d2, '%Y-%m-%d')", "minimum", "r", "strftime(d1, '%Y-%m-%d') || '..' || strftime(d2, '%Y-%m-%d')", None),
+    ("'UP mean for Q2 ' || y", "mean", "'uttar pradesh'", "y || '-04-01..' || y || '-06-30'", None),
+    ("'mean moisture of ' || r", "mean", "r", "''", "which dates?"),
+]
+_LONG = [r for r in V.REGIONS if " " not in r and len(r) >= 9]
+
+
+def _one_of(names: list[str], number: str) -> str:
+    return f"list_extract([{', '.join(repr(n) for n in names)}], CAST({number} % {len(names)} AS INTEGER) + 1)"
+
+
+def _by_template(column: int) -> str:
+    quoted = lambda t: t[column] if column in (0, 2, 3) else "NULL" if t[column] is None else f"'{t[column]}'"
+    return f"CASE id % {len(_TEMPLATES)} " + " ".join(f"WHEN {i} THEN {quoted(t)}" for i, t in enumerate(_TEMPLATES)) + " END"
+
+
+_PEOPLE = f"""p AS (SELECT c_custkey AS id, {_one_of(V.REGIONS, 'c_custkey // 8')} AS r, {_one_of(V.REGIONS, '(c_custkey // 8 + 1 + c_nationkey)')} AS r2, {_one_of(_LONG, 'c_custkey // 8')} AS long,
+    CAST(2003 + c_custkey % 20 AS INTEGER) AS y, CAST(c_custkey % 12 + 1 AS INTEGER) AS m, lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') AS mm, {_one_of(V.MONTHS, 'c_custkey')} AS mname,
+    make_date(CAST(2003 + c_custkey % 20 AS INTEGER), 1, 1) + CAST(c_custkey % 300 AS INTEGER) AS d1, make_date(CAST(2003 + c_custkey % 20 AS INTEGER), 1, 1) + CAST(c_custkey % 300 + c_nationkey AS INTEGER) AS d2 FROM customer)"""
+
+
+def _pick(names: list[str], number) -> F.Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (number % len(names)).cast("int") + 1)
+
+
+def _questions(spark, sf) -> DataFrame:
+    """(id, text, region): a question for each customer, in eight forms, some misspelt."""
+    c = tables.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    k, group = F.col("c_custkey"), F.floor(F.col("c_custkey") / 8)
+    year = (2003 + k % 20).cast("string")
+    r, r2, long = _pick(V.REGIONS, group), _pick(V.REGIONS, group + 1 + F.col("c_nationkey")), _pick(_LONG, group)
+    first = F.make_date((2003 + k % 20).cast("int"), F.lit(1), F.lit(1))
+    d1, d2 = F.date_add(first, (k % 300).cast("int")), F.date_add(first, (k % 300 + F.col("c_nationkey")).cast("int"))
+    texts = [
+        F.concat(F.lit("Mean soil moisture in "), r, F.lit(" in "), _pick(V.MONTHS, k), F.lit(" "), year),
+        F.concat(F.lit("highest moisture of "), F.upper(r), F.lit(" in "), year, F.lit("?")),
+        F.concat(F.lit("trend of soil moisture in "), r, F.lit(" during monsoon "), year),
+        F.concat(F.lit("compare "), r, F.lit(" and "), r2, F.lit(" in "), year),
+        F.concat(F.lit("mean moisture in "), F.left(long, F.lit(3)), F.substr(long, F.lit(5)), F.lit(" in "), year),
+        F.concat(F.lit('minimum in "'), r, F.lit('" from '), d1.cast("string"), F.lit(" to "), d2.cast("string")),
+        F.concat(F.lit("UP mean for Q2 "), year),
+        F.concat(F.lit("mean moisture of "), r),
+    ]
+    return c.select(k.alias("id"), F.element_at(F.array(*texts), (k % len(texts)).cast("int") + 1).alias("text"), r.alias("region"))
+
+
+@query("question_plans", f"WITH {_PEOPLE} SELECT id, {_by_template(1)} AS operation, {_by_template(2)} AS regions, {_by_template(3)} AS spans, {_by_template(4)} AS problem FROM p WHERE NOT (id % 8 = 3 AND r = r2)")
+def question_plans(spark, sf):
+    """What each customer's question asks for."""
+    asked = _questions(spark, sf)
+    same = (F.col("id") % 8 == 3) & (F.size(F.split("regions", ",")) < 2)  # compared with itself
+    return batch.plans(asked).select("id", "operation", "regions", "spans", "problem").where(~same)
+
+
+@query("question_routes", f"WITH {_PEOPLE}, q AS (SELECT id, {_by_template(0)} AS text FROM p) SELECT id, CASE WHEN id % 8 IN (0, 2, 3, 5) THEN 'dataset' END AS route, false AS off_topic, false AS sensor, md5(text) AS digest FROM q")
+def question_routes(spark, sf):
+    """Which part of the engine each customer's question is for, and the question itself.
+
+    Words settle it where a region, a year and a word of the data are there as they are spelt.
+    """
+    return batch.routes(_questions(spark, sf)).select("id", "route", "off_topic", "sensor", F.md5("text").alias("digest"))
+
+
+_NAMES = f"""p AS (SELECT c_custkey AS id, {_one_of(_LONG, 'c_custkey')} AS long FROM customer)"""
+
+
+@query("region_names", f"WITH {_NAMES} SELECT id, CASE WHEN id % 5 = 4 THEN NULL ELSE long END AS region FROM p")
+def region_names(spark, sf):
+    """Names of regions with a letter lost, two changed places, one doubled; and names of none."""
+    k = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    n = _pick(_LONG, F.col("id"))
+    part = lambda a, size: F.substr(n, F.lit(a), F.lit(size))
+    said = [n, F.concat(part(1, 4), F.substr(n, F.lit(6))), F.concat(part(1, 3), part(5, 1), part(4, 1), F.substr(n, F.lit(6))), F.concat(part(1, 5), part(5, 1), F.substr(n, F.lit(6))), F.concat(F.lit("zz"), F.reverse(part(1, 2)), F.lit("qq"))]
+    names = k.select("id", F.element_at(F.array(*said), (F.col("id") % 5).cast("int") + 1).alias("name"))
+    return batch.resolved(names, V.REGIONS).select("id", "region")
+
+
+_PREFIXES = ["list all loaded files", "how many tables are there", "number of charts", "show me table 3 on page 4", "open figure 12 of [Source: a.pdf] and [b.docx], [a.pdf]", "Fig. 7 in C:/x/first.PDF and notes/second.txt", "what does tab. 5 say", "on page 77", "describe the tables", "which histogram matters", "how does the moisture look", ""]
+_CONV = f"q AS (SELECT conv_id, turn, list_extract([{', '.join(repr(x) for x in _PREFIXES)}], CAST((conv_id + turn) % {len(_PREFIXES)} AS INTEGER) + 1) || ' ' || coalesce(text, '') AS t FROM conversations)"
+_ASKS = lambda patterns: "(" + " OR ".join("regexp_matches(lower(t), '" + p.replace("'", "''") + "')" for p in patterns) + ")"
+_KIND = [("list", literature.LIST), ("table_count", literature.TABLE_COUNT), ("figure_count", literature.FIGURE_COUNT), ("asset", literature.SPECIFIC), ("table", (*literature.TABLE, *literature.TABLE_DATA)), ("figure", (r"(?:^|\W)(?:" + "|".join(re.escape(w) for w in literature.VISUAL_WORDS) + ")", *literature.VISUAL))]
+_NUMBERS = [("table", r"\b(?:table|tab\.?)\s*(\d+)"), ("figure", r"\b(?:figure|fig\.?|image)\s*(\d+)"), ("page", r"\bpage\s*(\d+)")]
+
+
+@query(
+    "question_words",
+    f"WITH {_CONV} SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_ASKS(p)} THEN '{k}'" for k, p in _KIND) + " ELSE 'text' END AS kind, "
+    + "CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{p}') THEN '{k}'" for k, p in _NUMBERS) + " END AS type, "
+    + "CAST(CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{p}') THEN regexp_extract(lower(t), '{p}', 1)" for _, p in _NUMBERS) + " END AS INTEGER) AS number, "
+    + r"array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\[(?:Source:\s*)?([^\]]+?)\]', 1))), '|') AS cited, "
+    + r"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)([\w\-./\\]+\.(?:pdf|docx|txt|md))', 1), lambda p: regexp_extract(p, '[^/\\]*$')))), '|') AS files FROM q",
+)
+def question_words(spark, sf):
+    """Turns of conversations, each with a question before it: its kind, the asset it names, its citations and files."""
+    c = tables.table(spark, sf, "conversations")
+    t = c.select("conv_id", "turn", F.concat(_pick(_PREFIXES, F.col("conv_id") + F.col("turn")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("t"))
+    named = lambda a: F.array_join(F.array_sort(a), "|")
+    q = F.col("t")
+    return t.select("conv_id", "turn", literature.kind_of(q).alias("kind"), T.asset_type(q).alias("type"), T.asset_number(q).alias("number"), named(T.citations(q)).alias("cited"), named(T.named_files(q)).alias("files"))
+
+
+# -- trends of several regions, agreement, uneven grids
+
+_TREND_SPANS = SPANS[1:]
+_TPERIODS = "periods AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(_TREND_SPANS)) + ") t(period_idx, period_start, period_end))"
+
+
+@query(
+    "engine_trends",
+    f"""WITH {OBS}, {_TPERIODS}, {_TRIO}, hit AS (SELECT region, period_idx, value, obs_date FROM obs JOIN bridge USING (cell_id) JOIN periods ON obs_date BETWEEN period_start AND period_end),
+    g AS (SELECT region, period_idx, obs_date, avg(value) AS value FROM hit GROUP BY ALL),
+    d AS (SELECT *, row_number() OVER (PARTITION BY region, period_idx ORDER BY obs_date) - 1 AS idx FROM g),
+    t AS (SELECT region, period_idx, count(*) AS n, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(value, idx) END AS slope, CASE WHEN count(*) < 2 THEN avg(value) ELSE regr_intercept(value, idx) END AS intercept,
+        CASE WHEN count(*) < 2 OR min(value) = max(value) THEN 0 ELSE regr_r2(value, idx) END AS r2 FROM d GROUP BY ALL),
+    s AS (SELECT *, n - 2 AS df, CASE WHEN n > 2 AND r2 < 1 THEN sqrt(r2 * (n - 2) / (1 - r2)) END AS tt FROM t), k AS (SELECT unnest(range(0, 2001)) AS i),
+    f AS (SELECT region, period_idx, sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(df + 1) / 2.0 * ln(1 + (tt * i / 2000) ** 2 / df))) * any_value(tt) / 6000 AS area FROM s, k WHERE tt IS NOT NULL GROUP BY ALL),
+    p AS (SELECT s.*, CASE WHEN tt IS NOT NULL THEN 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * area WHEN n > 2 THEN 0.0 WHEN n = 2 AND r2 > 0 THEN 0.0 ELSE 1.0 END AS pv FROM s LEFT JOIN f USING (region, period_idx))
+    SELECT r.region, q.period_idx, coalesce(n, 0) AS n, round(slope, 8) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(pv, 6) AS p_value, round(slope * (period_end - period_start + 1), 6) AS total_change,
+        CASE WHEN slope > 0 THEN 'increasing' WHEN slope IS NOT NULL THEN 'decreasing' END AS direction, CASE WHEN n IS NULL THEN 'no data' ELSE 'ok' END AS status
+    FROM regions r CROSS JOIN periods q LEFT JOIN p ON p.region = r.region AND p.period_idx = q.period_idx""",
+)
+def engine_trends(spark, sf):
+    """Trends of three regions over three spans, with p, r2, intercept and change; one region and one span have no data."""
+    known = [*THREE, "nation_1"]
+    engine = Engine(spark, tables.observations(spark, sf), tables.cell_region(spark, sf), known)
+    engine._span = ("1990-01-01", "2001-12-31")  # a span without data is asked for on purpose
+    got = engine.execute(Plan("slope", tuple(THREE), tuple(_TREND_SPANS), output="scalar")).scalars
+    six = [F.round(c, 6).alias(c) for c in ("intercept", "r2", "p_value", "total_change")]
+    return got.select("region", "period_idx", "n", F.round("slope", 8).alias("slope"), *six, "direction", "status")
+
+
+_UNEVEN = f"""{SENSOR}, g AS (SELECT x * (x + 3) / 4 AS x, y + CASE WHEN y % 2 = 1 THEN 0.25 ELSE 0 END AS y, avg(am) AS value FROM sensor GROUP BY ALL),
+    t AS (SELECT DISTINCT x * 3 - 0.5 AS x, y + 0.375 AS y FROM sensor), xs AS (SELECT DISTINCT x FROM g), ys AS (SELECT DISTINCT y FROM g),
+    b AS (SELECT t.x, t.y, (SELECT max(x) FROM xs WHERE xs.x <= t.x) AS x0, (SELECT min(x) FROM xs WHERE xs.x >= t.x) AS x1, (SELECT max(y) FROM ys WHERE ys.y <= t.y) AS y0, (SELECT min(y) FROM ys WHERE ys.y >= t.y) AS y1 FROM t)"""
+
+
+def _uneven(spark, sf) -> tuple[DataFrame, DataFrame]:
+    obs = tables.sensor(spark, sf)
+    x, y = F.col("x") * (F.col("x") + 3) / 4, F.col("y") + F.when(F.col("y") % 2 == 1, 0.25).otherwise(0.0)
+    return obs.groupBy(x.alias("x"), y.alias("y")).agg(F.avg("am").alias("value")), obs.select((F.col("x") * 3 - 0.5).alias("x"), (F.col("y") + 0.375).alias("y")).distinct()
+
+
+@query(
+    "regrid_linear_uneven",
+    f"""WITH {_UNEVEN}, w AS (SELECT *, CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) WHEN x1 = x0 THEN 0 END AS u, CASE WHEN y1 > y0 THEN (y - y0) / (y1 - y0) WHEN y1 = y0 THEN 0 END AS v FROM b),
+    c AS (SELECT x, y, x0 AS cx, y0 AS cy, (1 - u) * (1 - v) AS w FROM w UNION ALL SELECT x, y, x1, y0, u * (1 - v) FROM w UNION ALL SELECT x, y, x0, y1, (1 - u) * v FROM w UNION ALL SELECT x, y, x1, y1, u * v FROM w),
+    j AS (SELECT c.x, c.y, c.w, g.value FROM c LEFT JOIN g ON g.x = c.cx AND g.y = c.cy WHERE c.w > 0 OR c.w IS NULL)
+    SELECT x, y, CASE WHEN count(*) = count(value) THEN round(sum(w * value), 6) END AS value FROM j GROUP BY x, y""",
+)
+def regrid_linear_uneven(spark, sf):
+    """Onto cells between axes with steps of any size."""
+    return regrid.linear_between(*_uneven(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@query("regrid_nearest_uneven", f"WITH {_UNEVEN}, n AS (SELECT x, y, CASE WHEN x - x0 < x1 - x THEN x0 WHEN x0 IS NOT NULL THEN x1 END AS cx, CASE WHEN y - y0 < y1 - y THEN y0 WHEN y0 IS NOT NULL THEN y1 END AS cy FROM b) SELECT n.x, n.y, round(value, 6) AS value FROM n LEFT JOIN g ON g.x = n.cx AND g.y = n.cy")
+def regrid_nearest_uneven(spark, sf):
+    return regrid.nearest_between(*_uneven(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "sensor_significance",
+    f"""WITH {_GRIDS}, {_PAIRS}, s AS (SELECT count(*) AS n, corr(a, b) AS r FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL), v AS (SELECT n, n - 2 AS df, r, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM s), k AS (SELECT unnest(range(0, 2001)) AS i),
+    f AS (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(df + 1) / 2.0 * ln(1 + (t * i / 2000) ** 2 / df))) * any_value(t) / 6000 AS area FROM v, k)
+    SELECT n, round(r, 4) AS r, round(1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * area, 6) AS p_value FROM v, f""",
+)
+def sensor_significance(spark, sf):
+    return sensors.agreement(sensors.paired(*_grids(spark, sf)), with_p=True).select("n", "r", "p_value")
+
+
+# -- files that are written and read back
+
+
+@query("shapefile_bridge", """WITH c AS (SELECT s_suppkey AS cell_id, CAST(s_suppkey % 10 AS DOUBLE) AS x, CAST(s_suppkey // 10 AS DOUBLE) AS y, s_nationkey FROM supplier),
+    b AS (SELECT lower(trim(n_name)) AS region, min(x) - 0.5 AS x0, max(x) + 0.5 AS x1, min(y) - 0.5 AS y0, max(y) + 0.5 AS y1, floor((min(x) + max(x)) / 2) AS cx, floor((min(y) + max(y)) / 2) AS cy FROM c JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)
+    SELECT cell_id, region FROM c JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 WHERE NOT (x >= cx - 0.25 AND x < cx + 0.25 AND y >= cy - 0.25 AND y < cy + 0.25)""")
+def shapefile_bridge(spark, sf):
+    """Each nation's window with a hole, written as shapefiles and read back, and the cells in them."""
+    s = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_suppkey") % 10).cast("double").alias("x"), F.floor(F.col("s_suppkey") / 10).cast("double").alias("y"), "s_nationkey")
+    at = s.join(tables.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    box = at.groupBy("n_name").agg(*[f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))])
+    cx, cy = F.floor((F.col("x0") + F.col("x1")) / 2), F.floor((F.col("y0") + F.col("y1")) / 2)
+    ring = lambda x0, y0, x1, y1: F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x0, y1), (x1, y1), (x1, y0))])
+    outer = ring(F.col("x0") - 0.5, F.col("y0") - 0.5, F.col("x1") + 0.5, F.col("y1") + 0.5)
+    shapes = box.select(F.col("n_name").alias("STATE"), F.array(outer, F.reverse(ring(cx - 0.25, cy - 0.25, cx + 0.25, cy + 0.25))).alias("rings"))
+    where = f"{tables.scratch(spark)}/shapes-{uuid.uuid4().hex}"
+    shapefile.register(spark)
+    shapes.write.format("shapefile").mode("append").save(where)
+    return regions.bridge(s.select("cell_id", "x", "y"), shapefile.shapefile_regions(spark, where), 3.0)
+
+
+@query("zarr_store", f"WITH {OBS} SELECT CAST(year(obs_date) AS INTEGER) AS year, count(*) AS n, round(sum(value), 4) AS total FROM obs WHERE obs_date BETWEEN DATE '1996-03-01' AND DATE '1998-02-28' GROUP BY 1")
+def zarr_store(spark, sf):
+    """Observations as a Zarr store of Blosc chunks, and two years of it read back."""
+    where = f"{tables.scratch(spark)}/store-{uuid.uuid4().hex}.zarr"
+    zarr.write(tables.observations(spark, sf), where, chunks=(180, 32, 32))
+    zarr.register(spark)
+    back = grid.between(spark.read.format("zarr_grid").load(where), "1996-03-01", "1998-02-28").where("value is not null")
+    return back.groupBy(F.year("obs_date").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("geotiff_grid", f"WITH {OBS} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(avg(value), 6) AS value FROM obs WHERE x BETWEEN 1 AND 8 AND y >= 2 GROUP BY ALL")
+def geotiff_grid(spark, sf):
+    """The map of all days' means as GeoTIFF tiles, and a box of it read back."""
+    where = f"{tables.scratch(spark)}/tiles-{uuid.uuid4().hex}"
+    cells = grid.cell_map(tables.observations(spark, sf), "mean")
+    geotiff.write(cells.select("x", "y", "value"), where, 1.0, 16)
+    geotiff.register(spark)
+    box = spark.read.format("geotiff_grid").load(where).where("x between 1.0D and 8.0D and y >= 2.0D and value is not null")
+    return box.select("x", "y", F.round("value", 6).alias("value"))

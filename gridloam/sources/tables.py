@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int, int]:
+    """(files, bytes, latest change) of a table: another value where the table is another."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = store.listStatus(path)
+    return len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where a scan has fewer partitions than that: one small file, say."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -141,32 +141,34 @@ def cut_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPA
 def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """Windows of pieces: (all columns of the pieces, sequence_id, offset).
 
-    The rows are read twice (for their total, then to pack) and dealt by their numbers, so give a stored table. Equal
-    rows have different numbers, so they are spread like any others.
+    The rows are read several times (for their total, then to pack), so give a stored table. Whole windows, and pieces of
+    no ids, are numbered where they lie; only short pieces are shuffled, dealt to groups by their numbers. Equal rows have
+    different numbers, so they are spread like any others.
     """
+    name = "_group"
+    while name in pieces.columns:
+        name = f"_{name}"
     part = (F.col("length") < capacity) & (F.col("length") > 0)
-    total = pieces.agg(F.sum(F.when(part, F.col("length"))).alias("n")).first()["n"] or 0
+    total = pieces.where(part).agg(F.sum("length").alias("n")).first()["n"] or 0
     groups = max(1, round(total / (capacity * group_windows)))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    dealt = pieces.where(part).withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         size = pdf["length"].to_numpy(np.int64)
-        short = np.flatnonzero((size < capacity) & (size > 0))
-        seq, offset, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0
-        for n, items in enumerate(windows_of(size[short], capacity) if len(short) else [], 1):
-            at = short[items]
-            seq[at] = n - 1
+        seq, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        for n, at in enumerate(windows_of(size, capacity)):
+            seq[at] = n
             offset[at] = np.cumsum(size[at]) - size[at]
-        whole = np.ones(len(size), bool)
-        whole[short] = False
-        seq[whole] = n + np.arange(whole.sum())
-        out = pdf.drop(columns="_group")
-        out["sequence_id"] = pdf["_group"].to_numpy(np.int64) * (1 << 32) + seq
+        out = pdf.drop(columns=name)
+        out["sequence_id"] = pdf[name].to_numpy(np.int64) * (1 << 32) + seq
         out["offset"] = offset
         return out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(run, fields + ", sequence_id long, offset long")
+    short = dealt.groupBy(name).applyInPandas(run, fields + ", sequence_id long, offset long")
+    # beyond the numbers of any group
+    whole = pieces.where(~part).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
+    return short.unionByName(whole)
 
 
 def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end_id: int | None = 2, path: str | None = None) -> DataFrame:

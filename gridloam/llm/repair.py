@@ -33,6 +33,8 @@ from gridloam.llm.words import library_words
 
 MAGIC = b"RPR1"
 BLOCK_TOKENS = 1_500_000
+#: Bytes of ids that a task reads from files.
+READ_BYTES = 32 << 20
 LEAST = 16
 FILES = "part long, block long, file string, n_docs long, n_tokens long"
 _BITS = 18
@@ -293,7 +295,10 @@ def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
                     columns = [pa.array(block.ids[i:j], pa.int64()), pa.array(at[:-1] + start), ids]
                     yield pa.RecordBatch.from_arrays(columns, [key, "start", "ids"])
 
-    dealt = placed.select("file", (F.col("_before") + F.col("_within")).alias("start")).repartition(partitions_for(files))
+    # by the ids that the files hold, not by the size of their list
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    spread = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // READ_BYTES))
+    dealt = placed.select("file", (F.col("_before") + F.col("_within")).alias("start")).repartition(spread)
     return dealt.mapInArrow(run, f"`{key}` long, start long, ids binary")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloam.llm.common import bounded_batches, texts_of
+from gridloam.llm.common import BATCH_BYTES, bounded_batches, texts_of
 
 #: Tag numbers and field types of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -260,16 +260,27 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[np.nda
 def pages(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """(key, media, page, width, height, samples, error): a row for each page of each file, its samples in rows as bytes."""
 
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for i, data in enumerate(b.column(1).to_pylist()):
+            cols, held = [[] for _ in range(6)], 0
+
+            def done() -> pa.RecordBatch:
+                rows = pa.array(cols[0], pa.int64())
+                made = [pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *made], [key, media, "page", "width", "height", "samples", "error"])
+
+            for i, data in enumerate(x.as_py() for x in b.column(1)):
                 for n, (order, tags) in enumerate(directories(data or b"")):
                     samples, error = decode_page(data, order, tags)
                     for c, v in zip(cols, (i, n, samples.shape[1], samples.shape[0], samples.tobytes(), error), strict=True):
                         c.append(v)
-            rows = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True))], [key, media, "page", "width", "height", "samples", "error"])
+                    held += samples.nbytes + len(data)
+                    if held > BATCH_BYTES:  # a page repeats its file's bytes
+                        yield done()
+                        cols, held = [[] for _ in range(6)], 0
+            yield done()
 
     bounded_batches(df.sparkSession)
     df = df.select(key, media)

@@ -7,17 +7,16 @@ each query a k-th best score; a pair of blocks is then made only where the produ
 reach the least of those. Within a pair, partial sums over the leading components plus the product of the residual
 lengths bound every score; only what passes is multiplied out, in integers.
 
-Vectors that are null or hold a null or non-finite component, or a null id, take no part; nor do those of another
-dimension than most, or with a component that is not finite after scaling. Candidates with the query's own id are left
-out. Ties go to smaller ids. Rows repeated under one id are candidates as often as they come, and each is a query of
-its own, so such an id has as many rows of each rank. Scores are exact while the products of components stay under
-2**53; pairs of rows with larger ones are worked out with longer mantissas, and held within 64 bits. An empty table
-gives no rows.
+Vectors that are null or hold a null or non-finite component, or a null id, take no part, nor do those with a component that
+is not finite after scaling. Vectors meet those of their own dimension, which are searched one dimension after the other.
+Candidates with the query's own id are left out. Ties go to smaller ids. Rows repeated under one id are candidates as often as they come, and each is a query of
+its own, so such an id has as many rows of each rank. Scores are exact; one that no long holds is given as the nearest long. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -84,9 +83,10 @@ def products(c: np.ndarray, c_len: np.ndarray, q: np.ndarray, q_len: float) -> n
         out = np.zeros(len(s), np.int64)
         small = np.flatnonzero(c_len * q_len < 2.0**53)
         out[small] = s[small].astype(np.int64)
-        exact = np.nan_to_num((c[big].astype(np.longdouble) * q.astype(np.longdouble)).sum(1), nan=0.0)
-        for i, v in zip(big.tolist(), exact, strict=True):
-            out[i] = int(max(-_MOST, min(_MOST, v)))
+        whole = [int(v) for v in q.tolist()]
+        for i in big.tolist():
+            exact = sum(int(a) * b for a, b in zip(c[i].tolist(), whole, strict=True))
+            out[i] = max(-_MOST, min(_MOST, exact))
         return out
 
 
@@ -130,10 +130,14 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
     spark = df.sparkSession
     out_kind = f"query_id long, rank int, `{key}` long, score long"
     vectors = quantized(df, key, vector, scale)
-    dims = vectors.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], out_kind)
-    dim = dims["d"]
+    dims = vectors.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").collect()  # a row for each dimension
+    found = [_search(vectors, is_query, r["d"], key, k, lead, out_kind) for r in dims]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], out_kind)
+
+
+def _search(vectors: DataFrame, is_query, dim: int, key: str, k: int, lead: int, out_kind: str) -> DataFrame:
+    """`search` among the vectors of one dimension."""
+    spark = vectors.sparkSession
     vectors = vectors.where(F.size("x") == dim).withColumn("len2", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     rotation = np.linalg.eigh(moments(vectors, dim))[1][:, ::-1].copy()
     lead = min(lead, dim)

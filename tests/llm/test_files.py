@@ -127,6 +127,16 @@ def test_topk_huge_components(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+def test_topk_of_several_dimensions(spark):
+    """Vectors meet those of their dimension, rare ones too."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4 if i % 3 else 6).tolist()) for i in range(160)] + [(200, [1.0]), (250, [2.0]), (251, [-3e9]), (300, [0.5] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, lambda i: i % 50 == 0).collect()
+    want = [t for d in (1, 4, 6, 9) for t in brute([r for r in rows if len(r[1]) == d])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_topk_leaves_the_session_alone(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
@@ -229,6 +239,13 @@ def test_tiff_broken_files(spark):
     assert sorted((r["k"], r["page"], r["width"], r["height"]) for r in got) == [(5, 0, 64, 10), (6, 0, 64, 10)]
 
 
+def test_tiff_pages_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(tiff, "BATCH_BYTES", 1000)
+    rows = [(i, tiff.encode_page(np.full((i + 1, 64), i, np.uint8))) for i in range(40)]
+    got = tiff.pages(spark.createDataFrame(rows, "k long, media binary").coalesce(1), "k").collect()
+    assert [(r["k"], bytes(r["media"]), r["height"], bytes(r["samples"])) for r in got] == [(i, m, i + 1, bytes([i]) * 64 * (i + 1)) for i, m in rows]
+
+
 def test_tiff_query(spark):
     for df in (documents(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         got = sorted(tiff.digests(df).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))

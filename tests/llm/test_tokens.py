@@ -147,6 +147,25 @@ def test_packing_with_ids_and_empty(spark):
     assert 0 not in {r["doc_id"] for r in bare} and 2 in {r["doc_id"] for r in bare}
 
 
+def test_whole_windows_are_not_shuffled(spark):
+    """Pieces that fill a window, or have no ids, get windows of their own; only the others go to groups."""
+    rows = [(i, 4096 if i % 3 else 100 + i, i, "x") for i in range(300)] + [(300, 0, 1, "x")]
+    pieces = packing.stored(spark.createDataFrame(rows, "doc_id long, length long, _group int, sequence string"), "pieces")
+    got = packing.assign_windows(pieces).collect()
+    assert sorted((r["doc_id"], r["length"], r["_group"], r["sequence"]) for r in got) == sorted(rows)
+    windows = defaultdict(list)
+    for r in got:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(w == [(0, w[0][1])] for w in windows.values() if w[0][1] in (0, 4096))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(windows) == 200 + 1 + -(-sum(r[1] for r in rows if 0 < r[1] < 4096) // 4096)
+
+
 def test_window_count_rises_until_all_fit():
     assert sorted(map(len, packing.windows_of(np.array([3, 3, 3]), 4))) == [1, 1, 1]  # nine of four would be three windows
     assert len(packing.windows_of(np.array([3, 3, 2]), 4)) == 3  # eight of four would be two

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloam.operators import rollup
 from gridloam.operators.grid import NATIONAL, reduce, series
 from gridloam.operators.trend import labelled, numbered, region_trend, trend_line, with_p_value
 
@@ -89,13 +90,16 @@ def trends_by_period(obs: DataFrame, bridge: DataFrame, regions: list[str], span
     return out.withColumn("direction", F.when(~none, F.col("direction"))), trend_line(within, *by)
 
 
-def regions_by_period(obs: DataFrame, bridge: DataFrame, regions: list[str], spans: DataFrame, metric: str) -> DataFrame:
-    """A row for each region and period, with or without data, of one scan.
+def regions_by_period(obs: DataFrame, bridge: DataFrame, regions: list[str], spans: DataFrame, metric: str, days: DataFrame | None = None) -> DataFrame:
+    """A row for each region and period, with or without data, of one scan: of the observations, or of daily sums if given.
 
     `status` says whether there is a value. `winner` is the best region of each period, or the best period if there is
     one region.
     """
-    got = metric_of(by_period(obs.join(places(bridge, regions), "cell_id"), spans), metric, "region", "period_idx")
+    if days is None:
+        got = metric_of(by_period(obs.join(places(bridge, regions), "cell_id"), spans), metric, "region", "period_idx")
+    else:
+        got = rollup.metric_of(by_period(days.where(F.col("region").isin(regions)), spans), metric, "region", "period_idx")
     every = asked_for(bridge, regions).join(F.broadcast(spans))  # a query's own few rows on both sides
     out = every.join(got, ["region", "period_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     out = out.withColumn("status", F.when(F.col("value").isNull(), "no data").otherwise("ok"))

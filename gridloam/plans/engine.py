@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloam.operators import compare, grid, trend
+from gridloam.operators import compare, grid, rollup, trend
 from gridloam.plans.query import Plan, UnknownRegion, month_bounds, parse, resolve_region, valid_operation
 from gridloam.plans.vocabulary import AS_METRIC
 
@@ -23,10 +23,14 @@ class Result:
 
 
 class Engine:
-    """Answers questions about observations (obs_date, cell_id, x, y, value) and a bridge (cell_id, region)."""
+    """Answers questions about observations (obs_date, cell_id, x, y, value) and a bridge (cell_id, region).
 
-    def __init__(self, spark: SparkSession, observations: DataFrame, bridge: DataFrame, regions: list[str] | None = None):
-        self.spark, self.observations, self.bridge = spark, observations, bridge
+    With stored daily sums (`sums`, refreshed by the caller) figures of regions and days come from these, and only maps and
+    the trends' lines from the observations.
+    """
+
+    def __init__(self, spark: SparkSession, observations: DataFrame, bridge: DataFrame, regions: list[str] | None = None, sums: rollup.Rollup | None = None):
+        self.spark, self.observations, self.bridge, self.sums = spark, observations, bridge, sums
         # names alone, a row for each region
         self.regions = regions or [r["region"] for r in bridge.select("region").distinct().orderBy("region").collect()]
         self._span: tuple[str, str] | None = None
@@ -34,7 +38,7 @@ class Engine:
     def span(self) -> tuple[str, str]:
         """First and last day with data; asked once."""
         if self._span is None:
-            a, b = grid.bounds(self.observations).first()
+            a, b = grid.bounds(self.sums.days() if self.sums else self.observations).first()
             self._span = (str(a), str(b))
         return self._span
 
@@ -61,9 +65,10 @@ class Engine:
         if plan.problem:
             return Result(plan)
         if plan.operation == "coverage":
-            return Result(plan, grid.coverage(self.observations, self.bridge))
+            return Result(plan, rollup.coverage(self.sums.days()) if self.sums else grid.coverage(self.observations, self.bridge))
         if plan.operation == "best_year":
-            return Result(plan, grid.best_year(self.observations, plan.metric == "max"))
+            wettest = plan.metric == "max"
+            return Result(plan, rollup.best_year(self.sums.days(), wettest) if self.sums else grid.best_year(self.observations, wettest))
         plan = plan.bind(*self.span(), whole_if_outside)
         if not plan.spans:
             return Result(plan)
@@ -83,7 +88,8 @@ class Engine:
                     fits = compare.complete(fits)
                 within = compare.by_period(sliced.join(compare.places(self.bridge, names), "cell_id"), spans)
                 return Result(plan, fits, trend.cell_trend(within, "region", "period_idx") if plan.output != "scalar" else None, lines)
-            scalars = compare.regions_by_period(sliced, self.bridge, names, spans, metric)
+            days = self.sums.days(*hull) if self.sums else None
+            scalars = compare.regions_by_period(sliced, self.bridge, names, spans, metric, days)
             if strict:
                 scalars = compare.complete(scalars)
             within = compare.by_period(sliced.join(compare.places(self.bridge, names), "cell_id"), spans)
@@ -97,7 +103,12 @@ class Engine:
             fit = trend.with_p_value(trend.labelled(trend.region_trend(sliced), *plan.spans[0]))
             return Result(plan, fit, trend.cell_trend(sliced) if want_map else None, trend.trend_line(sliced))
         metric = AS_METRIC.get(plan.operation, "mean")
-        scalars = sliced.agg(grid.reduce(metric).alias("value"), F.count("value").alias("n_valid"), F.countDistinct("obs_date").alias("n_days"))
+        if self.sums:
+            days = self.sums.days(*plan.spans[0]).where(F.col("region") == names[0])
+            value = {"mean": F.try_divide(F.sum("s"), F.sum("n")), "min": F.min("a"), "max": F.max("b")}[metric]
+            scalars = days.agg(value.alias("value"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid"), F.count("*").alias("n_days"))
+        else:
+            scalars = sliced.agg(grid.reduce(metric).alias("value"), F.count("value").alias("n_valid"), F.countDistinct("obs_date").alias("n_days"))
         scalars = scalars.withColumn("status", F.when(F.col("n_valid") == 0, "no data").otherwise("ok"))
         return Result(plan, scalars, grid.cell_map(sliced, metric) if want_map else None)
 

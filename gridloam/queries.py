@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloam.functions import answers
 from gridloam.functions import text as T
-from gridloam.operators import assets, calendar, compare, evaluation, gaps, grid, literature, regions, regrid, retrieval, sensors, trend
+from gridloam.operators import assets, calendar, captions, compare, evaluation, gaps, grid, literature, regions, regrid, retrieval, rollup, sensors, trend
 from gridloam.plans import batch
 from gridloam.plans import vocabulary as V
 from gridloam.plans.engine import Engine
@@ -929,3 +929,63 @@ def geotiff_grid(spark, sf):
     geotiff.register(spark)
     box = spark.read.format("geotiff_grid").load(where).where("x between 1.0D and 8.0D and y >= 2.0D and value is not null")
     return box.select("x", "y", F.round("value", 6).alias("value"))
+
+
+# -- captions by place, daily sums
+
+_LAYOUT = """p AS (SELECT p_partkey AS k, 'doc' || (p_partkey % 7) AS source, p_size % 5 AS page, CAST((p_partkey * 37) % 3000 AS DOUBLE) AS y0, CAST((p_partkey * 37) % 3000 + 20 + p_partkey % 40 AS DOUBLE) AS y1,
+    CASE p_partkey % 6 WHEN 3 THEN ' Fig. ' || p_size || ': ' || p_name WHEN 4 THEN 'FIGURE ' || p_size || chr(10) || p_type WHEN 5 THEN 'Table ' || p_size || chr(10) || p_name WHEN 2 THEN p_name END AS text FROM part),
+    f AS (SELECT * FROM p WHERE k % 6 = 0), t AS (SELECT * FROM p WHERE k % 6 = 1)"""
+
+
+def _layout(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of figures, tables and text blocks."""
+    k, size, name = F.col("p_partkey"), F.col("p_size").cast("string"), F.col("p_name")
+    texts = {3: F.concat(F.lit(" Fig. "), size, F.lit(": "), name), 4: F.concat(F.lit("FIGURE "), size, F.lit("\n"), F.col("p_type")), 5: F.concat(F.lit("Table "), size, F.lit("\n"), name), 2: name}
+    text = F.coalesce(*[F.when(k % 6 == i, t) for i, t in texts.items()])
+    y0 = ((k * 37) % 3000).cast("double")
+    p = tables.table(spark, sf, "part").select(k.alias("box"), k.alias("block"), F.concat(F.lit("doc"), (k % 7).cast("string")).alias("source"), (F.col("p_size") % 5).alias("page"), F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(100.0).alias("x1"), (y0 + 20 + k % 40).alias("y1"), text.alias("text"))
+    return p.where("box % 6 = 0"), p.where("box % 6 = 1"), p.where("text is not null")
+
+
+@query(
+    "figure_captions",
+    f"""WITH {_LAYOUT}, c AS (SELECT * REPLACE (trim(text) AS text) FROM p WHERE regexp_matches(trim(coalesce(text, '')), '(?i)^(figure|fig\\.?)\\s*\\d+')),
+    j AS (SELECT f.source, f.page, f.k AS box, c.k AS block, c.text, c.y0 - f.y1 AS down, c.y1 - f.y0 AS up FROM f JOIN c ON f.source = c.source AND f.page = c.page),
+    r AS (SELECT *, least(abs(down), abs(up)) AS far, CASE WHEN down BETWEEN -10 AND 120 THEN 0 WHEN up BETWEEN -60 AND 10 THEN 1 WHEN least(abs(down), abs(up)) < 200 THEN 2 END AS rank FROM j),
+    b AS (SELECT * FROM r WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY box ORDER BY rank, CASE WHEN rank = 2 THEN far ELSE 0 END, block) = 1)
+    SELECT f.source, f.page, f.k AS box, replace(b.text, chr(10), ' ') AS caption, CAST(regexp_extract(b.text, '(?i)^(?:figure|fig\\.?)\\s*(\\d+)', 1) AS BIGINT) AS number FROM f LEFT JOIN b ON f.k = b.box""",
+)
+def figure_captions(spark, sf):
+    figures, _, blocks = _layout(spark, sf)
+    return captions.figure_captions(figures, blocks)
+
+
+@query(
+    "table_captions",
+    f"""WITH {_LAYOUT}, c AS (SELECT * FROM p WHERE regexp_matches(trim(coalesce(text, '')), '(?i)^table\\s*\\d*')),
+    b AS (SELECT t.k AS box, trim(c.text) AS text FROM t JOIN c ON t.source = c.source AND t.page = c.page AND c.y0 - t.y1 BETWEEN 0 AND 60 QUALIFY row_number() OVER (PARTITION BY t.k ORDER BY c.k) = 1)
+    SELECT t.source, t.page, t.k AS box, coalesce(left(b.text, 200), 'Table on page ' || t.page) AS caption FROM t LEFT JOIN b ON t.k = b.box""",
+)
+def table_captions(spark, sf):
+    _, found, blocks = _layout(spark, sf)
+    return captions.table_captions(found, blocks)
+
+
+def _sums(spark, sf) -> rollup.Rollup:
+    made = rollup.Rollup(spark, f"{tables.scratch(spark)}/sums-{uuid.uuid4().hex}")
+    made.refresh(tables.observations(spark, sf), tables.cell_region(spark, sf))
+    return made
+
+
+@query("rollup_regions", ORACLE_SQL["compare_regions_periods_mean"])
+def rollup_regions(spark, sf):
+    """Several regions over several periods, from stored daily sums."""
+    days = _sums(spark, sf).days(*compare.hull(SPANS))
+    return compare.regions_by_period(tables.observations(spark, sf), tables.cell_region(spark, sf), THREE, compare.periods(spark, SPANS), "mean", days).withColumn("value", F.round("value", 8))
+
+
+@query("rollup_days", f"WITH {OBS}, d AS (SELECT region, obs_date, value FROM obs JOIN bridge USING (cell_id) UNION ALL SELECT 'india', obs_date, value FROM obs WHERE cell_id IN (SELECT cell_id FROM bridge)) SELECT region, CAST(year(obs_date) AS INTEGER) AS year, count(DISTINCT obs_date) AS n_days, count(value) AS n, round(sum(value), 4) AS s, min(value) AS a, max(value) AS b FROM d GROUP BY ALL")
+def rollup_days(spark, sf):
+    days = _sums(spark, sf).days()
+    return days.groupBy("region", "year").agg(F.count("*").alias("n_days"), F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("s"), F.min("a").alias("a"), F.max("b").alias("b"))

@@ -425,6 +425,56 @@ def test_trends_of_regions_and_spans(spark):
     assert engine.execute(Plan("slope", ("goa", "punjab"), spans), strict=True).scalars.count() == 0
 
 
+def test_daily_sums(spark, tmp_path):
+    """An engine with stored sums gives what one without does; only years that have changed are made again."""
+    from gridloam.operators.rollup import Rollup
+    from gridloam.plans.engine import Engine
+    from gridloam.plans.query import Plan
+
+    rows = [(date(2019, 6, 1) + timedelta(days=d), c, float(c), 0.0, None if d % 9 == c else (d * 7 % 11) / 3 + c) for d in range(600) for c in range(4) if (d + c) % 5]
+    obs = spark.createDataFrame(rows, OBS)
+    bridge = spark.createDataFrame([(0, "goa"), (1, "goa"), (1, "kerala"), (2, "kerala"), (3, "punjab")], "cell_id long, region string")
+    sums = Rollup(spark, f"file://{tmp_path}/sums")
+    assert sums.days().count() == 0 and sums.refresh(obs.where("false"), bridge) == []
+    assert sums.refresh(obs, bridge) == [2019, 2020, 2021] and sums.refresh(obs, bridge) == []
+
+    def same(obs):
+        plain, stored = Engine(spark, obs, bridge), Engine(spark, obs, bridge, sums=sums)
+        assert plain.span() == stored.span()
+        spans = (("2019-07-01", "2019-12-31"), ("2020-02-01", "2021-01-10"), ("2021-01-02", "2021-01-02"))
+        plans = [Plan(op, (r,), spans[:1]) for op in ("mean", "minimum", "maximum") for r in ("goa", "india")]
+        plans += [Plan("comparison", ("goa", "punjab", "india"), spans, m, "region") for m in ("mean", "min", "max", "slope")] + [Plan("coverage"), Plan("best_year", metric="max"), Plan("best_year", metric="min")]
+        for p in plans:
+            a, b = (sorted(map(tuple, e.execute(p).scalars.collect()), key=repr) for e in (plain, stored))
+            assert len(a) == len(b), p
+            for x, y in zip(a, b, strict=True):
+                assert [round(v, 9) if isinstance(v, float) else v for v in x] == [round(v, 9) if isinstance(v, float) else v for v in y], p
+
+    same(obs)
+    other = obs.withColumn("value", F.when((F.col("obs_date") == "2020-05-05") & (F.col("cell_id") == 2), 99.0).otherwise(F.col("value"))).where("obs_date < '2021-01-01' or obs_date > '2021-01-05'")
+    assert sums.refresh(other, bridge) == [2020, 2021]
+    same(other)
+    assert sums.refresh(other.where("year(obs_date) <> 2019"), bridge) == [2019]
+    assert sums.days().where("year = 2019").count() == 0 and sums.days("2020-01-01", "2020-12-31").count() > 300
+
+
+def test_captions(spark):
+    from gridloam.operators import captions
+
+    page = "source string, page int, {} int, x0 double, y0 double, x1 double, y1 double"
+    boxes = spark.createDataFrame([("a", p, 1, 0.0, 300.0, 9.0, 400.0) for p in range(1, 9)], page.format("box"))
+    at = lambda p, n, y0, text: ("a", p, n, 0.0, float(y0), 9.0, float(y0) + 10, text)
+    blocks = spark.createDataFrame(
+        [at(1, 9, 510, "Fig. 2 late"), at(1, 5, 520, "figure 3\nunder"), at(1, 1, 250, "Fig 1 over"), at(2, 1, 300, "Figure 7 over"), at(2, 2, 100.5, "Fig. 8 far"), at(3, 1, 599, "Fig. 4"), at(3, 2, 91, "Fig. 5"), at(4, 1, 600, "Fig. 6"),
+         at(5, 1, 405, "a figure 3"), at(6, 3, 390, "  Fig.9  "), at(6, 2, 390, "Fig.10"), at(7, 1, 450, "Table 4: rain"), at(7, 2, 440, "table of rain " * 30), at(8, 1, 461, "Table 1")],
+        page.format("block") + ", text string",
+    )
+    got = {r["page"]: (r["caption"], r["number"]) for r in captions.figure_captions(boxes, blocks).collect()}
+    assert got == {1: ("figure 3 under", 3), 2: ("Figure 7 over", 7), 3: ("Fig. 4", 4), 4: (None, None), 5: (None, None), 6: ("Fig.10", 10), 7: (None, None), 8: (None, None)}
+    got = {r["page"]: r["caption"] for r in captions.table_captions(boxes, blocks).collect()}
+    assert got[7] == "Table 4: rain" and got[8] == "Table on page 8" and got[1] == "Table on page 1"
+
+
 def test_splitting_and_refining():
     from gridloam.plans import intent
     from gridloam.plans.query import embedded_json, follow_up, parse, refined

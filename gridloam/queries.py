@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from gridloam.functions import answers
 from gridloam.functions import text as T
-from gridloam.operators import assets, calendar, captions, compare, evaluation, gaps, grid, literature, regions, regrid, retrieval, rollup, sensors, trend
+from gridloam.operators import assets, calendar, captions, compare, evaluation, gaps, grid, literature, pages, regions, regrid, retrieval, rollup, sensors, trend
 from gridloam.plans import batch
 from gridloam.plans import vocabulary as V
 from gridloam.plans.engine import Engine
 from gridloam.plans.query import Plan
-from gridloam.sources import files, geotiff, shapefile, tables, zarr
+from gridloam.sources import files, geotiff, pdf, shapefile, tables, zarr
 
 REGION, START, END = "nation_3", "1996-06-01", "1996-06-30"
 YEAR = ("1996-01-01", "1996-12-31")
@@ -989,3 +989,49 @@ def rollup_regions(spark, sf):
 def rollup_days(spark, sf):
     days = _sums(spark, sf).days()
     return days.groupBy("region", "year").agg(F.count("*").alias("n_days"), F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("s"), F.min("a").alias("a"), F.max("b").alias("b"))
+
+
+# -- PDF files: a report of each nation, with a ruled table of its suppliers and a caption
+
+
+def _reports(spark, sf) -> DataFrame:
+    """(source, content): a file for each nation that has suppliers; its page is as long as its table."""
+    s = tables.table(spark, sf, "supplier").join(tables.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = s.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("r"))
+    n = F.size("r")
+    high = 20 * n + 200
+    text = lambda x, y, t: F.concat(F.lit("BT /F1 10 Tf "), x, F.lit(" "), y, F.lit(" Td ("), t, F.lit(") Tj ET\n"))
+    line = lambda x0, y0, x1, y1: F.concat_ws(" ", *[c.cast("string") for c in (x0, y0)], F.lit("m"), *[c.cast("string") for c in (x1, y1)], F.lit("l S\n"))
+    top = high - 100
+    left, middle, right = F.lit(50), F.lit(150), F.lit(400)
+    ruled = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: line(left, top - 20 * i, right, top - 20 * i)), "")
+    sides = F.concat(*[line(x, top, x, top - 20 * n) for x in (left, middle, right)])
+    at = lambda i: (top - 20 * i - 14).cast("string")
+    cells = F.array_join(F.transform("r", lambda r, i: F.concat(text(F.lit("55"), at(i), r["s_suppkey"].cast("string")), text(F.lit("155"), at(i), r["s_name"]))), "")
+    caption = text(F.lit("50"), F.lit("70"), F.concat(F.lit("Table "), F.col("n_nationkey").cast("string"), F.lit(": suppliers of "), F.col("n_name")))
+    head = text(F.lit("50"), (high - 40).cast("string"), F.concat(F.lit("Report of "), F.col("n_name")))
+    body = F.concat(head, ruled, sides, cells, caption)
+    file = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n"),
+        F.lit("3 0 obj <</Type /Page /Parent 2 0 R /Contents 4 0 R /Resources <</Font <</F1 5 0 R>>>> /MediaBox [0 0 600 "), high.cast("string"), F.lit("]>> endobj\n4 0 obj <</Length "),
+        F.length(body).cast("string"), F.lit(">>\nstream\n"), body, F.lit("\nendstream endobj\n5 0 obj <</Type /Font /Subtype /Type1 /BaseFont /Helvetica>> endobj\ntrailer <</Root 1 0 R>>"),
+    )
+    return rows.select(F.concat(F.lit("report_"), F.col("n_nationkey").cast("string"), F.lit(".pdf")).alias("source"), F.encode(file, "UTF-8").alias("content"))
+
+
+_REPORTS = "g AS (SELECT n_nationkey AS k, n_name, count(*) AS n, string_agg(s_suppkey || ' | ' || s_name, chr(10) ORDER BY s_suppkey) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"
+
+
+@query("pdf_tables", f"WITH {_REPORTS} SELECT 'report_' || k || '.pdf' AS source, CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS idx, 'Table ' || k || ': suppliers of ' || n_name AS caption, md5(t) AS digest, n AS n_rows FROM g WHERE n >= 2")
+def pdf_tables(spark, sf):
+    """The ruled table of each report, by its rules and words, with its caption."""
+    found = pages.tables(pdf.parsed(_reports(spark, sf)))
+    return found.select("source", "page", "idx", "caption", F.md5("text").alias("digest"), F.size("text_rows").cast("long").alias("n_rows"))
+
+
+@query("pdf_words", f"WITH w AS (SELECT n_nationkey AS k, s_name AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey, CAST(s_suppkey AS VARCHAR) FROM supplier JOIN nation ON s_nationkey = n_nationkey), {_REPORTS} SELECT 'report_' || w.k || '.pdf' AS source, t AS text, count(*) AS n FROM w GROUP BY ALL")
+def pdf_words(spark, sf):
+    """The words that stand within the tables' height on each report's page."""
+    words = pdf.parsed(_reports(spark, sf)).where("kind = 'word' and y0 > 90")
+    low = words.groupBy("source").agg(F.max("y0").alias("last"))
+    return words.join(low, "source").where("y0 < last").groupBy("source", "text").agg(F.count("*").alias("n"))

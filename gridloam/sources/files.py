@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloam.functions.text import base_name
+from gridloam.sources import pdf
 from gridloam.sources.tables import clean
 
 EXTENSIONS = ("pdf", "docx", "txt", "md")
@@ -38,57 +39,10 @@ def docx_text(raw: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
-#: Libraries that read PDFs, in the order in which they are tried: each gives the pages' texts of a file's bytes.
-def _pypdf(raw: bytes) -> list[str]:
-    from pypdf import PdfReader
-
-    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages]
-
-
-def _pymupdf(raw: bytes) -> list[str]:
-    import fitz
-
-    with fitz.open(stream=raw, filetype="pdf") as doc:
-        return [page.get_text() for page in doc]
-
-
-def _pdfplumber(raw: bytes) -> list[str]:
-    import pdfplumber
-
-    with pdfplumber.open(io.BytesIO(raw)) as doc:
-        return [page.extract_text() or "" for page in doc.pages]
-
-
-PDF_READERS = (_pymupdf, _pdfplumber, _pypdf)
-
-
-class NoPdfReader(RuntimeError):
-    """None of the libraries that read PDFs is installed."""
-
-
-def pdf_text(raw: bytes) -> str:
-    """The text of a PDF by the first library that is there and can read it; a broken file has none."""
-    tried = 0
-    for reader in PDF_READERS:
-        try:
-            pages = reader(raw)
-        except ImportError:
-            continue
-        except Exception:  # noqa: BLE001 - each library has its own errors; the next one may read the file
-            tried += 1
-            continue
-        if any(p.strip() for p in pages):
-            return "\n".join(pages)
-        tried += 1
-    if not tried:
-        raise NoPdfReader("install pymupdf, pdfplumber or pypdf to read PDFs")
-    return ""
-
-
 def file_text(name: str, raw: bytes) -> str:
     kind = name.rsplit(".", 1)[-1].lower()
     try:
-        return {"docx": docx_text, "pdf": pdf_text}.get(kind, decoded)(raw)
+        return {"docx": docx_text, "pdf": pdf.text}.get(kind, decoded)(raw)
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return ""
 
@@ -97,8 +51,8 @@ def read_documents(spark: SparkSession, folder: str, known: DataFrame | None = N
     """(source, text) of the files with a known extension that aren't loaded yet and have text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"source": pdf["source"], "text": [file_text(n, c) for n, c in zip(pdf["source"], pdf["content"], strict=True)]})
+        for files in batches:
+            yield pd.DataFrame({"source": files["source"], "text": [file_text(n, c) for n, c in zip(files["source"], files["content"], strict=True)]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.withColumn("source", base_name(F.col("path"))).where(F.lower("source").rlike(r"\.(" + "|".join(EXTENSIONS) + ")$"))
@@ -165,8 +119,8 @@ def geojson_regions(spark: SparkSession, path: str, name: str = "STATE", to_degr
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw in pdf["content"]:
+        for files in batches:
+            for raw in files["content"]:
                 rows = []
                 for f in json.loads(decoded(raw))["features"]:
                     g = f.get("geometry") or {}

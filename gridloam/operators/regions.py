@@ -49,3 +49,13 @@ def bridge(cells: DataFrame, regions: DataFrame, tile: float = TILE) -> DataFram
 
 def catalogue(regions: DataFrame) -> DataFrame:
     return regions.select(F.lower(F.trim("region")).alias("region")).distinct()
+
+
+def borders(regions: DataFrame) -> DataFrame:
+    """(region, ring, no, x0, y0, x1, y1): the edges of every ring, the closing one too, to be drawn over a map."""
+    ring = regions.select(F.lower(F.trim("region")).alias("region"), F.posexplode("rings").alias("ring", "points")).where("size(points) > 1")
+    n = F.size("points")
+    at = ring.select("region", "ring", "points", F.posexplode("points").alias("no", "a"), F.element_at("points", 1).alias("first"), n.alias("n"))
+    b = F.coalesce(F.get("points", F.col("no") + 1), F.col("first"))
+    out = at.select("region", "ring", "no", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))
+    return out.where("x0 <> x1 or y0 <> y1")  # rings may be closed already

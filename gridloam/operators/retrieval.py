@@ -211,16 +211,23 @@ def context(found: DataFrame, pieces: DataFrame, *key: str, most: int = CONTEXT_
 def resolve_sources(queries: DataFrame, sources: DataFrame) -> DataFrame:
     """(query_id, source): the one source that each question means, or NULL.
 
-    A name that occurs in the question wins, the longest if several do; else the source whose distinctive words
-    (those not in all names, of three letters or more) the question has most of, if it has more than any other.
+    A name that occurs in the question, as a row of its words, wins, the longest if several do; else the source whose
+    distinctive words (those not in all names, of three letters or more) the question has most of, if it has more than any
+    other. Names and questions meet in joins on rows of words and on words, however many sources there are.
     """
     names = sources.select("source").distinct().withColumn("name", source_key(F.col("source")))
     total = names.agg(F.count("*").alias("n"))
     q = queries.select("query_id", F.lower("text").alias("q"))
-    direct = q.join(F.broadcast(names), F.col("q").contains(F.lower("source")) | ((F.length("name") > 0) & F.concat(F.lit(" "), F.regexp_replace("q", r"[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")))))
-    direct = direct.groupBy("query_id").agg(F.max(F.struct(F.length("name").alias("l"), F.col("source").alias("s")))["s"].alias("direct"))
+    # a name with and without its file's ending, as its words with a space between
+    forms = F.array_distinct(F.array(*[F.array_join(tokens(c), " ") for c in (F.col("name"), F.col("source"))]))
+    called = names.select("source", F.length("name").alias("l"), F.explode(forms).alias("said")).where("said <> ''")
+    most = called.agg(F.max(F.size(F.split("said", " ")))).first()[0] or 0  # words of the longest name
+    starts = F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1)))
+    rows = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(most, 1))), lambda n: F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " ")))))
+    direct = q.select("query_id", tokens(F.col("q")).alias("t")).select("query_id", F.explode(rows).alias("said")).join(called, "said")
+    direct = direct.groupBy("query_id").agg(F.max(F.struct("l", "source"))["source"].alias("direct"))
     word = names.select("source", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word")).where("length(word) >= 3")
-    common = word.groupBy("word").agg(F.count("*").alias("c")).join(F.broadcast(total)).where("c < n").select("word")
+    common = word.groupBy("word").agg(F.count("*").alias("c")).join(F.broadcast(total)).where("c < n").select("word")  # one row
     votes = q.select("query_id", F.explode(F.array_distinct(tokens(F.col("q")))).alias("word")).join(word.join(common, "word"), "word").groupBy("query_id", "source").agg(F.count("*").alias("votes"))
     top = votes.groupBy("query_id").agg(F.max("votes").alias("votes"))
     best = votes.join(top, ["query_id", "votes"]).groupBy("query_id").agg(F.count("*").alias("k"), F.min("source").alias("voted")).where("k = 1")

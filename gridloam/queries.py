@@ -16,7 +16,7 @@ from gridloam.plans import batch
 from gridloam.plans import vocabulary as V
 from gridloam.plans.engine import Engine
 from gridloam.plans.query import Plan
-from gridloam.sources import files, geotiff, pdf, shapefile, tables, zarr
+from gridloam.sources import files, geotiff, pdf, png, shapefile, tables, zarr
 
 REGION, START, END = "nation_3", "1996-06-01", "1996-06-30"
 YEAR = ("1996-01-01", "1996-12-31")
@@ -774,13 +774,20 @@ def question_plans(spark, sf):
     return batch.plans(asked).select("id", "operation", "regions", "spans", "problem").where(~same)
 
 
-@query("question_routes", f"WITH {_PEOPLE}, q AS (SELECT id, {_by_template(0)} AS text FROM p) SELECT id, CASE WHEN id % 8 IN (0, 2, 3, 5) THEN 'dataset' END AS route, false AS off_topic, false AS sensor, md5(text) AS digest FROM q")
+@query(
+    "question_routes",
+    f"""WITH {_PEOPLE}, q AS (SELECT id, {_by_template(0)} AS t FROM p), s AS (SELECT id, CASE id % 16 WHEN 7 THEN 'tell me a joke no. ' || id WHEN 15 THEN t || ' by SMAP' ELSE t END AS t FROM q)
+    SELECT id, CASE WHEN id % 16 = 15 THEN 'both' WHEN id % 8 IN (0, 2, 3, 5) THEN 'dataset' END AS route, id % 16 = 7 AS off_topic, id % 16 = 15 AS sensor, md5(t) AS digest FROM s""",
+)
 def question_routes(spark, sf):
     """Which part of the engine each customer's question is for, and the question itself.
 
-    Words settle it where a region, a year and a word of the data are there as they are spelt.
+    Words settle it where a region, a year and a word of the data are there as they are spelt. Some are off topic, some for
+    the second sensor.
     """
-    return batch.routes(_questions(spark, sf)).select("id", "route", "off_topic", "sensor", F.md5("text").alias("digest"))
+    asked, n = _questions(spark, sf), F.col("id") % 16
+    said = F.when(n == 7, F.concat(F.lit("tell me a joke no. "), F.col("id").cast("string"))).when(n == 15, F.concat("text", F.lit(" by SMAP"))).otherwise(F.col("text"))
+    return batch.routes(asked.withColumn("text", said)).select("id", "route", "off_topic", "sensor", F.md5("text").alias("digest"))
 
 
 _NAMES = f"""p AS (SELECT c_custkey AS id, {_one_of(_LONG, 'c_custkey')} AS long FROM customer)"""
@@ -1035,3 +1042,28 @@ def pdf_words(spark, sf):
     words = pdf.parsed(_reports(spark, sf)).where("kind = 'word' and y0 > 90")
     low = words.groupBy("source").agg(F.max("y0").alias("last"))
     return words.join(low, "source").where("y0 < last").groupBy("source", "text").agg(F.count("*").alias("n"))
+
+
+# -- maps drawn
+
+
+@query("map_tiles", f"WITH {OBS}, m AS (SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, avg(value) AS value FROM obs GROUP BY x, y) SELECT CAST(floor(y / 16) AS BIGINT) AS i, CAST(floor(x / 16) AS BIGINT) AS j, 'tile_' || CAST(floor(y / 16) AS BIGINT) || '_' || CAST(floor(x / 16) AS BIGINT) || '.png' AS name, count(value) AS cells FROM m GROUP BY ALL")
+def map_tiles(spark, sf):
+    """The map of all days' means as PNG tiles of one scale."""
+    cells = grid.cell_map(tables.observations(spark, sf), "mean").select("x", "y", "value")
+    low, high = grid.colour_scale(cells).first()
+    return png.write_tiles(cells, f"{tables.scratch(spark)}/map-{uuid.uuid4().hex}", low, high, "wet", 1.0, 16)
+
+
+@query(
+    "region_borders",
+    f"WITH b AS (SELECT lower(trim(n_name)) AS region, min(s_suppkey % 10) - 0.5 AS x0, max(s_suppkey % 10) + 0.5 AS x1, min(s_suppkey // 10) - 0.5 AS y0, max(s_suppkey // 10) + 0.5 AS y1 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name) SELECT region, CAST(4 AS BIGINT) AS edges, CAST(2 * (x1 - x0 + y1 - y0) AS DOUBLE) AS length FROM b",
+)
+def region_borders(spark, sf):
+    """The edges of each nation's window, and how long they are."""
+    s = tables.table(spark, sf, "supplier").select((F.col("s_suppkey") % 10).cast("double").alias("x"), F.floor(F.col("s_suppkey") / 10).cast("double").alias("y"), "s_nationkey")
+    box = s.join(tables.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("region"))
+    box = box.agg((F.min("x") - 0.5).alias("x0"), (F.max("x") + 0.5).alias("x1"), (F.min("y") - 0.5).alias("y0"), (F.max("y") + 0.5).alias("y1"))
+    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    edges = regions.borders(box.select("region", F.array(corners).alias("rings")))
+    return edges.groupBy("region").agg(F.count("*").alias("edges"), F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))).alias("length"))

@@ -202,3 +202,18 @@ def test_written_tiles(spark, tmp_path):
     back = {(r["x"], r["y"]): r["value"] for r in df.where("value is not null").collect()}
     assert back == {(x, y): v for x, y, v in rows if v is not None}
     assert df.select("file").distinct().count() == len({((int(2 * x) // 16), int(2 * y) // 16) for x, y, _ in rows})
+
+
+def test_map_tiles(spark, tmp_path):
+    """Tiles are read back pixel by pixel: the scale's ends, its middle, and clear where there is no value."""
+    from gridloam.sources import png
+
+    rows = [(float(x), float(y), None if (x, y) == (1, 1) else float(x)) for x in range(0, 6) for y in range(-1, 3)]
+    tiles = png.write_tiles(spark.createDataFrame(rows, "x double, y double, value double"), f"file://{tmp_path}/m", 0.0, 4.0, "change", 1.0, 4, 2)
+    assert sorted((r["i"], r["j"], r["cells"]) for r in tiles.collect()) == [(-1, 0, 4), (-1, 1, 2), (0, 0, 11), (0, 1, 6)]
+    raw = (tmp_path / "m" / "tile_0_0.png").read_bytes()
+    at = raw.index(b"IDAT")
+    pixels = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + struct.unpack(">I", raw[at - 4 : at])[0]]), np.uint8).reshape(8, 33)[:, 1:].reshape(8, 8, 4)
+    assert struct.unpack(">II", raw[16:24]) == (8, 8) and (pixels[7, 0] == [140, 81, 10, 255]).all() and (pixels[6, 4] == [245, 245, 245, 255]).all()
+    assert pixels[4, 2, 3] == 0 and pixels[0, 0, 3] == 0 and (pixels[2:, :, 3] > 0).sum() == 4 * 11
+    assert (png.coloured(np.array([[9.0, -9.0, np.nan]]), 0, 4, "high")[0, :, 3] == [255, 255, 0]).all() and (png.coloured(np.array([[1.0]]), 1, 1, "low")[0, 0] == [254, 224, 139, 255]).all()

@@ -357,6 +357,8 @@ def test_commands(spark, tmp_path):
     lib.register(spark.createDataFrame([("soil_study.txt", "table", 9, 9, "again")], "source string, type string, page int, idx int, caption string"))
     assert [r["line"] for r in lib.run("list tables")[1].collect()] == ["Table 1 | p.1 | soil_study.txt: Rain"]
     assert lib.run("list images")[1].count() == 2 and [r["source"] for r in lib.run("vision images radar notes")[1].collect()] == ["radar-notes.md"]
+    (tmp_path / "in" / "more.txt").write_text("rivers and lakes " * 20)
+    assert lib.sync(str(tmp_path / "in")) == ["more.txt"] and lib.sync(str(tmp_path / "in")) == []
     assert lib.run("clear literature")[1].count() == 0 and lib.index.chunks().count() == 0
 
 
@@ -458,6 +460,13 @@ def test_daily_sums(spark, tmp_path):
     assert sums.days().where("year = 2019").count() == 0 and sums.days("2020-01-01", "2020-12-31").count() > 300
 
 
+def test_borders(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    shapes = spark.createDataFrame([(" A ", [ring((0, 0), (0, 2), (2, 2)), ring((1, 1), (1, 1.5), (1, 1))]), ("b", [ring((5, 5))])], "region string, rings array<array<struct<x:double,y:double>>>")
+    got = regions.borders(shapes).orderBy("ring", "no").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0, 0.0, 0.0, 0.0, 2.0), ("a", 0, 1, 0.0, 2.0, 2.0, 2.0), ("a", 0, 2, 2.0, 2.0, 0.0, 0.0), ("a", 1, 0, 1.0, 1.0, 1.0, 1.5), ("a", 1, 1, 1.0, 1.5, 1.0, 1.0)]
+
+
 def test_captions(spark):
     from gridloam.operators import captions
 

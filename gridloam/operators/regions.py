@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,23 +26,33 @@ def inside(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
 
 
 def bridge(cells: DataFrame, regions: DataFrame, tile: float = TILE) -> DataFrame:
-    """(cell_id, region) of cells (cell_id, x, y) whose centre lies in a region (region, rings).
+    """(cell_id, region) of cells (cell_id, x, y) whose centre lies in a region (region, rings), which may have several rows.
 
-    A polygon is sent to the tiles that its bounding box touches; cells meet it there in an equi-join.
+    A polygon is sent to the tiles that its bounding box touches, and meets their cells there: once for each tile. A tile's
+    cells and polygons are one task's group, so `tile` goes with the grid's resolution.
     """
     points = F.flatten("rings")
     low = lambda axis: F.floor(F.array_min(F.transform(points, lambda p: p[axis])) / tile)
     high = lambda axis: F.floor(F.array_max(F.transform(points, lambda p: p[axis])) / tile)
-    spread = regions.select(F.lower(F.trim("region")).alias("region"), "rings", F.explode(F.sequence(low("x"), high("x"))).alias("tx"), F.sequence(low("y"), high("y")).alias("tys")).select("region", "rings", "tx", F.explode("tys").alias("ty"))
+    across, down = F.sequence(low("x"), high("x")), F.sequence(low("y"), high("y"))
+    # points as plain numbers, and where each ring ends
+    flat = F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+    ends = F.transform(F.sequence(F.lit(1), F.size("rings")), lambda n: F.aggregate(F.slice("rings", 1, n), F.lit(0), lambda s, r: s + F.size(r)))
+    named = regions.where(F.size(points) > 0).select(F.lower(F.trim("region")).alias("region"), flat.alias("flat"), ends.alias("ends"), F.explode(across).alias("tx"), down.alias("tys"))
+    spread = named.select("region", "flat", "ends", "tx", F.explode("tys").alias("ty"))
     at = cells.select("cell_id", "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby("region"):
-                rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in part["rings"].iloc[0]]
-                yield part[inside(part["x"].to_numpy(float), part["y"].to_numpy(float), rings)][["cell_id", "region"]]
-
-    return at.join(spread, ["tx", "ty"]).select("cell_id", "region", "x", "y", "rings").mapInPandas(keep, "cell_id long, region string").distinct()
+    def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, y = left["x"].to_numpy(float), left["y"].to_numpy(float)
+        found: tuple[list, list] = [], []
+        for region, flat, ends in zip(right["region"], right["flat"], right["ends"], strict=True):
+            rings = np.split(np.asarray(flat, float).reshape(-1, 2), np.asarray(ends, int)[:-1])
+            hit = left["cell_id"][inside(x, y, rings)].tolist()
+            found[0].extend(hit), found[1].extend([region] * len(hit))
+        return pd.DataFrame({"cell_id": np.array(found[0], np.int64), "region": np.array(found[1], object)})
+
+    met = at.groupBy("tx", "ty").cogroup(spread.groupBy("tx", "ty")).applyInPandas(keep, "cell_id long, region string")
+    return met.distinct()
 
 
 def catalogue(regions: DataFrame) -> DataFrame:

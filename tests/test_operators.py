@@ -460,6 +460,16 @@ def test_daily_sums(spark, tmp_path):
     assert sums.days().where("year = 2019").count() == 0 and sums.days("2020-01-01", "2020-12-31").count() > 300
 
 
+def test_regions_of_several_polygons(spark):
+    """Rows of one region add up, overlapping regions both have a cell, and empty shapes are of no region."""
+    ring = lambda x0, y0, x1, y1: [{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    shapes = [("a", [ring(0.0, 0.0, 2.0, 2.0)]), ("A ", [ring(5.0, 0.0, 7.0, 2.0)]), ("b", [ring(1.0, 0.0, 6.0, 1.0)]), ("c", []), ("d", [[]])]
+    cells = spark.createDataFrame([(i, i % 8 + 0.5, i // 8 + 0.5) for i in range(24)], "cell_id long, x double, y double")
+    got = regions.bridge(cells, spark.createDataFrame(shapes, "region string, rings array<array<struct<x:double,y:double>>>")).collect()
+    want = [(i, "a") for i in range(16) if i % 8 in (0, 1, 5, 6)] + [(i, "b") for i in range(1, 6)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_borders(spark):
     ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     shapes = spark.createDataFrame([(" A ", [ring((0, 0), (0, 2), (2, 2)), ring((1, 1), (1, 1.5), (1, 1))]), ("b", [ring((5, 5))])], "region string, rings array<array<struct<x:double,y:double>>>")

@@ -678,12 +678,20 @@ def chunks_with_tables(spark, sf):
 _BOX = "repeat('-', 60)"
 
 
-@query("trend_answers", f"WITH {OBS}, {_DAYS}, {_TRENDS} SELECT region, {_BOX} || chr(10) || 'TREND' || chr(10) || {_BOX} || chr(10) || 'Region: ' || region || chr(10) || 'Period: 1995-01-01 to 2001-12-31' || chr(10) || 'Direction: ' || CASE WHEN slope > 0 THEN 'INCREASING (Wetter)' ELSE 'DECREASING (Drier)' END AS head, CAST(n AS VARCHAR) AS days FROM trends")
+#: The figures of each region's trend with its p, as one more table.
+_FITS = _P_VALUE[: _P_VALUE.index("SELECT region, n, round(")].rstrip() + ", p AS (" + _P_VALUE[_P_VALUE.index("SELECT region, n, round(") :] + "), w AS (SELECT trends.*, p_value FROM trends JOIN p USING (region))"
+
+
+@query(
+    "trend_answers",
+    f"""{_FITS} SELECT region, {_BOX} || chr(10) || 'TREND' || chr(10) || {_BOX} || chr(10) || 'Region: ' || region || chr(10) || 'Period: 1995-01-01 to 2001-12-31' || chr(10)
+    || 'Direction: ' || CASE WHEN slope > 0 THEN 'INCREASING (Wetter)' ELSE 'DECREASING (Drier)' END || chr(10) || printf('Slope: %+.8f m³/m³/day', slope) || chr(10) || printf('Total change: %+.6f', slope * 2557) || chr(10)
+    || printf('R2: %.4f, p: %.4f - ', r2, p_value) || CASE WHEN p_value < 0.05 THEN 'SIGNIFICANT' ELSE 'NOT SIGNIFICANT' END || chr(10) || 'Days: ' || n || chr(10) || {_BOX} AS answer FROM w""",
+)
 def trend_answers(spark, sf):
-    """The first lines of each region's answer, and its count of days."""
+    """Each region's answer."""
     got = trend.with_p_value(trend.labelled(_trends(spark, sf), "1995-01-01", "2001-12-31"))
-    text = answers.trend_answer(F.col("region"), "1995-01-01", "2001-12-31")
-    return got.select("region", F.array_join(F.slice(F.split(text, "\n"), 1, 6), "\n").alias("head"), F.regexp_extract(text, r"Days: (\d+)", 1).alias("days"))
+    return got.select("region", answers.trend_answer(F.col("region"), "1995-01-01", "2001-12-31").alias("answer"))
 
 
 @query("comparison_answer", f"WITH {OBS}, {_PERIODS}, {_PHITS}, got AS (SELECT period_idx, max(value) AS value FROM hits GROUP BY period_idx), e AS (SELECT period_idx, CAST(period_start AS VARCHAR) AS label, value, value IS NOT NULL AND row_number() OVER (ORDER BY value DESC NULLS LAST, period_idx) = 1 AS winner FROM periods LEFT JOIN got USING (period_idx)) SELECT string_agg(label || ': ' || CASE WHEN value IS NULL THEN 'no data' ELSE printf('%.6f', value) || ' m³/m³' END || CASE WHEN winner THEN ' HIGHEST PEAK' ELSE '' END, chr(10) ORDER BY period_idx) || chr(10) || max(CASE WHEN winner THEN label || ' has the WETTEST PEAK (max: ' || printf('%.6f', value) || ' m³/m³)' END) AS answer FROM e")

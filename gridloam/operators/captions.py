@@ -107,10 +107,7 @@ def figure_captions(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def table_captions(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(source, page, box, caption) of every table: the first caption that begins within 60 points under it, or its page."""
-    said = _stripped(F.col("text"))
-    captions = blocks.select(*_PAGE, "block", F.col("y0").alias("b0"), said.alias("text"), _band(F.col("y0")).alias("band")).where(F.col("text").rlike(TABLE))
-    asked = boxes.select(*_BOX, "y1", F.explode(F.array(_band(F.col("y1")), _band(F.col("y1")) + 1)).alias("band"))
-    pairs = asked.join(captions, [*_PAGE, "band"]).where((F.col("b0") - F.col("y1")).between(*UNDER_TABLE))
-    best = pairs.groupBy(*_BOX).agg(F.left(F.min_by("text", "block"), F.lit(MOST_CHARS)).alias("caption"))
+    best = _met(boxes, _captions(blocks, boxes, TABLE), [("y1", "y0", UNDER_TABLE)])
+    best = best.select(*_BOX, F.left("text", F.lit(MOST_CHARS)).alias("caption"))
     out = boxes.select(*_BOX).join(best, list(_BOX), "left")
     return out.withColumn("caption", F.coalesce("caption", F.concat(F.lit("Table on page "), F.col("page").cast("string"))))

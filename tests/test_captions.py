@@ -48,7 +48,7 @@ def test_places_of_a_box_that_are_missing(spark):
 def test_a_page_of_many_captions_makes_no_pairs(spark):
     """20,000 boxes and captions within one band: 800 million pairs if each met each."""
     n = 20_000
-    for kind, f in [("Fig.", captions.figure_captions)]:
+    for kind, f in (("Fig.", captions.figure_captions), ("Table", captions.table_captions)):
         df = frames(spark, [(1, i / n, 50 + i / n) for i in range(n)], [(1, 60 + i / n, 70 + i / n, f"{kind} {i}") for i in range(n)])
         start = time.monotonic()
         got = f(*df).groupBy("caption").count().collect()

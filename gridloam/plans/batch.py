@@ -13,19 +13,32 @@ from gridloam.plans import intent
 from gridloam.plans import vocabulary as V
 from gridloam.plans.query import parse
 
+#: Tasks for each core that different texts are dealt to.
+TASKS_A_CORE = 4
+
+
+def _different(questions: DataFrame, text: str) -> DataFrame:
+    """(text): each different text once, dealt evenly over all cores; a small file is read by one task."""
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    return questions.select(F.coalesce(F.col(text), F.lit("")).alias(text)).distinct().repartition(cores * TASKS_A_CORE, text)
+
 
 def plans(questions: DataFrame, key: str = "id", text: str = "text", evaluation: bool = False) -> DataFrame:
-    """(key, operation, compare_by, metric, output, regions, spans, problem) of each question; a null text is too short."""
+    """(key, operation, compare_by, metric, output, regions, spans, problem) of each question; a null text is too short.
+
+    Different texts are parsed once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [parse(q or "", evaluation) for q in pdf[text]]
+            got = [parse(q, evaluation) for q in pdf[text]]
             rows = [(p.operation, p.compare_by, p.metric, p.output, ",".join(p.regions), ";".join(f"{a}..{b}" for a, b in p.spans), p.problem) for p in got]
             out = pd.DataFrame(rows, columns=["operation", "compare_by", "metric", "output", "regions", "spans", "problem"])
-            yield out.assign(**{key: pdf[key].to_numpy()})[[key, *out.columns]]
+            yield out.assign(**{text: pdf[text].to_numpy()})[[text, *out.columns]]
 
-    kind = questions.schema[key].dataType.simpleString()
-    return questions.select(key, text).mapInPandas(run, f"`{key}` {kind}, operation string, compare_by string, metric string, output string, regions string, spans string, problem string")
+    parsed = _different(questions, text).mapInPandas(run, f"`{text}` string, operation string, compare_by string, metric string, output string, regions string, spans string, problem string")
+    asked = questions.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
+    return asked.join(parsed, text).select(key, *[c for c in parsed.columns if c != text])
 
 
 def routes(questions: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
